@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PY_WS
+from .text import PY_WS, py_strip
 
 # Elements whose whole subtree is dropped before text extraction.
 REMOVED_TAGS = ["script", "style", "nav", "footer", "header", "aside", "noscript",
@@ -37,7 +37,7 @@ COMMENT = r"(?s)<!--.*?-->"
 # A markup token as html.parser sees one: start/end tag (name starts with a
 # letter; quoted attribute values may hold '>'), declaration or processing
 # instruction. A bare '<' followed by anything else stays text.
-TAG = r"""</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|<![^>]*>|<\?[^>]*>"""
+TAG = r"""</?[A-Za-z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|<![^>]*>|<\?[^>]*>"""
 
 
 def _c(c) -> Column:
@@ -65,7 +65,7 @@ def clean_html(html) -> Column:
     x = decode_entities(x)
     # every run of separators with the whitespace around them → one newline
     x = F.regexp_replace(x, rf"{PY_WS}*(?:{SEP}{PY_WS}*)+", "\n")
-    x = F.regexp_replace(x, rf"^{PY_WS}+|{PY_WS}+$", "")
+    x = py_strip(x)
     x = F.regexp_replace(x, r"\n{3,}", "\n\n")
     return F.regexp_replace(x, r"[ \t]{2,}", " ")
 
@@ -79,7 +79,7 @@ def anchor_text(inner) -> Column:
     x = F.regexp_replace(_c(inner), TAG, SEP)
     x = decode_entities(x)
     x = F.regexp_replace(x, rf"{PY_WS}*{SEP}+{PY_WS}*", "")
-    return F.regexp_replace(x, rf"^{PY_WS}+|{PY_WS}+$", "")
+    return py_strip(x)
 
 
 def anchors(html) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters Python's str.strip() removes (str.isspace()), as a regex class
-# valid in both Java regex and RE2.
+# valid in both Java regex and RE2, and as a plain character set for trim.
 PY_WS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+PY_WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Default chunking parameters and text caps.
 CHUNK_SIZE = 12000
@@ -26,8 +27,9 @@ def _c(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: removes tabs, newlines, NBSP and other Unicode
-    spaces at both ends (Spark ``trim`` only removes ASCII spaces)."""
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+$", "")
+    spaces at both ends (plain ``trim`` only removes ASCII spaces). A trim
+    with an explicit character set only looks at the two ends of the text."""
+    return F.trim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def ne(c) -> Column:

@@ -23,8 +23,11 @@ NL = "chr(10)"
 W = X.PY_WS
 
 
+WS_SET = " || ".join(f"chr({ord(c)})" for c in X.PY_WS_CHARS)
+
+
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit('^' + W + '+|' + W + '+$')}, '', 'g')"
+    return f"trim({e}, {WS_SET})"
 
 
 def decode(e: str) -> str:

@@ -16,7 +16,8 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
 from ..operators import dedupe, enrich, extract, frontier, jobs, links, report
-from ..sources.tables import table
+from ..session import stage
+from ..sources.tables import spread, table
 
 RUN_TS = "2026-12-01 09:00:00"
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -35,20 +36,20 @@ def run_ts() -> Column:
 # ------------------------------------------------------------------ pages
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", H.clean_html("html").alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", H.clean_html("html").alias("text"))
 
 
 def clean_text_exact(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", H.clean_html_exact("html").alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", H.clean_html_exact("html").alias("text"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.page_links(table(spark, d, "pages")).select(
+    return links.page_links(spread(table(spark, d, "pages"))).select(
         "page_id", F.col("pos").cast("long").alias("pos"), "href", "text", "link_url")
 
 
 def unique_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.unique_links(links.page_links(table(spark, d, "pages"))).select(
+    return links.unique_links(links.page_links(spread(table(spark, d, "pages")))).select(
         "page_id", "link_url", F.col("pos").cast("long").alias("pos"), "href", "text")
 
 
@@ -58,14 +59,14 @@ TEST_DETAIL_PATTERNS = ["tion", "ment"]
 
 
 def detail_links_top20(spark: SparkSession, d: str) -> DataFrame:
-    lk = links.page_links(table(spark, d, "pages"))
+    lk = links.page_links(spread(table(spark, d, "pages")))
     return links.detail_links(lk, TEST_DETAIL_PATTERNS, links.FALLBACK_LINKS).select(
         "page_id", "link_url", F.col("pos").cast("long").alias("pos"), "text",
         F.col("rank").cast("long").alias("rank"))
 
 
 def small_pages(spark: SparkSession, d: str, min_chars: int = 5000) -> DataFrame:
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"))
     n = F.length("html").cast("long")
     return p.select("page_id", "url", n.alias("html_chars"), (n < min_chars).alias("is_small"))
 
@@ -85,7 +86,7 @@ def _sites_from_pages(p: DataFrame) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, d: str) -> DataFrame:
-    sites = _sites_from_pages(table(spark, d, "pages").select("page_id", "url"))
+    sites = _sites_from_pages(spread(table(spark, d, "pages")).select("page_id", "url"))
     return frontier.page_urls(sites).select(
         "site_id", F.col("tab_no").cast("long").alias("tab_no"),
         F.col("page_num").cast("long").alias("page_num"), "url", "strategy", "needs_browser")
@@ -94,7 +95,7 @@ def page_urls(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------- documents
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").select("doc_id", "text")
+    doc = spread(table(spark, d, "documents")).select("doc_id", "text")
     return X.chunk(doc, "text").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
                                        F.col("chunk_start").cast("long").alias("chunk_start"),
                                        "chunk")
@@ -105,16 +106,16 @@ def _doc_fp(d: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return _doc_fp(table(spark, d, "documents")).select("doc_id", "fingerprint")
+    return _doc_fp(spread(table(spark, d, "documents"))).select("doc_id", "fingerprint")
 
 
 def first_seen(spark: SparkSession, d: str) -> DataFrame:
-    doc = _doc_fp(table(spark, d, "documents")).select("fingerprint", "doc_id", "source", "lang")
+    doc = _doc_fp(spread(table(spark, d, "documents"))).select("fingerprint", "doc_id", "source", "lang")
     return dedupe.first_seen(doc, ["fingerprint"], ["doc_id"])
 
 
 def _history_and_batch(spark, d):
-    doc = _doc_fp(table(spark, d, "documents")).select("fingerprint", "doc_id", "lang")
+    doc = _doc_fp(spread(table(spark, d, "documents"))).select("fingerprint", "doc_id", "lang")
     history = doc.where(F.col("lang") == "de").select("fingerprint")
     return history, doc
 
@@ -130,7 +131,7 @@ def inserted_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    doc = spread(table(spark, d, "documents")).select("doc_id", "source", "lang", "text")
     ch = X.chunk(doc, "text")
     hint = F.when(F.col("lang") == "de", F.lit("Seiten in deutscher Sprache"))
     return ch.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
@@ -138,7 +139,7 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents")
+    doc = spread(table(spark, d, "documents"))
     rec = doc.select(F.col("doc_id").alias("fingerprint"),
                      F.substring_index("text", "\n", 1).alias("title"),
                      F.col("source").alias("issuer"), F.lit(None).cast("string").alias("deadline"),
@@ -147,11 +148,11 @@ def digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest_header(spark: SparkSession, d: str) -> DataFrame:
-    return report.digest_header(table(spark, d, "documents"), run_ts())
+    return report.digest_header(spread(table(spark, d, "documents")), run_ts())
 
 
 def rule_extract(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").select("doc_id", "text")
+    doc = spread(table(spark, d, "documents")).select("doc_id", "text")
     ch = X.chunk(doc, "text").select("doc_id", "chunk_no", "chunk")
     return extract.rule_extract(ch, unit=("doc_id", "chunk_no"))
 
@@ -354,7 +355,7 @@ def _title(html: Column) -> Column:
 
 
 def _page_docs(spark, d) -> DataFrame:
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"))
     host = F.regexp_extract("url", HOST_RE, 1)
     t = _title(F.col("html"))
     return p.select(X.fingerprint(F.lit(None).cast("string"), t).alias("fingerprint"),
@@ -377,7 +378,7 @@ def listing_records(spark: SparkSession, d: str) -> DataFrame:
     """pages → clean text → chunks → one candidate record per line
     (title := line, reference := first reference number) → fingerprint →
     first-seen per page. Carries site (host) and page number."""
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"))
     host = F.regexp_extract("url", HOST_RE, 1)
     page_num = F.coalesce(F.regexp_extract("url", PAGE_PARAM_RE, 1).try_cast("int"), F.lit(1))
     base = p.select("page_id", host.alias("site_id"), page_num.alias("page_num"),
@@ -393,7 +394,7 @@ def listing_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored_history(spark, d) -> DataFrame:
-    doc = table(spark, d, "documents")
+    doc = spread(table(spark, d, "documents"))
     return doc.select(X.fingerprint(F.lit(None).cast("string"),
                                     F.substring_index("text", "\n", 1)).alias("fingerprint"))
 
@@ -402,7 +403,7 @@ def listing_run(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the batch run over all sites. Early stop per site against
     the stored history, then first-seen across sites; one row per site with
     pages scraped, records extracted and records stored."""
-    rec = listing_records(spark, d)
+    rec = stage(listing_records(spark, d), "listing-records")
     rec = rec.select("site_id", "page_num", F.struct("page_id", "chunk_no", "pos").alias("pos"),
                      "fingerprint")
     kept, stats = frontier.early_stop(rec, _stored_history(spark, d))

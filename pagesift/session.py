@@ -56,3 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def stage(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage, lets several consumers share one computation of
+    an expensive intermediate, and survives executor loss (unlike a cache).
+    Downstream scans still get column pruning and filter pushdown."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
