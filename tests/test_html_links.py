@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from pagesift.functions import html as H
+from pagesift.operators import links as L
+from conftest import SF01
+
+HTML = """<!DOCTYPE html><html><head><title>T &amp; Co</title><style>p{}</style>
+<script>var t="</p>";</script></head><body><nav><a href="/n">nav</a></nav>
+<!-- note --><p>First   line<br>second&nbsp;line</p><p>  </p>
+<a href=" /d/a.PDF?x=1 "> Doc <b>One</b> </a><a href="#top">top</a>
+<a href="javascript:void(0)">js</a><a href="mailto:x@y">m</a><a href="tel:1">t</a>
+<a href="/tender/1">Notice</a><a href="/tender/1">again</a><a href='/x.doc'></a>
+<footer>foot</footer></body></html>"""
+
+
+def test_clean_native_matches_exact_on_fixture(spark):
+    df = spark.createDataFrame([(HTML,)], "html string")
+    r = df.select(H.clean_html("html").alias("a"), H.clean_html_exact("html").alias("b")).first()
+    assert r.a == r.b
+    assert r.a.splitlines()[0] == "T & Co"
+    assert "foot" not in r.a and "nav" not in r.a and "note" not in r.a
+    assert "First line" in r.a
+
+
+def test_clean_native_vs_exact_same_words_on_pages(spark):
+    p = spark.read.parquet(f"{SF01}/pages.parquet")
+    rows = p.select(H.clean_html("html").alias("a"), H.clean_html_exact("html").alias("b")).collect()
+    assert len(rows) == 250
+    same = sum(1 for r in rows if r.a.split() == r.b.split())
+    assert same == len(rows)
+
+
+def test_links(spark):
+    df = spark.createDataFrame([(1, "https://h.example/list?page=1", HTML)],
+                               "page_id long, url string, html string")
+    lk = L.page_links(df).orderBy("pos").collect()
+    hrefs = [r.href for r in lk]
+    assert hrefs == ["/n", "/d/a.PDF?x=1", "tel:1", "/tender/1", "/tender/1", "/x.doc"]
+    assert lk[1].text == "DocOne"
+    exact = L.page_links(df, exact=True).orderBy("pos").collect()
+    assert [(r.href, r.text, r.link_url) for r in exact] == [(r.href, r.text, r.link_url) for r in lk]
+    dl = L.download_links(L.page_links(df)).orderBy("pos").collect()
+    assert [(r.link_url, r.text) for r in dl] == [
+        ("https://h.example/d/a.PDF?x=1", "DocOne"), ("https://h.example/x.doc", "document")]
+    det = L.detail_links(L.page_links(df)).collect()
+    assert [r.link_url for r in det] == ["https://h.example/tender/1"]
+
+
+def test_predicates(spark):
+    df = spark.createDataFrame([(h,) for h in ["/a", "tel:1", "JAVASCRIPT:x", "", "#a",
+                                               "javascript:x", "mailto:x"]], "h string")
+    kept = [r.h for r in df.where(L.usable_href("h")).collect()]
+    assert kept == ["/a", "tel:1", "JAVASCRIPT:x"]
+    d = spark.createDataFrame([("/a.documents/x",), ("/F.PDF?x=1",), ("/a/pdf",)], "h string")
+    assert [r.h for r in d.where(L.is_download("h")).collect()] == ["/a.documents/x", "/F.PDF?x=1"]
+
+
+def test_first_k_links(spark):
+    rows = [(1, f"https://h/tender/{i}", i, "x", "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, link_url string, pos int, text string, href string")
+    out = L.detail_links(df, k=20).collect()
+    assert sorted(r.pos for r in out) == list(range(20))
