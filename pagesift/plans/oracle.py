@@ -434,6 +434,31 @@ SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, nam
     q["document_refs"] = f"""WITH {PAGE_DOCS}
 SELECT fingerprint, CAST(to_json(list({{'name': name, 'url': url}} ORDER BY pos)) AS VARCHAR) AS document_urls_json
 FROM mf GROUP BY fingerprint"""
+    from . import batch as B
+    q["enrich_run"] = f"""WITH pg AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)
+  WHERE rn = 1),
+rec AS (
+  SELECT {fp('url', TITLE)} AS fingerprint, {TITLE} AS title, url,
+         split_part({clean('html')}, chr(10), 1) AS description,
+         regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' AS page_url, html
+  FROM pg),
+det AS (
+  SELECT fingerprint, substring({clean('html')}, 1, {X.DETAIL_TEXT_CAP}) AS t FROM rec
+  WHERE starts_with(url, 'http') AND rtrim(url, '/') <> rtrim(page_url, '/')),
+d2 AS (
+  SELECT fingerprint, nullif(t, '') AS description,
+         nullif(regexp_extract(t, {lit(B.EMAIL_RE)}, 0), '') AS contact_email,
+         nullif(regexp_extract(t, {lit(B.PHONE_RE)}, 0), '') AS contact_phone,
+         nullif(regexp_extract(t, {lit(B.REQ_LINE)}, 2), '') AS requirements,
+         nullif(regexp_extract(t, {lit(B.SUB_LINE)}, 2), '') AS submission_method
+  FROM det)
+SELECT r.fingerprint, r.title, r.url,
+       nullif(concat_ws(chr(10) || chr(10), nullif(r.description, ''), d.description), '') AS description,
+       d.contact_email, d.contact_phone, d.requirements, d.submission_method,
+       nullif(concat_ws(' | ', d.contact_email, d.contact_phone), '') AS contact,
+       CAST(1 + CASE WHEN d.fingerprint IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_sources
+FROM rec r LEFT JOIN d2 d USING (fingerprint)"""
     return q
 
 

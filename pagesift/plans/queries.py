@@ -16,7 +16,7 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
 from ..operators import dedupe, enrich, extract, frontier, jobs, links, report
-from ..session import stage
+from . import batch
 from ..sources.tables import spread, table
 
 RUN_TS = "2026-12-01 09:00:00"
@@ -377,24 +377,12 @@ def document_refs(spark: SparkSession, d: str) -> DataFrame:
 def listing_records(spark: SparkSession, d: str) -> DataFrame:
     """pages → clean text → chunks → one candidate record per line
     (title := line, reference := first reference number) → fingerprint →
-    first-seen per page. Carries site (host) and page number."""
-    p = spread(table(spark, d, "pages"))
-    host = F.regexp_extract("url", HOST_RE, 1)
-    page_num = F.coalesce(F.regexp_extract("url", PAGE_PARAM_RE, 1).try_cast("int"), F.lit(1))
-    base = p.select("page_id", host.alias("site_id"), page_num.alias("page_num"),
-                    H.clean_html("html").alias("text"))
-    ch = X.chunk(base, "text")
-    ln = extract.lines(ch, "chunk")
-    rec = ln.select("site_id", "page_num", "page_id", "chunk_no", F.col("line_no").alias("pos"),
-                    F.col("line").alias("title"),
-                    F.try_element_at(extract.reference_numbers("line"), F.lit(1)).alias("reference"))
-    rec = rec.withColumn("fingerprint", X.fingerprint(F.col("reference"), F.col("title")))
-    return dedupe.first_seen(rec.drop("title", "reference"), ["page_id", "fingerprint"],
-                             ["chunk_no", "pos"])
+    first-seen per page; site := host, page := the page URL parameter."""
+    return batch.page_records(batch.site_pages(spread(table(spark, d, "pages"))))
 
 
 def _stored_history(spark, d) -> DataFrame:
-    doc = spread(table(spark, d, "documents"))
+    doc = table(spark, d, "documents")
     return doc.select(X.fingerprint(F.lit(None).cast("string"),
                                     F.substring_index("text", "\n", 1)).alias("fingerprint"))
 
@@ -403,12 +391,55 @@ def listing_run(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the batch run over all sites. Early stop per site against
     the stored history, then first-seen across sites; one row per site with
     pages scraped, records extracted and records stored."""
-    rec = stage(listing_records(spark, d), "listing-records")
-    rec = rec.select("site_id", "page_num", F.struct("page_id", "chunk_no", "pos").alias("pos"),
-                     "fingerprint")
-    kept, stats = frontier.early_stop(rec, _stored_history(spark, d))
-    stored = dedupe.first_seen(kept, ["fingerprint"], ["site_id", "page_num", "pos"])
-    return frontier.run_summary(stats, stored)
+    _, summary = batch.run_batch(listing_records(spark, d), _stored_history(spark, d))
+    return summary
+
+
+def enrich_run(spark: SparkSession, d: str) -> DataFrame:
+    """Each stored page listed once on its site's root listing (title :=
+    <title>, description := first text line, url := page URL), enriched from
+    its detail page (the page itself, joined by URL) with rule-extracted
+    contact/requirement fields and merged in source order."""
+    p = spread(table(spark, d, "pages"))
+    first = dedupe.first_seen(p.select("url", "page_id"), ["url"], ["page_id"])
+    pg = p.join(first, ["url", "page_id"], "left_semi")
+    t = _title(F.col("html"))
+    rec = pg.select(X.fingerprint(F.col("url"), t).alias("fingerprint"),
+                    t.alias("title"), "url",
+                    F.substring_index(H.clean_html("html"), "\n", 1).alias("description"),
+                    F.lit(None).cast("string").alias("contact"),
+                    F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1),
+                             F.lit("/")).alias("page_url"))
+    out = batch.enrich_records(rec, pg.select("page_id", "url", "html"))
+    return out.select("fingerprint", "title", "url", "description", "contact_email",
+                      "contact_phone", "requirements", "submission_method", "contact",
+                      "n_sources")
+
+
+def _stub_model(prompts):
+    """Deterministic stand-in for a model: one record per page-text line that
+    holds 8+ words, as a fenced JSON array (every third reply is broken to
+    exercise retries and failure rows)."""
+    import json
+    out = []
+    for p in prompts:
+        text = p.split("Page text:\n", 1)[-1]
+        recs = [{"title": ln.strip(), "reference": None, "url": None}
+                for ln in text.splitlines() if len(ln.split()) >= 8]
+        body = json.dumps(recs, ensure_ascii=False)
+        out.append("```json\n" + body + "\n```" if len(text) % 3 else "sorry: " + body[:-1])
+    return out
+
+
+def model_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Listing extraction through the pluggable batch-inference operator
+    (stub model), over every page: prompts → replies → strict parse →
+    records → absolute URLs → fingerprints → first-seen per page."""
+    p = spread(table(spark, d, "pages"))
+    base = p.select("page_id", F.col("url").alias("page_url"), H.clean_html("html").alias("text"))
+    ch = X.chunk(base, "text")
+    out = extract.extract_listings(ch, _stub_model, attempts=2)
+    return out.select("page_id", "fingerprint", "chunk_no", "pos", "title")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -449,4 +480,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_text": document_text,
     "file_manifest": file_manifest,
     "document_refs": document_refs,
+    "enrich_run": enrich_run,
+    "model_extract": model_extract,
 }
