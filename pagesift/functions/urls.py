@@ -143,3 +143,11 @@ def with_page_param(base, param, value) -> Column:
     appended = F.concat(pre, sep, p, F.lit("="), v, frag)
     has = F.instr(b, F.concat(p, F.lit("="))) > 0
     return F.when(has, replaced).otherwise(appended)
+
+
+def document_kind(path) -> Column:
+    """Document dispatch by extension of the lowered path: 'pdf' for .pdf,
+    'docx' for .docx or .doc, null for anything else (no record)."""
+    p = F.lower(_c(path))
+    return (F.when(p.endswith(".pdf"), F.lit("pdf"))
+             .when(p.endswith(".docx") | p.endswith(".doc"), F.lit("docx")))

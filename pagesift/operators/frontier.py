@@ -68,12 +68,11 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
                      .select(site, key, *[F.col("_f")[c].alias(c) for c in [page, pos] + rest]))
     new = firsts.join(history.select(key), key, "left_anti")
     n_new = new.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_new"))
-    if pages is None:
-        pages = records
-    n_ext = (records.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_extracted"))
-             .unionByName(pages.select(site, page).distinct()
-                          .withColumn("n_extracted", F.lit(0).cast("long")))
-             .groupBy(site, page).agg(F.sum("n_extracted").alias("n_extracted")))
+    n_ext = records.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_extracted"))
+    if pages is not None:  # fetched pages without any record count too
+        n_ext = (n_ext.unionByName(pages.select(site, page).distinct()
+                                   .withColumn("n_extracted", F.lit(0).cast("long")))
+                      .groupBy(site, page).agg(F.sum("n_extracted").alias("n_extracted")))
     stats = (n_ext.join(n_new, [site, page], "left")
                   .withColumn("n_new", F.coalesce("n_new", F.lit(0)).cast("long")))
     stop = stats.groupBy(site).agg(

@@ -134,8 +134,9 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
         lk = links.download_links(links.page_links(dp.select("page_id", "url", "html")))
         owner = dp.select("page_id", "fingerprint")
         top = links.first_k(lk.join(owner, "page_id"), max_docs, ["fingerprint"], ["pos"])
-        docs = top.join(documents.select(F.col("doc_url").alias("link_url"), "text"), "link_url")
-        rules = detail_record_rules(F.col("text"))
+        docs = top.join(documents.select(F.col("doc_url").alias("link_url"),
+                                         F.col("text").alias("doc_text")), "link_url")
+        rules = detail_record_rules(F.col("doc_text"))
         srcs.append(docs.select("fingerprint", (F.col("rank") + 1).alias("seq"),
                                 rules["full_description"].alias("description"),
                                 *[(rules[f] if f in rules and f != "full_description"

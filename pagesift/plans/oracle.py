@@ -434,6 +434,16 @@ SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, nam
     q["document_refs"] = f"""WITH {PAGE_DOCS}
 SELECT fingerprint, CAST(to_json(list({{'name': name, 'url': url}} ORDER BY pos)) AS VARCHAR) AS document_urls_json
 FROM mf GROUP BY fingerprint"""
+    q["known_keys"] = f"SELECT DISTINCT {DOC_FP} AS fingerprint FROM documents"
+    q["page_stats"] = f"""WITH {EVENT_RECS}, {_early_stop_cte()}
+SELECT site_id, page_num, CAST(n_extracted AS BIGINT) AS n_extracted, CAST(n_new AS BIGINT) AS n_new, scraped
+FROM stats"""
+    q["run_log"] = f"""WITH {EVENT_RECS}, {_early_stop_cte()}
+SELECT 'run-' || CAST(site_id AS VARCHAR) AS id, CAST(site_id AS VARCHAR) AS site_id, status,
+       '2026-12-01 09:00:00.000000' AS started_at, '2026-12-01 09:30:00.000000' AS finished_at,
+       pages_scraped, tenders_found
+FROM summary"""
+    q["stream_dedupe"] = ins + " SELECT * FROM ins"
     from . import batch as B
     q["enrich_run"] = f"""WITH pg AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)

@@ -442,6 +442,69 @@ def model_extract(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "fingerprint", "chunk_no", "pos", "title")
 
 
+def known_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys of the stored table (column-pruned, never collected)."""
+    return _doc_fp(table(spark, d, "documents").select("source", "text")) \
+        .select("fingerprint").distinct()
+
+
+def page_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Per site and page: records extracted, records new, and whether the
+    page was scraped (pages after the early stop are not)."""
+    recs = _event_records(spark, d)
+    _, stats = frontier.early_stop(recs.drop("event_type"), _event_history(recs))
+    return stats.select("site_id", "page_num", F.col("n_extracted").cast("long").alias("n_extracted"),
+                        "n_new", "scraped")
+
+
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """Run log as append-only events (start + finish per site) and its
+    current-state view."""
+    summary = run_summary(spark, d).withColumn("site_id", F.col("site_id").cast("string"))
+    sites = summary.select(F.col("site_id").alias("id"))
+    start = sites.select(F.concat(F.lit("run-"), F.col("id")).alias("id"),
+                         F.col("id").alias("site_id"), F.lit(jobs.RUN_RUNNING).alias("status"),
+                         run_ts().alias("ts"), F.lit(0).cast("long").alias("seq"),
+                         F.lit(None).cast("int").alias("pages_scraped"),
+                         F.lit(None).cast("int").alias("tenders_found"),
+                         F.lit(None).cast("string").alias("error_message"))
+    finish = jobs.finish_run(summary, start.select("id", "site_id"),
+                             F.to_timestamp(F.lit("2026-12-01 09:30:00")))
+    ev = start.unionByName(finish)
+    last = F.max(F.struct("ts", "seq", "status", "pages_scraped", "tenders_found"))
+    st = ev.groupBy("id", "site_id").agg(
+        last["status"].alias("status"), _ts(F.min("ts")).alias("started_at"),
+        _ts(F.max(F.when(F.col("status") != jobs.RUN_RUNNING, F.col("ts")))).alias("finished_at"),
+        last["pages_scraped"].cast("long").alias("pages_scraped"),
+        last["tenders_found"].cast("long").alias("tenders_found"))
+    return st
+
+
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """insert_if_absent as a Structured Streaming job: the documents file is
+    read as a stream, each micro-batch is fingerprinted, first-seen
+    deduplicated and anti-joined with the sink table (seeded with the
+    history) before the append; returns the appended rows."""
+    import os
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming.queue import dedupe_into
+    base = scratch_path(spark, f"stream-dedupe-{uuid.uuid4().hex}")
+    sink = os.path.join(base, "table")
+    history, _ = _history_and_batch(spark, d)
+    seed = history.distinct().withColumn("doc_id", F.lit(-1).cast("long")) \
+        .withColumn("lang", F.lit(None).cast("string"))
+    seed.write.parquet(sink)
+    schema = table(spark, d, "documents").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+                .parquet(d))
+    rows = _doc_fp(src).select("fingerprint", "doc_id", "lang")
+    q = dedupe_into(rows, sink, "fingerprint", ["doc_id"], checkpoint=os.path.join(base, "ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(sink).where(F.col("doc_id") >= 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_run": listing_run,
     "clean_text": clean_text,
@@ -482,4 +545,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_refs": document_refs,
     "enrich_run": enrich_run,
     "model_extract": model_extract,
+    "known_keys": known_keys,
+    "page_stats": page_stats,
+    "run_log": run_log,
+    "stream_dedupe": stream_dedupe,
 }
