@@ -55,11 +55,17 @@ def document_text(doc_pages: DataFrame, doc: str = "doc_url", page_no: str = "pa
     followed by a newline, capped at ``cap_chars``; documents whose capped
     text is blank are dropped.
 
-    Pages that start beyond the cap are filtered first (running length per
-    document), so the ordered string aggregate only ever sees the pages that
-    can reach the output.
+    Pages that start beyond the cap are filtered first (group limit, then
+    running length per document), so the ordered string aggregate only ever
+    sees the pages that can reach the output.
     """
+    from .links import first_k
     p = doc_pages.where(F.col(text).isNotNull() & (F.col(text) != ""))
+    # every kept page adds at least 2 characters (text + newline), so at most
+    # cap/2 + 1 leading pages can reach the output: cut each document to them
+    # first (a group limit, trimmed map-side) so a huge document never lands
+    # whole in one task
+    p = first_k(p, cap_chars // 2 + 1, [doc], [page_no]).drop("rank")
     w = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
     p = (p.withColumn("_start", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0)))
           .where(F.col("_start") < cap_chars))
