@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import with_page_param
+from ..session import stage
 
 # Pagination defaults and strategies that need a browser.
 DEFAULT_MAX_PAGES = 20
@@ -45,7 +46,7 @@ def page_urls(sites: DataFrame) -> DataFrame:
 
 def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None = None,
                site: str = "site_id", page: str = "page_num", pos: str = "pos",
-               key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+               key: str = "fingerprint", materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Apply the per-site early stop.
 
     A record is *new* when it is the first occurrence of its key within the
@@ -57,10 +58,12 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
     and one row per (site, page) with n_extracted, n_new and ``scraped``
     (pages up to and including the stop page).
 
-    Everything is an aggregation on (site, key) or (site, page) — combined on
-    the map side — plus joins against per-site/per-page tables that AQE
-    broadcasts once their measured size is small; no window holds a whole
-    site in one task.
+    Records are only ever aggregated on (site, key) or (site, page) —
+    combined on the map side — and semi-joined with the per-(site, page)
+    table, which AQE broadcasts once its measured size is small; no window
+    holds a site's records in one task. ``materialize`` writes the small
+    per-page table once to the shared checkpoint folder so its two readers
+    do not recompute the record aggregations.
     """
     rest = [c for c in records.columns if c not in (site, key, page, pos)]
     firsts = (records.groupBy(site, key)
@@ -75,14 +78,19 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
                       .groupBy(site, page).agg(F.sum("n_extracted").alias("n_extracted")))
     stats = (n_ext.join(n_new, [site, page], "left")
                   .withColumn("n_new", F.coalesce("n_new", F.lit(0)).cast("long")))
-    stop = stats.groupBy(site).agg(
-        F.min(F.when((F.col(page) > 1) & (F.col("n_new") == 0), F.col(page))).alias("stop_page"))
-    stats = (stats.join(stop, site, "left")
+    # The stop page per site, computed over the per-(site, page) table: a
+    # site holds at most max_pages rows there however many records it has,
+    # so this window cannot concentrate a hot site's records in one task.
+    w = Window.partitionBy(site)
+    stats = (stats.withColumn("stop_page", F.min(F.when((F.col(page) > 1) & (F.col("n_new") == 0),
+                                                        F.col(page))).over(w))
                   .withColumn("scraped", F.col("stop_page").isNull()
                               | (F.col(page) <= F.col("stop_page"))))
-    kept = (new.join(stop, site, "left")
-               .where(F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page")))
-               .drop("stop_page"))
+    if materialize:
+        stats = stage(stats, "page-stats")  # small; read by the record filter and the summary
+    keep_pages = stats.where(F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page"))) \
+                      .select(site, page)
+    kept = new.join(keep_pages, [site, page], "left_semi")
     return kept, stats
 
 
