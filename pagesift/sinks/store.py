@@ -80,3 +80,30 @@ def replace_by_key(spark: SparkSession, path: str, updates: DataFrame, key: Sequ
     out = os.path.join(path, f"v={0 if cur_v is None else cur_v + 1}")
     merged.write.mode("error").parquet(out)
     return out
+
+
+# ------------------------------------------------- bucketed record table
+
+def create_bucketed_table(df: DataFrame, name: str, key: str = "fingerprint",
+                          buckets: int = 512) -> None:
+    """Save ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    With the history stored this way, the insert-if-absent anti-join reads
+    the history side already hash-partitioned by key (no Exchange on the
+    large side); only the incoming batch is shuffled. Choose ``buckets``
+    equal to the job's shuffle partition count.
+    """
+    (df.write.bucketBy(buckets, key).sortBy(key).format("parquet")
+       .mode("errorifexists").saveAsTable(name))
+
+
+def insert_if_absent_table(batch: DataFrame, name: str, key: str = "fingerprint",
+                           order: Sequence[str] = ()) -> int:
+    """Insert-if-absent into a bucketed catalog table (see
+    ``create_bucketed_table``); appended files keep the table's bucketing."""
+    spark = batch.sparkSession
+    table = spark.table(name)
+    new = dedupe.insert_if_absent(batch.select(*table.columns), table, key, order)
+    obs = Observation(f"inserted_{uuid.uuid4().hex[:8]}")
+    new.observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(name)
+    return int(obs.get.get("n", 0))

@@ -14,7 +14,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from pagesift.session import build_session
     s = build_session("local[4]", app="pagesift-tests", shuffle_partitions=8,
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="pagesift-wh-")})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagesift-test-ckpt-"))
     yield s
