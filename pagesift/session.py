@@ -8,11 +8,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on. AQE re-plans joins at runtime from measured
-# shuffle sizes (so a side is broadcast only once its real size is known to be
-# below the threshold), coalesces small partitions, and splits skewed join
+# Settings every job relies on. No join side is broadcast from plan-time
+# estimates; AQE re-plans joins at runtime from measured shuffle sizes, so a
+# side is broadcast only once its real size is known to be below the
+# threshold. AQE also coalesces small partitions and splits skewed join
 # partitions.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
