@@ -139,13 +139,14 @@ def rule_extract(chunks: DataFrame, unit: Sequence[str] = ("page_id", "chunk_no"
 
 def infer(prompts: DataFrame, fn: Callable[[list], list], prompt: str = "prompt",
           keep: Sequence[str] = (), attempts: int = 1,
-          accept: Callable[[str], bool] | None = None) -> DataFrame:
+          accept: Callable[[str], bool] | None = None, batch_size: int = 64) -> DataFrame:
     """Run ``fn`` over prompt batches: (keep..., reply, attempts, error).
 
-    ``fn`` maps a list of prompts to a list of replies. A reply counts only
-    if ``accept(reply)`` holds; rows are retried individually up to
-    ``attempts`` times; a row that still fails gets a null reply and the last
-    error. Python runs once per Arrow batch, in parallel across partitions.
+    ``fn`` maps a list of at most ``batch_size`` prompts to a list of
+    replies. A reply counts only if ``accept(reply)`` holds; rows are retried
+    up to ``attempts`` times; a row that still fails gets a null reply and the
+    last error. Python runs per Arrow batch, in parallel across partitions;
+    a failing call only affects the prompts it was given.
     """
     keep = list(keep)
     in_schema = prompts.select(*keep).schema
@@ -164,14 +165,18 @@ def infer(prompts: DataFrame, fn: Callable[[list], list], prompt: str = "prompt"
             for attempt in range(1, attempts + 1):
                 if not todo:
                     break
-                try:
-                    got = list(fn([texts[i] for i in todo]))
-                    if len(got) != len(todo):
-                        raise ValueError("reply count differs from prompt count")
-                except Exception as e:  # whole-batch failure: mark and retry rows
-                    got = [None] * len(todo)
-                    for i in todo:
-                        errors[i] = f"{type(e).__name__}: {e}"
+                got = []
+                for lo in range(0, len(todo), max(1, batch_size)):
+                    part = todo[lo:lo + max(1, batch_size)]
+                    try:
+                        rep = list(fn([texts[i] for i in part]))
+                        if len(rep) != len(part):
+                            raise ValueError("reply count differs from prompt count")
+                    except Exception as e:  # failed call: mark its rows, retry them
+                        rep = [None] * len(part)
+                        for i in part:
+                            errors[i] = f"{type(e).__name__}: {e}"
+                    got.extend(rep)
                 left = []
                 for i, r in zip(todo, got):
                     tries[i] = attempt

@@ -98,3 +98,21 @@ def test_queue_worker_end_to_end(spark):
     evs = {(r.id, r.status): r.error for r in spark.read.parquet(events_out).collect()}
     assert ("j1", "done") in evs and ("j2", "error") in evs
     assert evs[("j2", "error")] == "Site not found"
+
+
+def test_pages_stream_clean_incremental(spark):
+    """The same page operators run incrementally on a page stream."""
+    from pagesift.functions.html import clean_html
+    from pagesift.sources.tables import pages_stream
+    from conftest import SF001
+    base = tempfile.mkdtemp(prefix="ps-pages-")
+    src = os.path.join(base, "pages")
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    pages.limit(20).write.parquet(src)
+    s = pages_stream(spark, src).select("page_id", clean_html("html").alias("text"))
+    q = s.writeStream.format("memory").queryName("clean_stream").trigger(availableNow=True) \
+        .option("checkpointLocation", os.path.join(base, "ck")).start()
+    q.awaitTermination()
+    got = {r.page_id: r.text for r in spark.sql("select * from clean_stream").collect()}
+    want = {r.page_id: r.t for r in spark.read.parquet(src).select("page_id", clean_html("html").alias("t")).collect()}
+    assert got == want and len(got) == 20
