@@ -104,7 +104,9 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
     """Merge detail-page and document information into stored records.
 
     ``stored`` has (fingerprint, url, description, contact, listing fields);
-    ``pages`` is the stored page table (page_id, url, html); ``documents`` is
+    ``pages`` is the stored page table (page_id, url, and html and/or its
+    cleaned ``text`` — pass ``text`` when it was already computed so the
+    HTML is not parsed twice; link-following needs html); ``documents`` is
     (doc_url, text) of already-extracted document text. A record is enriched
     only when its URL starts with 'http' and differs from its listing page
     URL (trailing '/' ignored). Sources are merged in order: listing (0),
@@ -117,12 +119,13 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
                   & (F.rtrim(u, F.lit("/")) != F.rtrim(listing, F.lit("/"))))
     cand = base.where(enrichable).select("fingerprint", "url")
     # JN-3: record → its detail page (equi-join on URL, 0..1 page per record)
-    det_pages = pages.select(F.col("url").alias("url"), "page_id", "html")
-    dp = cand.join(det_pages, "url", "inner")
+    page_cols = [c for c in ("page_id", "html", "text") if c in pages.columns]
+    dp = cand.join(pages.select("url", *page_cols), "url", "inner")
     srcs = []
     fields = sorted(set(DETAIL_FIELDS) | {"contact_name", "contact_email", "contact_phone"})
     if detail:
-        d = dp.select("fingerprint", H.clean_html("html").alias("text"))
+        text = F.col("text") if "text" in page_cols else H.clean_html("html")
+        d = dp.select("fingerprint", text.alias("text"))
         rules = detail_record_rules(F.col("text"))
         srcs.append(d.select("fingerprint", F.lit(1).alias("seq"),
                              rules["full_description"].alias("description"),

@@ -399,18 +399,21 @@ def enrich_run(spark: SparkSession, d: str) -> DataFrame:
     """Each stored page listed once on its site's root listing (title :=
     <title>, description := first text line, url := page URL), enriched from
     its detail page (the page itself, joined by URL) with rule-extracted
-    contact/requirement fields and merged in source order."""
+    contact/requirement fields and merged in source order. The HTML is
+    parsed once; the page text table is staged for its two readers."""
+    from ..session import stage
     p = spread(table(spark, d, "pages"))
     first = dedupe.first_seen(p.select("url", "page_id"), ["url"], ["page_id"])
     pg = p.join(first, ["url", "page_id"], "left_semi")
-    t = _title(F.col("html"))
-    rec = pg.select(X.fingerprint(F.col("url"), t).alias("fingerprint"),
-                    t.alias("title"), "url",
-                    F.substring_index(H.clean_html("html"), "\n", 1).alias("description"),
+    pt = stage(pg.select("url", "page_id", _title(F.col("html")).alias("title"),
+                         H.clean_html("html").alias("text")), "page-text")
+    rec = pt.select(X.fingerprint(F.col("url"), F.col("title")).alias("fingerprint"),
+                    "title", "url",
+                    F.substring_index("text", "\n", 1).alias("description"),
                     F.lit(None).cast("string").alias("contact"),
                     F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1),
                              F.lit("/")).alias("page_url"))
-    out = batch.enrich_records(rec, pg.select("page_id", "url", "html"))
+    out = batch.enrich_records(rec, pt.select("page_id", "url", "text"))
     return out.select("fingerprint", "title", "url", "description", "contact_email",
                       "contact_phone", "requirements", "submission_method", "contact",
                       "n_sources")
