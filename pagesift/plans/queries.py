@@ -154,7 +154,8 @@ def digest_header(spark: SparkSession, d: str) -> DataFrame:
 def rule_extract(spark: SparkSession, d: str) -> DataFrame:
     doc = spread(table(spark, d, "documents")).select("doc_id", "text")
     ch = X.chunk(doc, "text").select("doc_id", "chunk_no", "chunk")
-    return extract.rule_extract(ch, unit=("doc_id", "chunk_no"))
+    r = extract.rule_extract(ch, unit=("doc_id", "chunk_no"))
+    return r.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 # ----------------------------------------------------------------- events
@@ -442,7 +443,8 @@ def model_extract(spark: SparkSession, d: str) -> DataFrame:
     base = p.select("page_id", F.col("url").alias("page_url"), H.clean_html("html").alias("text"))
     ch = X.chunk(base, "text")
     out = extract.extract_listings(ch, _stub_model, attempts=2)
-    return out.select("page_id", "fingerprint", "chunk_no", "pos", "title")
+    return out.select("page_id", "fingerprint", F.col("chunk_no").cast("long").alias("chunk_no"),
+                      F.col("pos").cast("long").alias("pos"), "title")
 
 
 def known_keys(spark: SparkSession, d: str) -> DataFrame:

@@ -25,10 +25,18 @@ from ..operators import dedupe
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    """Whether a table directory exists (any Hadoop file system)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # no JVM handle: probe by reading the schema
+        try:
+            spark.read.parquet(path).schema
+            return True
+        except Exception:
+            return False
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:

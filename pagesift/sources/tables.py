@@ -25,8 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
     round-robin repartitioned to the cluster's default parallelism; a large
     table already scans as many splits and is left untouched (no shuffle).
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, want // 2):
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
+        return df
+    if have < max(2, want // 2):
         return df.repartition(want)
     return df
 
