@@ -30,18 +30,36 @@ def origin(url) -> Column:
     return F.regexp_extract(_c(url), _ORIGIN, 1)
 
 
+_DOTS = r"(^|/)\.\.?(/|$|[?#])"
+
+
 def _native_join(base: Column, href: Column) -> Column:
-    """Join for the cases that need no path arithmetic; null otherwise."""
+    """RFC-3986 join for every case that needs no dot-segment removal:
+    absolute, protocol-relative, root-relative, query-only, fragment-only
+    and plain relative paths against an http(s)-style base. Null otherwise
+    (other schemes, '.'/'..' segments), which the UDF then resolves."""
     o = origin(base)
-    no_dots = ~href.rlike(r"(^|/)\.\.?(/|$|[?#])")
-    is_abs = href.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://")
+    no_dots = ~href.rlike(_DOTS)
+    is_abs = href.rlike(r"^https?://")  # urljoin lower-cases other spellings
+    has_scheme = href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
     proto_rel = href.startswith("//") & (o != "")
     root_rel = href.rlike(r"^/([^/]|$)") & (o != "") & no_dots
+    base_nofrag = F.substring_index(base, "#", 1)
+    base_noq = F.substring_index(base_nofrag, "?", 1)
+    path = F.substring(base_noq, F.length(o) + 1, 1 << 30)
+    directory = F.when(F.instr(path, "/") > 0,
+                       F.concat(o, F.regexp_extract(path, r"^(.*/)", 1))) \
+        .otherwise(F.concat(o, F.lit("/")))
+    rel = ((o != "") & ~has_scheme & ~href.startswith("/") & ~href.startswith("?")
+           & ~href.startswith("#") & no_dots & ~path.rlike(_DOTS))
     return (F.when(href == "", base)
             .when(is_abs & no_dots, href)
             .when(proto_rel & no_dots,
                   F.concat(F.regexp_extract(base, _SCHEME, 1), F.lit(":"), href))
-            .when(root_rel, F.concat(o, href)))
+            .when(root_rel, F.concat(o, href))
+            .when(href.startswith("?") & (o != ""), F.concat(base_noq, href))
+            .when(href.startswith("#") & (o != ""), F.concat(base_nofrag, href))
+            .when(rel, F.concat(directory, href)))
 
 
 def _join_py(base, href):

@@ -61,14 +61,32 @@ def fp(ref: str, title: str) -> str:
 
 
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
-
-
-def root_join(base: str, href: str) -> str:
-    """The URL join for root-relative hrefs (all hrefs of the test pages)."""
-    return (f"CASE WHEN regexp_matches({href}, '^/([^/]|$)') "
-            f"AND NOT regexp_matches({href}, '(^|/)\\.\\.?(/|$|[?#])') "
-            f"AND regexp_extract({base}, {lit(ORIGIN_RE)}, 1) <> '' "
-            f"THEN regexp_extract({base}, {lit(ORIGIN_RE)}, 1) || {href} END")
+SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+SCHEME_HREF_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+DOTS_RE = r"(^|/)\.\.?(/|$|[?#])"
+
+
+def url_join(base: str, href: str) -> str:
+    """RFC-3986 join for hrefs that need no dot-segment removal (absolute,
+    protocol-relative, root-relative, query-only, fragment-only, plain
+    relative); NULL otherwise."""
+    o = f"regexp_extract({base}, {lit(ORIGIN_RE)}, 1)"
+    dots = f"regexp_matches({href}, {lit(DOTS_RE)})"
+    nofrag = f"split_part({base}, '#', 1)"
+    noq = f"split_part({nofrag}, '?', 1)"
+    path = f"substring({noq}, length({o}) + 1)"
+    directory = (f"CASE WHEN strpos({path}, '/') > 0 THEN {o} || regexp_extract({path}, '^(.*/)', 1) "
+                 f"ELSE {o} || '/' END")
+    return (f"CASE WHEN {href} = '' THEN {base} "
+            f"WHEN regexp_matches({href}, '^https?://') AND NOT {dots} THEN {href} "
+            f"WHEN starts_with({href}, '//') AND {o} <> '' AND NOT {dots} "
+            f"THEN regexp_extract({base}, {lit(SCHEME_RE)}, 1) || ':' || {href} "
+            f"WHEN regexp_matches({href}, '^/([^/]|$)') AND {o} <> '' AND NOT {dots} THEN {o} || {href} "
+            f"WHEN starts_with({href}, '?') AND {o} <> '' THEN {noq} || {href} "
+            f"WHEN starts_with({href}, '#') AND {o} <> '' THEN {nofrag} || {href} "
+            f"WHEN {o} <> '' AND NOT regexp_matches({href}, {lit(SCHEME_HREF_RE)}) "
+            f"AND NOT starts_with({href}, '/') AND NOT {dots} "
+            f"AND NOT regexp_matches({path}, {lit(DOTS_RE)}) THEN {directory} || {href} END")
 
 
 def contains_any(e: str, needles) -> str:
@@ -92,7 +110,7 @@ r AS (
          {anchor_text('inners[pos + 1]')} AS text
   FROM e),
 links AS (
-  SELECT *, {root_join('page_url', 'href')} AS link_url FROM r
+  SELECT *, {url_join('page_url', 'href')} AS link_url FROM r
   WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')
         AND NOT starts_with(href, 'mailto:')),
 ulinks AS (

@@ -54,3 +54,21 @@ def test_file_name_and_mime(spark):
     for r in rows[:4]:
         assert r.m == (mimetypes.guess_type(r.f)[0] or "application/octet-stream")
     assert rows[4].m == "application/octet-stream"
+
+
+def test_url_join_property_against_urljoin(spark):
+    import random
+    rnd = random.Random(5)
+    bases = ["https://h.example", "https://h.example/", "https://h.example/a", "https://h.example/a/b",
+             "https://h.example/a/b/", "http://h.example:8080/a/b?x=1#f", "https://h.example/a/./b",
+             "https://h.example/a/b?page=2", "https://h.example/a;p/b", "ftp://f.example/x/y"]
+    parts = ["c.pdf", "d/e", "?q=1", "#frag", "/root", "//cdn.example/z", "../up", "./same", "..",
+             ".", "http://o.example/p", "tel:123", "mailto:a@b", "x:y", "a b", "", "c?x#y", "%20x",
+             "/a/../b", "HTTPS://Up.example/", "z/./w"]
+    cases = [(b, h) for b in bases for h in parts] + \
+        [(rnd.choice(bases), rnd.choice(parts) + rnd.choice(["", "/k", "?t", "#u"])) for _ in range(200)]
+    df = spark.createDataFrame(cases, "base string, href string")
+    got = [r.u for r in df.select(U.resolve_url("base", "href").alias("u")).collect()]
+    want = [urljoin(b, h) for b, h in cases]
+    bad = [(c, g, w) for c, g, w in zip(cases, got, want) if g != w]
+    assert not bad, bad[:5]
