@@ -44,8 +44,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Named entities that HTML also decodes without the closing
+# ';' (legacy forms), e.g. a title cut off as "... and&amp".
+LEGACY_ENTITIES = [("&amp", "&"), ("&lt", "<"), ("&gt", ">"), ("&quot", '"'),
+                   ("&nbsp", "\u00a0"), ("&copy", "\u00a9"), ("&middot", "\u00b7")]
+# what may follow a legacy form for it to be decoded: not ';' (the full form),
+# not a name character, not '#'
+LEGACY_NEXT = "([^;#A-Za-z0-9]|$)"
+
+
 def decode_entities(c) -> Column:
+    """Decode the fixed entity list once (no double decoding of '&amp;lt;').
+    Semicolon-less legacy forms are decoded first (twice, for adjacent
+    ones), then the full forms with '&amp;' last."""
     x = _c(c)
+    for _ in range(2):
+        for ent, ch in LEGACY_ENTITIES:
+            x = F.regexp_replace(x, ent + LEGACY_NEXT, ch.replace("\\", "\\\\").replace("$", "\\$") + "$1")
     for ent, ch in ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return x
