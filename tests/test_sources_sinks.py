@@ -115,3 +115,16 @@ def test_zero_result_fallback_and_document_enrichment(spark):
     assert out.requirements == "Bidders must hold grade G7"
     assert out.submission_method == "Submit by e-mail"
     assert out.contact == "+60 3 1234 5678"
+
+
+def test_partitioned_record_table_prunes_by_site(spark):
+    d = tempfile.mkdtemp(prefix="ps-part-")
+    t = os.path.join(d, "tenders")
+    rows = [(f"f{i}", f"site{i % 3}", f"title {i}") for i in range(30)]
+    batch = spark.createDataFrame(rows, "fingerprint string, source_site string, title string")
+    assert store.insert_if_absent(batch, t, partition_by=["source_site"]) == 30
+    q = spark.read.parquet(t).where(F.col("source_site") == "site1")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_site" in plan and "site1" in plan
+    assert q.count() == 10
+    assert store.insert_if_absent(batch, t, partition_by=["source_site"]) == 0
