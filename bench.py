@@ -31,8 +31,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
-    spark = build_session(f"local[{cpus}]", app="pagesift-bench",
-                          shuffle_partitions=max(8, int(cpus) * 2 if cpus.isdigit() else 16))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "0")) or \
+        max(8, int(cpus) * 2 if cpus.isdigit() else 16)
+    spark = build_session(f"local[{cpus}]", app="pagesift-bench", shuffle_partitions=parts)
 
     def run(name: str) -> float:
         t = time.perf_counter()
