@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
-from ..functions.text import fingerprint, listing_prompt, py_strip
+from ..functions.text import detail_prompt, file_prompt, fingerprint, listing_prompt, py_strip
 from ..functions.urls import resolve_record_url
-from ..schemas import LISTING_SCHEMA, STATUS_VALUES, TENDER_TYPE_VALUES
+from ..schemas import DETAIL_SCHEMA, FILE_SCHEMA, LISTING_SCHEMA, STATUS_VALUES, TENDER_TYPE_VALUES
 from .dedupe import first_seen
 
 # Section headers to skip and to keep (only when a page labels
@@ -251,3 +251,19 @@ def extract_listings(chunks: DataFrame, fn: Callable[[list], list], hint: str |
     rec = rec.withColumn("url", resolve_record_url(F.col("url"), F.col(page_url)))
     rec = rec.withColumn("fingerprint", fingerprint(F.col("reference"), F.col("title")))
     return first_seen(rec, [page_id, "fingerprint"], ["chunk_no", "pos"])
+
+
+def extract_objects(docs: DataFrame, fn: Callable[[list], list], key: Sequence[str],
+                    url: str = "url", text: str = "text", kind: str = "detail") -> DataFrame:
+    """Detail pages (``kind='detail'``, text capped at 15000 chars) or
+    document texts (``kind='file'``) → one record per row through the model:
+    one call, no retry; a reply that is not exactly one JSON object gives an
+    empty record. Rows whose text is blank make no call and no record.
+    Returns (key..., record fields..., error)."""
+    schema = DETAIL_SCHEMA if kind == "detail" else FILE_SCHEMA
+    build = detail_prompt if kind == "detail" else file_prompt
+    p = docs.where(py_strip(F.col(text)) != "").select(
+        *key, build(F.col(url), F.col(text)).alias("prompt"))
+    parsed = parse_object_replies(infer(p, fn, keep=list(key), attempts=1), schema)
+    return parsed.select(*key, *[F.col("record")[f].alias(f) for f in schema.fieldNames()],
+                         "error")

@@ -98,9 +98,17 @@ def detail_record_rules(text: Column) -> dict[str, Column]:
             "requirements": X.ne(req), "submission_method": X.ne(sub)}
 
 
+def _model_source(rec: DataFrame, seq: Column, fields) -> DataFrame:
+    """A merge source from a model-extracted detail/file record."""
+    return rec.select("fingerprint", seq.alias("seq"), F.col("full_description").alias("description"),
+                      *[(F.col(f) if f in rec.columns else F.lit(None).cast("string")).alias(f)
+                        for f in fields if f != "full_description"])
+
+
 def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None = None,
                    detail: bool = True, documents: DataFrame | None = None,
-                   max_docs: int = links.MAX_DOCS) -> DataFrame:
+                   max_docs: int = links.MAX_DOCS, detail_fn: Callable | None = None,
+                   file_fn: Callable | None = None) -> DataFrame:
     """Merge detail-page and document information into stored records.
 
     ``stored`` has (fingerprint, url, description, contact, listing fields);
@@ -110,7 +118,10 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
     (doc_url, text) of already-extracted document text. A record is enriched
     only when its URL starts with 'http' and differs from its listing page
     URL (trailing '/' ignored). Sources are merged in order: listing (0),
-    detail page (1), its first ``max_docs`` download links (2..).
+    detail page (1), its first ``max_docs`` download links (2..). Detail and
+    document fields come from the rule extractor, or from a model when
+    ``detail_fn`` / ``file_fn`` (batch functions as in ``extract.infer``) are
+    given.
     """
     base = stored
     u = F.col("url")
@@ -125,13 +136,17 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
     fields = sorted(set(DETAIL_FIELDS) | {"contact_name", "contact_email", "contact_phone"})
     if detail:
         text = F.col("text") if "text" in page_cols else H.clean_html("html")
-        d = dp.select("fingerprint", text.alias("text"))
+        d = dp.select("fingerprint", "url", text.alias("text"))
         rules = detail_record_rules(F.col("text"))
-        srcs.append(d.select("fingerprint", F.lit(1).alias("seq"),
-                             rules["full_description"].alias("description"),
-                             *[(rules[f] if f in rules and f != "full_description"
-                                else F.lit(None).cast("string")).alias(f)
-                               for f in fields if f != "full_description"]))
+        if detail_fn is not None:
+            rec = extract.extract_objects(d, detail_fn, ["fingerprint"], "url", "text", "detail")
+            srcs.append(_model_source(rec, F.lit(1), fields))
+        else:
+            srcs.append(d.select("fingerprint", F.lit(1).alias("seq"),
+                                 rules["full_description"].alias("description"),
+                                 *[(rules[f] if f in rules and f != "full_description"
+                                    else F.lit(None).cast("string")).alias(f)
+                                   for f in fields if f != "full_description"]))
     if documents is not None:
         # JN-4: detail page → first k download links → document text
         lk = links.download_links(links.page_links(dp.select("page_id", "url", "html")))
@@ -140,11 +155,16 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
         docs = top.join(documents.select(F.col("doc_url").alias("link_url"),
                                          F.col("text").alias("doc_text")), "link_url")
         rules = detail_record_rules(F.col("doc_text"))
-        srcs.append(docs.select("fingerprint", (F.col("rank") + 1).alias("seq"),
-                                rules["full_description"].alias("description"),
-                                *[(rules[f] if f in rules and f != "full_description"
-                                   else F.lit(None).cast("string")).alias(f)
-                                  for f in fields if f != "full_description"]))
+        if file_fn is not None:
+            rec = extract.extract_objects(docs, file_fn, ["fingerprint", "rank"], "link_url",
+                                          "doc_text", "file")
+            srcs.append(_model_source(rec, F.col("rank") + 1, fields))
+        else:
+            srcs.append(docs.select("fingerprint", (F.col("rank") + 1).alias("seq"),
+                                    rules["full_description"].alias("description"),
+                                    *[(rules[f] if f in rules and f != "full_description"
+                                       else F.lit(None).cast("string")).alias(f)
+                                      for f in fields if f != "full_description"]))
     listing_src = base.select("fingerprint", F.lit(0).alias("seq"), "description",
                               *[(F.col(f) if f in base.columns else F.lit(None).cast("string")).alias(f)
                                 for f in fields if f != "full_description"], "contact")

@@ -128,3 +128,34 @@ def test_partitioned_record_table_prunes_by_site(spark):
     assert "PartitionFilters: [isnotnull(source_site" in plan and "site1" in plan
     assert q.count() == 10
     assert store.insert_if_absent(batch, t, partition_by=["source_site"]) == 0
+
+
+def test_enrichment_with_model_functions(spark):
+    import json as _json
+    detail = PAGE.format(t="D", body='<p>Scope text</p><a href="/d/a.pdf">A</a><a href="/d/b.docx">B</a>')
+    pages = spark.createDataFrame([(2, "https://h.example/t/1", detail)], "page_id long, url string, html string")
+    stored = spark.createDataFrame(
+        [("fp1", "https://h.example/t/1", "T", "listing", None, "https://h.example/list")],
+        "fingerprint string, url string, title string, description string, contact string, page_url string")
+
+    def detail_model(prompts):
+        assert all("Source URL: https://h.example/t/1" in p for p in prompts)
+        return ['```json\n{"full_description": "D-full", "contact_name": "Ann", "tender_type": "RFQ"}\n```'
+                for _ in prompts]
+
+    def file_model(prompts):
+        out = []
+        for p in prompts:
+            if "a.pdf" in p:
+                out.append(_json.dumps({"full_description": "A-doc", "contact_email": "a@x", "deadline": "x"}))
+            else:
+                out.append("not json")
+        return out
+
+    docs = spark.createDataFrame([("https://h.example/d/a.pdf", "pdf text"), ("https://h.example/d/b.docx", "docx")],
+                                 "doc_url string, text string")
+    r = B.enrich_records(stored, pages, documents=docs, detail_fn=detail_model, file_fn=file_model).first()
+    assert r.description == "listing\n\nD-full\n\nA-doc"
+    assert r.contact_name == "Ann" and r.contact_email == "a@x" and r.tender_type == "RFQ"
+    assert r.contact == "a@x"   # last source with any contact part
+    assert r.n_sources == 4
