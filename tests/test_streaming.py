@@ -137,3 +137,19 @@ def test_stream_restart_resumes_from_checkpoint(spark):
     run()
     got = sorted((r.fingerprint, r.seq) for r in spark.read.parquet(table).collect())
     assert got == [("a", 0), ("b", 1), ("c", 3)]
+
+
+def test_bounded_state_stream_dedupe_is_opt_in(spark):
+    """dropDuplicatesWithinWatermark drops repeats of a key inside the
+    watermark; it is the bounded-state alternative to dedupe_into."""
+    base = tempfile.mkdtemp(prefix="ps-wm-")
+    src = os.path.join(base, "src")
+    sch = "fingerprint string, ts timestamp"
+    spark.createDataFrame([("a", None), ("a", None), ("b", None)], sch) \
+        .withColumn("ts", F.to_timestamp(F.lit("2026-01-01 00:00:00"))).write.parquet(src)
+    s = Qs.first_seen_stream(spark.readStream.schema(sch).parquet(src), "fingerprint", ["ts"],
+                             watermark=("ts", "1 hour"))
+    q = s.writeStream.format("memory").queryName("wm_dedupe").outputMode("append") \
+        .trigger(availableNow=True).option("checkpointLocation", os.path.join(base, "ck")).start()
+    q.awaitTermination()
+    assert sorted(r.fingerprint for r in spark.sql("select * from wm_dedupe").collect()) == ["a", "b"]
