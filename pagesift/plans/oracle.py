@@ -20,6 +20,8 @@ def lit(s: str) -> str:
 
 
 NL = "chr(10)"
+# line boundaries of Python's str.splitlines()
+LINE_BREAKS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 W = X.PY_WS
 
 
@@ -467,6 +469,24 @@ SELECT 'run-' || CAST(site_id AS VARCHAR) AS id, CAST(site_id AS VARCHAR) AS sit
        pages_scraped, tenders_found
 FROM summary"""
     q["stream_dedupe"] = ins + " SELECT * FROM ins"
+    # model_extract with the deterministic stub model: lines of 8+ words become
+    # records; a chunk whose prompt text length is a multiple of 3 gets a
+    # broken reply on both attempts and yields nothing
+    nonspace = "[^" + W[1:] + "+"
+    q["model_extract"] = f"""WITH p AS (SELECT page_id, url AS page_url, {clean('html')} AS text FROM pages),
+ch AS ({_chunks_cte('p', 'page_id, page_url')}),
+ok AS (SELECT * FROM ch WHERE (length(chunk) + 1) % 3 <> 0),
+l0 AS (SELECT page_id, chunk_no, ls, unnest(generate_series(1, len(ls))) AS i
+       FROM (SELECT *, string_split_regex(chunk, {lit(LINE_BREAKS)}) AS ls FROM ok)),
+l1 AS (SELECT page_id, chunk_no, i, ls[i] AS line FROM l0
+       WHERE len(regexp_extract_all(ls[i], {lit(nonspace)})) >= 8),
+rec AS (SELECT page_id, chunk_no,
+               CAST(row_number() OVER (PARTITION BY page_id, chunk_no ORDER BY i) - 1 AS BIGINT) AS pos,
+               {strip('line')} AS title FROM l1),
+f AS (SELECT *, {fp('CAST(NULL AS VARCHAR)', 'title')} AS fingerprint FROM rec)
+SELECT page_id, fingerprint, chunk_no, pos, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, fingerprint ORDER BY chunk_no, pos) AS rn FROM f)
+WHERE rn = 1"""
     from . import batch as B
     q["enrich_run"] = f"""WITH pg AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)

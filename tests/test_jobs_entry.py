@@ -65,8 +65,7 @@ def test_entry_contract(spark):
     assert len(rows) > 0
     assert set(df.columns) == {"site_id", "pages_scraped", "records_extracted", "tenders_found", "status"}
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert {"clean_text_exact"} <= set(q) - set(o)
+    assert set(o) == set(q)
 
 
 def test_all_queries_run_on_smoke_data(spark):
