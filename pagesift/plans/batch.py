@@ -176,6 +176,20 @@ def enrich_records(stored: DataFrame, pages: DataFrame, site_url: Column | None
     return base.select(*keep).join(merged, "fingerprint", "left")
 
 
+def fallback_targets(listing_pages: DataFrame, records: DataFrame,
+                     patterns=links.DETAIL_LINK_PATTERNS, k: int = links.FALLBACK_LINKS) -> DataFrame:
+    """Page-1 listings that produced no record (anti-join on page_id) and
+    their first ``k`` unique detail links: (site_id, page_num,
+    listing_page_id, link_rank, link_url)."""
+    empty = (listing_pages.where(F.col("page_num") == 1)
+                          .join(records.select("page_id").distinct(), "page_id", "left_anti"))
+    lk = links.detail_links(links.page_links(empty.select("page_id", "url", "html")), patterns, k)
+    owner = empty.select("page_id", "site_id", "page_num")
+    return lk.join(owner, "page_id").select(
+        "site_id", "page_num", F.col("page_id").alias("listing_page_id"),
+        F.col("rank").alias("link_rank"), "link_url")
+
+
 def zero_result_fallback(listing_pages: DataFrame, records: DataFrame, pages: DataFrame,
                          extractor: Callable[[DataFrame], DataFrame] = line_records,
                          patterns=links.DETAIL_LINK_PATTERNS, k: int = links.FALLBACK_LINKS) -> DataFrame:
@@ -183,13 +197,7 @@ def zero_result_fallback(listing_pages: DataFrame, records: DataFrame, pages: Da
     links (stored pages joined by URL), extract from those pages and set each
     record's url to the link. Returns the extra records (union them with the
     listing records)."""
-    empty = (listing_pages.where(F.col("page_num") == 1)
-                          .join(records.select("page_id").distinct(), "page_id", "left_anti"))
-    lk = links.detail_links(links.page_links(empty.select("page_id", "url", "html")), patterns, k)
-    owner = empty.select("page_id", "site_id", "page_num")
-    targets = lk.join(owner, "page_id").select(
-        "site_id", "page_num", F.col("page_id").alias("listing_page_id"),
-        F.col("rank").alias("link_rank"), "link_url")
+    targets = fallback_targets(listing_pages, records, patterns, k)
     linked = targets.join(pages.select(F.col("url").alias("link_url"), F.col("page_id").alias("pid"),
                                        "html"), "link_url")
     linked = linked.select("site_id", "page_num", F.col("pid").alias("page_id"),

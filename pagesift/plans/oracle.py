@@ -100,6 +100,10 @@ def contains_any(e: str, needles) -> str:
 
 TSF = "'%Y-%m-%d %H:%M:%S.%f'"
 
+def links_cte(src: str = "pages") -> str:
+    return PAGE_LINKS_CTE.replace("\n  FROM pages),", f"\n  FROM {src}),", 1)
+
+
 PAGE_LINKS_CTE = f"""
 a AS (
   SELECT page_id, url AS page_url,
@@ -291,6 +295,36 @@ hist AS (
 SELECT * FROM summary"""
 
 
+def rule_cte(src: str, key: str) -> str:
+    """CTEs ru_ch … ru_r: rule-extracted records (before the closed/awarded
+    filter) of the chunked ``text`` of ``src``, keyed by ``key``."""
+    exc = lit(extract.EXCLUDED_RE)
+    inc = lit(extract.INCLUDED_RE)
+    return f"""ru_ch AS ({_chunks_cte(src, key)}),
+ru_l0 AS (SELECT {key}, chunk_no, lines, unnest(generate_series(0, len(lines) - 1)) AS line_no
+       FROM (SELECT *, string_split(chunk, chr(10)) AS lines FROM ru_ch)),
+ru_l1 AS (SELECT {key}, chunk_no, line_no, {strip('lines[line_no + 1]')} AS line FROM ru_l0),
+ru_l2 AS (SELECT *, length(line) <= 80 AND (regexp_matches(line, {exc}) OR regexp_matches(line, {inc})) AS is_hdr
+       FROM ru_l1 WHERE line <> ''),
+ru_l3 AS (SELECT *, last_value(CASE WHEN is_hdr THEN line END IGNORE NULLS) OVER (
+         PARTITION BY {key}, chunk_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
+       max(CASE WHEN is_hdr AND regexp_matches(line, {inc}) THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, chunk_no) AS labelled
+       FROM ru_l2),
+ru_r AS (SELECT {key}, chunk_no, CAST(line_no AS BIGINT) AS pos, section, line AS title,
+        regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)[1] AS reference,
+        CASE WHEN regexp_matches(line, '(?i)closing\\s+soon') THEN 'Closing Soon'
+             WHEN regexp_matches(line, '(?i)\\bawarded\\b') THEN 'Awarded'
+             WHEN regexp_matches(line, '(?i)\\bclosed\\b') THEN 'Closed'
+             WHEN regexp_matches(line, '(?i)\\bopen\\b') THEN 'Open' ELSE 'Unknown' END AS status,
+        CASE WHEN regexp_extract(line, '(?i)\\b(RFQ|RFP|RFI|EOI)\\b', 1) <> ''
+               THEN upper(regexp_extract(line, '(?i)\\b(RFQ|RFP|RFI|EOI)\\b', 1))
+             WHEN regexp_matches(line, '(?i)\\btender\\b') THEN 'Tender' ELSE 'Unknown' END AS tender_type
+      FROM ru_l3
+      WHERE NOT is_hdr AND len(regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)) > 0
+        AND NOT coalesce(regexp_matches(section, {exc}), false)
+        AND (labelled = 0 OR coalesce(regexp_matches(section, {inc}), false)))"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["listing_run"] = FLAGSHIP
@@ -359,30 +393,8 @@ FROM (SELECT doc_id, {cell_sql} FROM documents)"""
 FROM (SELECT CAST(count(*) AS BIGINT) AS n_new FROM documents) WHERE n_new > 0"""
     exc = lit(extract.EXCLUDED_RE)
     inc = lit(extract.INCLUDED_RE)
-    q["rule_extract"] = f"""WITH ch AS ({_chunks_cte('documents', 'doc_id')}),
-l0 AS (SELECT doc_id, chunk_no, lines, unnest(generate_series(0, len(lines) - 1)) AS line_no
-       FROM (SELECT *, string_split(chunk, chr(10)) AS lines FROM ch)),
-l1 AS (SELECT doc_id, chunk_no, line_no, {strip('lines[line_no + 1]')} AS line FROM l0),
-l2 AS (SELECT *, length(line) <= 80 AND (regexp_matches(line, {exc}) OR regexp_matches(line, {inc})) AS is_hdr
-       FROM l1 WHERE line <> ''),
-l3 AS (SELECT *, last_value(CASE WHEN is_hdr THEN line END IGNORE NULLS) OVER (
-         PARTITION BY doc_id, chunk_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
-       max(CASE WHEN is_hdr AND regexp_matches(line, {inc}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, chunk_no) AS labelled
-       FROM l2),
-r AS (SELECT doc_id, chunk_no, CAST(line_no AS BIGINT) AS pos, section, line AS title,
-        regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)[1] AS reference,
-        CASE WHEN regexp_matches(line, '(?i)closing\\s+soon') THEN 'Closing Soon'
-             WHEN regexp_matches(line, '(?i)\\bawarded\\b') THEN 'Awarded'
-             WHEN regexp_matches(line, '(?i)\\bclosed\\b') THEN 'Closed'
-             WHEN regexp_matches(line, '(?i)\\bopen\\b') THEN 'Open' ELSE 'Unknown' END AS status,
-        CASE WHEN regexp_extract(line, '(?i)\\b(RFQ|RFP|RFI|EOI)\\b', 1) <> ''
-               THEN upper(regexp_extract(line, '(?i)\\b(RFQ|RFP|RFI|EOI)\\b', 1))
-             WHEN regexp_matches(line, '(?i)\\btender\\b') THEN 'Tender' ELSE 'Unknown' END AS tender_type
-      FROM l3
-      WHERE NOT is_hdr AND len(regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)) > 0
-        AND NOT coalesce(regexp_matches(section, {exc}), false)
-        AND (labelled = 0 OR coalesce(regexp_matches(section, {inc}), false)))
-SELECT * FROM r WHERE status NOT IN ('Closed', 'Awarded')"""
+    q["rule_extract"] = "WITH " + rule_cte("documents", "doc_id") + \
+        " SELECT * FROM ru_r WHERE status NOT IN ('Closed', 'Awarded')"
     q["early_stop"] = f"WITH {EVENT_RECS}, {_early_stop_cte()} SELECT site_id, fingerprint, page_num, pos FROM kept"
     q["run_summary"] = f"WITH {EVENT_RECS}, {_early_stop_cte()} SELECT * FROM summary"
     q["run_totals"] = f"""WITH {EVENT_RECS}, {_early_stop_cte()}
@@ -459,6 +471,21 @@ SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, nam
     q["document_refs"] = f"""WITH {PAGE_DOCS}
 SELECT fingerprint, CAST(to_json(list({{'name': name, 'url': url}} ORDER BY pos)) AS VARCHAR) AS document_urls_json
 FROM mf GROUP BY fingerprint"""
+    q["fallback_links"] = f"""WITH sp AS (
+  SELECT page_id, regexp_extract(url, {lit(Q.HOST_RE)}, 1) AS site_id,
+         coalesce(TRY_CAST(nullif(regexp_extract(url, {lit(Q.PAGE_PARAM_RE)}, 1), '') AS INTEGER), 1)
+           AS page_num, url, html, {clean('html')} AS text
+  FROM pages),
+{rule_cte('sp', 'page_id')},
+rr AS (SELECT DISTINCT page_id FROM ru_r WHERE status NOT IN ('Closed', 'Awarded')),
+empty AS (SELECT page_id, url, html, site_id FROM sp
+          WHERE page_num = 1 AND page_id NOT IN (SELECT page_id FROM rr)),
+{links_cte('empty')},
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM ulinks
+      WHERE {contains_any('lower(link_url)', Q.TEST_DETAIL_PATTERNS)}
+         OR {contains_any('lower(text)', Q.TEST_DETAIL_PATTERNS)})
+SELECT e.site_id, d.page_id AS listing_page_id, d.link_url, CAST(d.rank AS BIGINT) AS link_rank
+FROM d JOIN empty e USING (page_id) WHERE d.rank <= {links.FALLBACK_LINKS}"""
     q["known_keys"] = f"SELECT DISTINCT {DOC_FP} AS fingerprint FROM documents"
     q["page_stats"] = f"""WITH {EVENT_RECS}, {_early_stop_cte()}
 SELECT site_id, page_num, CAST(n_extracted AS BIGINT) AS n_extracted, CAST(n_new AS BIGINT) AS n_new, scraped

@@ -447,6 +447,16 @@ def model_extract(spark: SparkSession, d: str) -> DataFrame:
                       F.col("pos").cast("long").alias("pos"), "title")
 
 
+def fallback_links(spark: SparkSession, d: str) -> DataFrame:
+    """Zero-result fallback targets: page-1 listings where the rule
+    extractor finds no record, and their first 20 unique detail links."""
+    sp = batch.site_pages(spread(table(spark, d, "pages")))
+    rec = batch.rule_records(sp)
+    t = batch.fallback_targets(sp, rec, TEST_DETAIL_PATTERNS, links.FALLBACK_LINKS)
+    return t.select("site_id", "listing_page_id", "link_url",
+                    F.col("link_rank").cast("long").alias("link_rank"))
+
+
 def known_keys(spark: SparkSession, d: str) -> DataFrame:
     """Distinct keys of the stored table (column-pruned, never collected)."""
     return _doc_fp(table(spark, d, "documents").select("source", "text")) \
@@ -551,6 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich_run": enrich_run,
     "model_extract": model_extract,
     "known_keys": known_keys,
+    "fallback_links": fallback_links,
     "page_stats": page_stats,
     "run_log": run_log,
     "stream_dedupe": stream_dedupe,
