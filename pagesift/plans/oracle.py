@@ -471,6 +471,11 @@ SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, nam
     q["document_refs"] = f"""WITH {PAGE_DOCS}
 SELECT fingerprint, CAST(to_json(list({{'name': name, 'url': url}} ORDER BY pos)) AS VARCHAR) AS document_urls_json
 FROM mf GROUP BY fingerprint"""
+    q["download_links"] = f"""WITH {PAGE_LINKS_CTE},
+dl AS (SELECT page_id, link_url, pos, CASE WHEN text = '' THEN 'document' ELSE text END AS text,
+              row_number() OVER (PARTITION BY page_id, link_url ORDER BY pos) AS rk
+       FROM links WHERE {contains_any('lower(href)', links.DOWNLOAD_EXTS)})
+SELECT page_id, link_url, pos, text FROM dl WHERE rk = 1"""
     q["fallback_links"] = f"""WITH sp AS (
   SELECT page_id, regexp_extract(url, {lit(Q.HOST_RE)}, 1) AS site_id,
          coalesce(TRY_CAST(nullif(regexp_extract(url, {lit(Q.PAGE_PARAM_RE)}, 1), '') AS INTEGER), 1)

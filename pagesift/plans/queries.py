@@ -447,6 +447,13 @@ def model_extract(spark: SparkSession, d: str) -> DataFrame:
                       F.col("pos").cast("long").alias("pos"), "title")
 
 
+def download_links(spark: SparkSession, d: str) -> DataFrame:
+    """Unique document links per page (href holds .pdf/.doc/.docx/.xls/.xlsx/
+    .zip anywhere; empty link text → 'document')."""
+    dl = links.download_links(links.page_links(spread(table(spark, d, "pages"))))
+    return dl.select("page_id", "link_url", F.col("pos").cast("long").alias("pos"), "text")
+
+
 def fallback_links(spark: SparkSession, d: str) -> DataFrame:
     """Zero-result fallback targets: page-1 listings where the rule
     extractor finds no record, and their first 20 unique detail links."""
@@ -562,6 +569,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_extract": model_extract,
     "known_keys": known_keys,
     "fallback_links": fallback_links,
+    "download_links": download_links,
     "page_stats": page_stats,
     "run_log": run_log,
     "stream_dedupe": stream_dedupe,
