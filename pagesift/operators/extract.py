@@ -36,6 +36,9 @@ DROPPED_STATUSES = ["Closed", "Awarded"]
 
 # Reference numbers such as IIUM/DEV/3/2026, PTPTN/2026/SH11, KDN/T/001/2026.
 REFERENCE_RE = r"[A-Z]{2,}(?:/[A-Z0-9]+){2,}"
+# The same matches for the JVM engine, starting only where an upper-case run
+# starts and never backtracking into it, so long capital runs cost linear time.
+REFERENCE_RE_JVM = r"(?<![A-Z])[A-Z]{2,}+(?:/[A-Z0-9]++){2,}"
 
 
 def _alt(words: Sequence[str]) -> str:
@@ -48,7 +51,7 @@ INCLUDED_RE = _alt(INCLUDED_SECTIONS)
 
 def reference_numbers(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(t, F.lit(REFERENCE_RE), 0)
+    return F.regexp_extract_all(t, F.lit(REFERENCE_RE_JVM), 0)
 
 
 def is_excluded_section(header) -> Column:

@@ -67,3 +67,23 @@ def test_first_k_links(spark):
     df = spark.createDataFrame(rows, "page_id long, link_url string, pos int, text string, href string")
     out = L.detail_links(df, k=20).collect()
     assert sorted(r.pos for r in out) == list(range(20))
+
+
+def test_long_whitespace_runs_stay_linear(spark):
+    import time
+    html = "<p>a" + " " * 100000 + "b</p><div>" + "\t" * 50000 + "</div>" + "<a href='/x'>" + " " * 50000 + "y</a>"
+    df = spark.createDataFrame([(html,)], "html string")
+    t = time.time()
+    r = df.select(H.clean_html("html").alias("a"), H.clean_html_exact("html").alias("b")).first()
+    assert time.time() - t < 30
+    assert r.a == r.b == "a b\ny"
+
+
+def test_reference_numbers_engine_forms_agree(spark):
+    import re
+    from pagesift.operators import extract as E
+    texts = ["IIUM/DEV/3/2026 and PTPTN/2026/SH11", "xKDN/T/001/2026y", "AB/C", "ABCDEFGH" * 500,
+             "A/B/C", "UTM/BID/2026/", "ZZ/1/2 QQ/3/4/5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.refs for r in df.select(E.reference_numbers("t").alias("refs")).collect()]
+    assert got == [re.findall(E.REFERENCE_RE, t) for t in texts]
