@@ -32,7 +32,10 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&middot;", "\u00b7"), ("&amp;", "&")]
 
 SEP = "\u0001"
-REMOVED_BLOCKS = "(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in REMOVED_TAGS)
+# A removed element: an opening tag that is not self-closed ("<svg/>" has no
+# body and would otherwise make the lazy body scan to the end of the page),
+# then the shortest body up to its closing tag.
+REMOVED_BLOCKS = "(?is)" + "|".join(rf"<{t}\b(?:[^>]*[^/>])?>.*?</{t}\s*>" for t in REMOVED_TAGS)
 COMMENT = r"(?s)<!--.*?-->"
 # A markup token as html.parser sees one: start/end tag (name starts with a
 # letter; quoted attribute values may hold '>'), declaration or processing
@@ -95,7 +98,10 @@ def clean_html(html) -> Column:
     return F.regexp_replace(x, r"[ \t]{2,}", " ")
 
 
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+# An anchor with an href and its body up to "</a>"; the body may not run into
+# another "<a" opening, so an unclosed anchor costs the distance to the next
+# anchor instead of a scan to the end of the page.
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a[^\s>])*?)</a\s*>"""
 
 
 def anchor_text(inner) -> Column:

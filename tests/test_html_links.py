@@ -87,3 +87,13 @@ def test_reference_numbers_engine_forms_agree(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.refs for r in df.select(E.reference_numbers("t").alias("refs")).collect()]
     assert got == [re.findall(E.REFERENCE_RE, t) for t in texts]
+
+
+def test_self_closed_and_unclosed_markup(spark):
+    html = ("<p>a</p><svg/><p>b</p><svg viewBox='0 0 1 1'/><iframe src='x'/>"
+            "<p>c</p><svg><g>icon</g></svg><a href='/1'>one<a href='/2'>two</a><p>d</p>")
+    df = spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")
+    r = df.select(H.clean_html("html").alias("a")).first()
+    assert r.a == "a\nb\nc\none\ntwo\nd"
+    lk = [(x.href, x.text) for x in L.page_links(df).orderBy("pos").collect()]
+    assert ("/2", "two") in lk
