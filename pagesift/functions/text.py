@@ -45,6 +45,17 @@ def fingerprint(reference, title) -> Column:
     return F.substring(F.sha2(F.concat_ws(" ", ref, ttl), 256), 1, 16)
 
 
+# Fixed value: the key every record without reference and title shares
+# (sha256 of the empty string, first 16 hex digits).
+KEYLESS_FINGERPRINT = "e3b0c44298fc1c14"
+
+
+def is_keyless(reference, title) -> Column:
+    """True when a record has neither reference nor title after strip; all
+    such records share ``KEYLESS_FINGERPRINT``, so only one is ever stored."""
+    return (ne(py_strip(_c(reference))).isNull() & ne(py_strip(_c(title))).isNull())
+
+
 def key_fallback(existing_fp, reference, title) -> Column:
     """Keep a fingerprint a record already carries, else compute it."""
     return F.coalesce(ne(_c(existing_fp)), fingerprint(reference, title))

@@ -49,7 +49,8 @@ def page_records(pages: DataFrame, extractor: Callable[[DataFrame], DataFrame] =
     """Extract, fingerprint and keep the first record per key within each
     page (chunk order, then record order)."""
     rec = extractor(pages)
-    rec = rec.withColumn("fingerprint", X.fingerprint(F.col("reference"), F.col("title")))
+    rec = (rec.withColumn("fingerprint", X.fingerprint(F.col("reference"), F.col("title")))
+              .withColumn("keyless", X.is_keyless(F.col("reference"), F.col("title"))))
     rec = dedupe.first_seen(rec, ["page_id", "fingerprint"], ["chunk_no", "pos"])
     return stage(rec, "page-records") if materialize else rec
 

@@ -97,3 +97,24 @@ def test_manifest_and_refs(spark):
     assert m[0].mime_type == "application/pdf"
     refs = N.document_refs(N.file_manifest(df)).first()
     assert refs.document_urls_json == '[{"name":"X2","url":"http://h/b/x.pdf"},{"name":"","url":"http://h/c/y"}]'
+
+
+def test_keyless_records_share_one_key(spark):
+    from pagesift.functions import text as X
+    df = spark.createDataFrame([(None, " "), ("", None), ("R", None)], "r string, t string")
+    rows = df.select(X.fingerprint("r", "t").alias("fp"), X.is_keyless("r", "t").alias("k")).collect()
+    assert [r.k for r in rows] == [True, True, False]
+    assert rows[0].fp == rows[1].fp == X.KEYLESS_FINGERPRINT
+
+
+def test_run_batch_is_partitioning_invariant(spark):
+    from pagesift.plans import batch as B
+    from conftest import SF001
+    pages = B.site_pages(spark.read.parquet(f"{SF001}/pages.parquet"))
+    hist = spark.createDataFrame([], "fingerprint string")
+    outs = []
+    for n in (1, 7):
+        rec = B.page_records(pages.repartition(n), materialize=False)
+        _, summ = B.run_batch(rec, hist)
+        outs.append(sorted(tuple(r) for r in summ.collect()))
+    assert outs[0] == outs[1] and len(outs[0]) > 0
