@@ -95,3 +95,11 @@ def test_early_stop_hot_site_correct(spark):
                 break
             want |= {(s, k) for k in new_by_page.get(p, [])}
     assert got == want
+
+
+def test_exact_anchor_udf_runs_once_before_explode(spark):
+    from pagesift.operators import links as L
+    p = spark.read.parquet(f"{SF01}/pages.parquet")
+    plan = _plan(L.page_links(p, exact=True))
+    assert plan.count("anchors_exact(") == 1
+    assert plan.count("ArrowEvalPython") == 2   # parser + URL-join fallback
