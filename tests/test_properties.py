@@ -44,3 +44,17 @@ def test_chunk_reassembles_text(spark):
         assert rebuilt[:len(t)] == t
         assert all(len(c[2]) <= 5000 for c in ch)
         assert [c[1] for c in ch] == ([0] if len(t) <= 5000 else list(range(0, len(t), 4300)))
+
+
+def test_email_rule_forms_agree(spark):
+    import re
+    from pyspark.sql import functions as F
+    from pagesift.plans import batch as B
+    rnd = random.Random(3)
+    alpha = "ab.@-_x1 \n%+"
+    texts = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    texts += ["mail ann.b@x.example now", "a" * 20000 + " b@c.de", "x@y", "q.w@e.r.tt"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.e for r in df.select(F.regexp_extract("t", B.EMAIL_RE_JVM, 0).alias("e")).collect()]
+    want = [(m.group(0) if (m := re.search(B.EMAIL_RE, t)) else "") for t in texts]
+    assert got == want
