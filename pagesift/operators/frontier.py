@@ -46,7 +46,8 @@ def page_urls(sites: DataFrame) -> DataFrame:
 
 def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None = None,
                site: str = "site_id", page: str = "page_num", pos: str = "pos",
-               key: str = "fingerprint", materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+               key: str = "fingerprint", materialize: bool = True,
+               can_stop=None) -> tuple[DataFrame, DataFrame]:
     """Apply the per-site early stop.
 
     A record is *new* when it is the first occurrence of its key within the
@@ -54,6 +55,10 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
     first page > 1 with no new record stops the site: it and all later pages
     contribute nothing (a page 1 without new records does not stop).
 
+    ``can_stop(page)`` says which pages may stop a site (default page > 1;
+    with tabs the page key is (tab, page) packed into one number and only a
+    page > 1 within its tab may stop — the stop then ends all later tabs).
+
     Returns ``(kept, page_stats)``: the new records on pages before the stop,
     and one row per (site, page) with n_extracted, n_new and ``scraped``
     (pages up to and including the stop page).
@@ -82,7 +87,8 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
     # site holds at most max_pages rows there however many records it has,
     # so this window cannot concentrate a hot site's records in one task.
     w = Window.partitionBy(site)
-    stats = (stats.withColumn("stop_page", F.min(F.when((F.col(page) > 1) & (F.col("n_new") == 0),
+    stoppable = can_stop(F.col(page)) if can_stop is not None else (F.col(page) > 1)
+    stats = (stats.withColumn("stop_page", F.min(F.when(stoppable & (F.col("n_new") == 0),
                                                         F.col(page))).over(w))
                   .withColumn("scraped", F.col("stop_page").isNull()
                               | (F.col(page) <= F.col("stop_page"))))

@@ -55,11 +55,12 @@ def page_records(pages: DataFrame, extractor: Callable[[DataFrame], DataFrame] =
     return stage(rec, "page-records") if materialize else rec
 
 
-def run_batch(records: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+def run_batch(records: DataFrame, history: DataFrame,
+              can_stop=None) -> tuple[DataFrame, DataFrame]:
     """Early stop per site against the history, then first-seen across sites
     (site, page, position order). Returns (stored records, run summary)."""
     rec = records.withColumn("pos", F.struct("page_id", "chunk_no", "pos"))
-    kept, stats = frontier.early_stop(rec, history)
+    kept, stats = frontier.early_stop(rec, history, can_stop=can_stop)
     stored = dedupe.first_seen(kept, ["fingerprint"], ["site_id", "page_num", "pos"])
     stored = stored.withColumn("chunk_no", F.col("pos.chunk_no")) \
                    .withColumn("page_id", F.col("pos.page_id")) \
@@ -67,6 +68,31 @@ def run_batch(records: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFr
     return stored, frontier.run_summary(stats, stored)
 
 
+# Page key for sites with tabs: tab_no * TAB_STRIDE + page number in the tab.
+TAB_STRIDE = 1_000_000
+
+
+def fetch_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages a run over ``sites`` fetches: every generated page URL
+    (tabs × pagination strategy) joined with the stored page table by URL
+    (first stored page per URL). One row per (site, tab, page):
+    (site_id, page_num := tab_no * TAB_STRIDE + page, page_id := the fetch
+    id 'site:tab:page', url, html)."""
+    pu = frontier.page_urls(sites)
+    first = dedupe.first_seen(pages.select("url", "page_id"), ["url"], ["page_id"])
+    stored = pages.join(first, ["url", "page_id"], "left_semi").select("url", "html")
+    j = pu.join(stored, "url")
+    return j.select("site_id", (F.col("tab_no") * TAB_STRIDE + F.col("page_num")).alias("page_num"),
+                    F.concat_ws(":", "site_id", F.col("tab_no").cast("string"),
+                                F.col("page_num").cast("string")).alias("page_id"),
+                    "url", "html")
+
+
+def stoppable_in_tab(page: Column) -> Column:
+    """A fetched page may stop its site only when it is past page 1 of its tab."""
+    return (page % TAB_STRIDE) > 1
+
+
 def site_pages(pages: DataFrame) -> DataFrame:
     """Stored pages as site pages: site := URL host, page_num := the ``page``
     URL parameter (1 when absent)."""

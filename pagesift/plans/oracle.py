@@ -173,7 +173,8 @@ recs AS (
 hist AS (SELECT fingerprint FROM recs WHERE event_type = 'signup')"""
 
 
-def _early_stop_cte(recs: str = "recs", order: str = "page_num, pos") -> str:
+def _early_stop_cte(recs: str = "recs", order: str = "page_num, pos",
+                    stop_cond: str = "page_num > 1") -> str:
     return f"""
 firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, fingerprint ORDER BY {order}) AS rn
@@ -185,7 +186,7 @@ stats0 AS (
   SELECT x.site_id, x.page_num, x.n_extracted, coalesce(n.n_new, 0) AS n_new
   FROM n_ext x LEFT JOIN n_new n USING (site_id, page_num)),
 stop AS (
-  SELECT site_id, min(CASE WHEN page_num > 1 AND n_new = 0 THEN page_num END) AS stop_page
+  SELECT site_id, min(CASE WHEN {stop_cond} AND n_new = 0 THEN page_num END) AS stop_page
   FROM stats0 GROUP BY site_id),
 stats AS (
   SELECT s.*, (t.stop_page IS NULL OR s.page_num <= t.stop_page) AS scraped
@@ -267,13 +268,23 @@ def _mime(e: str) -> str:
     return f"coalesce(CASE {ext} {whens} END, {lit(DEFAULT_MIME)})"
 
 
-FLAGSHIP = f"""
-WITH p AS (
+FLAGSHIP_P = f"""p AS (
   SELECT page_id, regexp_extract(url, {lit(Q.HOST_RE)}, 1) AS site_id,
          coalesce(TRY_CAST(nullif(regexp_extract(url, {lit(Q.PAGE_PARAM_RE)}, 1), '') AS INTEGER), 1)
            AS page_num,
          {clean('html')} AS text
-  FROM pages),
+  FROM pages)"""
+
+
+def run_sql(p_cte: str, stop_cond: str = "page_num > 1") -> str:
+    """The batch run over the fetched pages of CTE ``p`` (page_id, site_id,
+    page_num, text): records → first-seen per page → early stop against the
+    history → first-seen across sites → per-site summary."""
+    return RUN_BODY.replace("@P@", p_cte).replace("@STOP@", stop_cond)
+
+
+RUN_BODY = f"""
+WITH @P@,
 ch AS ({_chunks_cte('p', 'page_id, site_id, page_num')}),
 ln0 AS (
   SELECT page_id, site_id, page_num, chunk_no, lines,
@@ -291,8 +302,9 @@ recs AS (
     FROM rec0) WHERE rn = 1),
 hist AS (
   SELECT {fp('CAST(NULL AS VARCHAR)', "split_part(text, chr(10), 1)")} AS fingerprint FROM documents),
-{_early_stop_cte('recs', 'page_num, page_id, chunk_no, pos')}
+{_early_stop_cte('recs', 'page_num, page_id, chunk_no, pos', '@STOP@')}
 SELECT * FROM summary"""
+FLAGSHIP = run_sql(FLAGSHIP_P)
 
 
 def rule_cte(src: str, key: str) -> str:
@@ -367,6 +379,15 @@ SELECT site_id, tab_no, CAST(page_num AS BIGINT) AS page_num,
   END AS url,
   strategy, strategy IN ('next_button', 'load_more', 'infinite') AS needs_browser
 FROM pg"""
+    from .batch import TAB_STRIDE
+    site_p = f"""pu AS (SELECT * FROM ({q['page_urls']})),
+pgu AS (SELECT url, html FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rnu FROM pages) WHERE rnu = 1),
+p AS (
+  SELECT pu.site_id || ':' || CAST(pu.tab_no AS VARCHAR) || ':' || CAST(pu.page_num AS VARCHAR) AS page_id,
+         pu.site_id, pu.tab_no * {TAB_STRIDE} + pu.page_num AS page_num, {clean('pgu.html')} AS text
+  FROM pu JOIN pgu USING (url))"""
+    q["site_run"] = run_sql(site_p, f"page_num % {TAB_STRIDE} > 1")
     q["chunks"] = f"SELECT doc_id, chunk_no, chunk_start, chunk FROM ({_chunks_cte('documents', 'doc_id')})"
     q["fingerprints"] = f"SELECT doc_id, {DOC_FP} AS fingerprint FROM documents"
     q["first_seen"] = f"""SELECT fingerprint, doc_id, source, lang FROM (

@@ -396,6 +396,19 @@ def listing_run(spark: SparkSession, d: str) -> DataFrame:
     return summary
 
 
+def site_run(spark: SparkSession, d: str) -> DataFrame:
+    """The batch run driven by site configs: sites (one per stored page, as
+    in ``page_urls``) → generated page URLs (tabs × strategy) → stored pages
+    joined by URL → records → early stop per site (a stop ends all later
+    tabs) → first-seen across sites → per-site summary."""
+    pages = spread(table(spark, d, "pages"))
+    sites = _sites_from_pages(pages.select("page_id", "url"))
+    fetched = batch.fetch_pages(sites, pages)
+    rec = batch.page_records(fetched)
+    _, summary = batch.run_batch(rec, _stored_history(spark, d), can_stop=batch.stoppable_in_tab)
+    return summary
+
+
 def enrich_run(spark: SparkSession, d: str) -> DataFrame:
     """Each stored page listed once on its site's root listing (title :=
     <title>, description := first text line, url := page URL), enriched from
@@ -529,6 +542,7 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_run": listing_run,
+    "site_run": site_run,
     "clean_text": clean_text,
     "clean_text_exact": clean_text_exact,
     "page_links": page_links,

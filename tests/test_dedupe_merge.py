@@ -118,3 +118,19 @@ def test_run_batch_is_partitioning_invariant(spark):
         _, summ = B.run_batch(rec, hist)
         outs.append(sorted(tuple(r) for r in summ.collect()))
     assert outs[0] == outs[1] and len(outs[0]) > 0
+
+
+def test_early_stop_with_tabs_ends_later_tabs(spark):
+    from pagesift.plans.batch import TAB_STRIDE, stoppable_in_tab
+    # tab 0: page 1 {a}, page 2 {a} (no new -> stop); tab 1: page 1 {b}
+    rows = [("s", 0 * TAB_STRIDE + 1, 0, "a"), ("s", 0 * TAB_STRIDE + 2, 0, "a"),
+            ("s", 1 * TAB_STRIDE + 1, 0, "b")]
+    rec = spark.createDataFrame(rows, "site_id string, page_num long, pos int, fingerprint string")
+    hist = spark.createDataFrame([], "fingerprint string")
+    kept, stats = R.early_stop(rec, hist, can_stop=stoppable_in_tab)
+    assert [r.fingerprint for r in kept.collect()] == ["a"]
+    # page 1 of a later tab never stops a site on its own
+    rows2 = [("s", 1, 0, "a"), ("s", TAB_STRIDE + 1, 0, "a"), ("s", TAB_STRIDE + 2, 0, "c")]
+    rec2 = spark.createDataFrame(rows2, "site_id string, page_num long, pos int, fingerprint string")
+    kept2, _ = R.early_stop(rec2, hist, can_stop=stoppable_in_tab)
+    assert sorted(r.fingerprint for r in kept2.collect()) == ["a", "c"]
