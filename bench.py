@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pagesift.plans.queries import QUERIES  # noqa: E402
 from pagesift.session import build_session  # noqa: E402
 
-HEADLINE = ["listing_run", "clean_text", "clean_text_exact", "page_links", "unique_links",
+HEADLINE = ["listing_run", "site_run", "clean_text", "clean_text_exact", "page_links", "unique_links",
             "chunks", "fingerprints", "first_seen", "insert_if_absent", "early_stop",
             "run_summary", "merge_enrichment", "document_text", "parse_replies", "job_state",
             "keyed_replace", "file_manifest", "prompts"]
