@@ -39,8 +39,15 @@ REMOVED_BLOCKS = "(?is)" + "|".join(rf"<{t}\b(?:[^>]*[^/>])?>.*?</{t}\s*>" for t
 COMMENT = r"(?s)<!--.*?-->"
 # A markup token as html.parser sees one: start/end tag (name starts with a
 # letter; quoted attribute values may hold '>'), declaration or processing
-# instruction. A bare '<' followed by anything else stays text.
-TAG = r"""</?[A-Za-z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|<![^>]*>|<\?[^>]*>"""
+# instruction. A bare '<' followed by anything else stays text. The quoted
+# values are matched at most 200 times per tag: Java regexes recurse once per
+# repetition of such a group, and an unbounded count lets one pathological
+# tag overflow the stack and kill the executor. A tag with more quoted
+# values (or an unbalanced quote) is caught by TAG_FALLBACK, which ends it at
+# the first '>'.
+TAG = (r"""</?[A-Za-z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,200}>"""
+       r"""|<![^>]*>|<\?[^>]*>""")
+TAG_FALLBACK = r"</?[A-Za-z][^>]*>"
 
 
 def _c(c) -> Column:
@@ -89,7 +96,7 @@ def clean_html(html) -> Column:
     """
     x = F.regexp_replace(_c(html), COMMENT, "")
     x = F.regexp_replace(x, REMOVED_BLOCKS, "")
-    x = F.regexp_replace(x, TAG, SEP)
+    x = F.regexp_replace(F.regexp_replace(x, TAG, SEP), TAG_FALLBACK, SEP)
     x = decode_entities(x)
     # every run of separators with the whitespace around them → one newline
     x = F.regexp_replace(x, SEP_RUN, "\n")
@@ -99,15 +106,24 @@ def clean_html(html) -> Column:
 
 
 # An anchor with an href and its body up to "</a>"; the body may not run into
-# another "<a" opening, so an unclosed anchor costs the distance to the next
-# anchor instead of a scan to the end of the page.
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a[^\s>])*?)</a\s*>"""
+# another anchor opening ("<a" not followed by a word character), so an
+# unclosed anchor costs the distance to the next anchor instead of a scan to
+# the end of the page. This single-pattern form is what the SQL twin runs
+# (RE2 matches it in linear time).
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a\w)*?)</a\s*>"""
+
+# The JVM form of the same rule: cut the page at every anchor opening, then
+# match one anchor at the start of each piece. Java regexes recurse once per
+# repetition of an alternation group, so the single-pattern form could
+# overflow the stack on a long anchor body; splitting and a lazy dot do not.
+ANCHOR_OPEN = r"(?i)<a\b"
+ANCHOR_PIECE = r"""(?is)^[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
 
 
 def anchor_text(inner) -> Column:
     """``get_text(strip=True)`` of an anchor body: stripped pieces glued
     with no separator."""
-    x = F.regexp_replace(_c(inner), TAG, SEP)
+    x = F.regexp_replace(F.regexp_replace(_c(inner), TAG, SEP), TAG_FALLBACK, SEP)
     x = decode_entities(x)
     x = F.regexp_replace(x, SEP_RUN, "")
     return py_strip(x)
@@ -117,9 +133,12 @@ def anchors(html) -> Column:
     """Array of struct<href, inner> for every ``<a href>`` in document order
     (native; href and body are raw, decode with ``decode_entities`` /
     ``anchor_text``)."""
-    h = _c(html)
-    return F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR), 1).alias("href"),
-                        F.regexp_extract_all(h, F.lit(ANCHOR), 2).alias("inner"))
+    pieces = F.filter(F.split(_c(html), ANCHOR_OPEN), lambda p, i: i > 0)
+    found = F.filter(F.transform(pieces, lambda p: F.regexp_extract(p, ANCHOR_PIECE, 0)),
+                     lambda m: m != "")
+    return F.transform(found, lambda m: F.struct(
+        F.regexp_extract(m, ANCHOR_PIECE, 1).alias("href"),
+        F.regexp_extract(m, ANCHOR_PIECE, 2).alias("inner")))
 
 
 # ---------------------------------------------------------------- exact path

@@ -38,7 +38,10 @@ DROPPED_STATUSES = ["Closed", "Awarded"]
 REFERENCE_RE = r"[A-Z]{2,}(?:/[A-Z0-9]+){2,}"
 # The same matches for the JVM engine, starting only where an upper-case run
 # starts and never backtracking into it, so long capital runs cost linear time.
-REFERENCE_RE_JVM = r"(?<![A-Z])[A-Z]{2,}+(?:/[A-Z0-9]++){2,}"
+# Java recurses once per repetition of the segment group, so the segment count
+# is bounded (a reference is cut after 200 segments) to keep one absurd token
+# from overflowing the executor's stack.
+REFERENCE_RE_JVM = r"(?<![A-Z])[A-Z]{2,}+(?:/[A-Z0-9]++){2,200}"
 
 
 def _alt(words: Sequence[str]) -> str:

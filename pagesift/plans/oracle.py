@@ -44,7 +44,7 @@ def decode(e: str) -> str:
 def clean(e: str) -> str:
     x = f"regexp_replace({e}, {lit(H.COMMENT)}, '', 'g')"
     x = f"regexp_replace({x}, {lit(H.REMOVED_BLOCKS)}, '', 'g')"
-    x = f"regexp_replace({x}, {lit(H.TAG)}, chr(1), 'g')"
+    x = f"regexp_replace(regexp_replace({x}, {lit(H.TAG)}, chr(1), 'g'), {lit(H.TAG_FALLBACK)}, chr(1), 'g')"
     x = decode(x)
     x = f"regexp_replace({x}, {lit(W + '*(?:' + chr(92) + 'x01' + W + '*)+')}, {NL}, 'g')"
     x = strip(x)
@@ -53,7 +53,7 @@ def clean(e: str) -> str:
 
 
 def anchor_text(e: str) -> str:
-    x = f"regexp_replace({e}, {lit(H.TAG)}, chr(1), 'g')"
+    x = f"regexp_replace(regexp_replace({e}, {lit(H.TAG)}, chr(1), 'g'), {lit(H.TAG_FALLBACK)}, chr(1), 'g')"
     x = decode(x)
     x = f"regexp_replace({x}, {lit(W + '*' + chr(92) + 'x01+' + W + '*')}, '', 'g')"
     return strip(x)

@@ -97,3 +97,19 @@ def test_self_closed_and_unclosed_markup(spark):
     assert r.a == "a\nb\nc\none\ntwo\nd"
     lk = [(x.href, x.text) for x in L.page_links(df).orderBy("pos").collect()]
     assert ("/2", "two") in lk
+
+
+def test_pathological_markup_does_not_overflow_the_stack(spark):
+    """Java regexes recurse per repetition of an alternation group; inputs
+    that would overflow the executor's stack must parse (or degrade), not
+    kill the JVM."""
+    from pagesift.operators import extract as E
+    long_body = "<p>a</p><a href='/x'>" + "<b>x</b> " * 20000 + "</a><a href='/y'>y</a>"
+    many_attrs = "<p>a</p><div " + " ".join(f'a{i}="v{i}"' for i in range(5000)) + ">b</div>"
+    df = spark.createDataFrame([(1, "https://h.example/", long_body), (2, "https://h.example/", many_attrs)],
+                               "page_id long, url string, html string")
+    texts = {r.page_id: r.t for r in df.select("page_id", H.clean_html("html").alias("t")).collect()}
+    assert texts[2] == "a\nb" and texts[1].startswith("a\nx")
+    assert sorted(r.href for r in L.page_links(df).collect()) == ["/x", "/y"]
+    refs = spark.createDataFrame([("AB" + "/1" * 20000,)], "t string")
+    assert refs.select(F.size(E.reference_numbers("t")).alias("n")).first().n == 1
