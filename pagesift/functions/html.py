@@ -78,9 +78,15 @@ def decode_entities(c) -> Column:
     Semicolon-less legacy forms are decoded first (twice, for adjacent
     ones), then the full forms with '&amp;' last."""
     x = _c(c)
+    legacy = x
     for _ in range(2):
         for ent, ch in LEGACY_ENTITIES:
-            x = F.regexp_replace(x, ent + LEGACY_NEXT, ch.replace("\\", "\\\\").replace("$", "\\$") + "$1")
+            legacy = F.regexp_replace(legacy, ent + LEGACY_NEXT,
+                                      ch.replace("\\", "\\\\").replace("$", "\\$") + "$1")
+    # one scan decides whether any legacy form is present; only those rows
+    # pay for the fourteen replacement passes
+    any_legacy = "(" + "|".join(e for e, _ in LEGACY_ENTITIES) + ")" + LEGACY_NEXT
+    x = F.when(x.rlike(any_legacy), legacy).otherwise(x)
     for ent, ch in ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return x
@@ -112,12 +118,16 @@ def clean_html(html) -> Column:
 # (RE2 matches it in linear time).
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a\w)*?)</a\s*>"""
 
-# The JVM form of the same rule: cut the page at every anchor opening, then
-# match one anchor at the start of each piece. Java regexes recurse once per
-# repetition of an alternation group, so the single-pattern form could
-# overflow the stack on a long anchor body; splitting and a lazy dot do not.
-ANCHOR_OPEN = r"(?i)<a\b"
-ANCHOR_PIECE = r"""(?is)^[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+# The JVM form of the same rule. Java regexes recurse once per repetition of
+# an alternation group, so the body rule above could overflow the stack on a
+# long anchor body. Instead every anchor opening is first marked with a
+# sentinel character, and the body is a lazy run of "anything but the
+# sentinel" — a character class, which Java matches iteratively — so a body
+# still cannot run into the next anchor.
+ANCHOR_MARK = "\u0002"
+ANCHOR_OPEN = r"(?i)(<a\b)"
+ANCHOR_JVM = (ANCHOR_MARK + r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>([^"""
+              + ANCHOR_MARK + r"""]*?)</a\s*>""")
 
 
 def anchor_text(inner) -> Column:
@@ -133,12 +143,10 @@ def anchors(html) -> Column:
     """Array of struct<href, inner> for every ``<a href>`` in document order
     (native; href and body are raw, decode with ``decode_entities`` /
     ``anchor_text``)."""
-    pieces = F.filter(F.split(_c(html), ANCHOR_OPEN), lambda p, i: i > 0)
-    found = F.filter(F.transform(pieces, lambda p: F.regexp_extract(p, ANCHOR_PIECE, 0)),
-                     lambda m: m != "")
-    return F.transform(found, lambda m: F.struct(
-        F.regexp_extract(m, ANCHOR_PIECE, 1).alias("href"),
-        F.regexp_extract(m, ANCHOR_PIECE, 2).alias("inner")))
+    marked = F.regexp_replace(F.regexp_replace(_c(html), ANCHOR_MARK, ""),
+                              ANCHOR_OPEN, ANCHOR_MARK + "$1")
+    return F.arrays_zip(F.regexp_extract_all(marked, F.lit(ANCHOR_JVM), 1).alias("href"),
+                        F.regexp_extract_all(marked, F.lit(ANCHOR_JVM), 2).alias("inner"))
 
 
 # ---------------------------------------------------------------- exact path
