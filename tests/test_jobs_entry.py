@@ -73,3 +73,13 @@ def test_all_queries_run_on_smoke_data(spark):
     for name, fn in E.queries().items():
         df = fn(spark, SF001)
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_udfs_do_not_need_the_package_on_worker_path(spark):
+    """Python workers receive the package's UDFs by value, so queries work
+    when the driver runs from another directory (and on executors)."""
+    from pyspark import cloudpickle
+    import pagesift
+    from pagesift.functions import html as H
+    assert cloudpickle.cloudpickle._is_registered_pickle_by_value(H)
+    assert pagesift.__name__ == "pagesift"
