@@ -145,4 +145,19 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
     taken = F.expr(f"CASE WHEN rest = 0 THEN passes * size ELSE passes * size + {covered('hi')} - {covered('lo')} END")
     return placed.withColumn("taken", taken.cast("long")).select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "blocks",
-        *([F.col(f"kept.{c}").alias(c) for c in keep]))
+        *[F.col(f"kept.`{c}`").alias(c) for c in keep if c not in (id_col, source_col)])
+
+
+def draw(df: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0,
+         **options) -> DataFrame:
+    """The mix as whole documents, with all columns of ``df``: each document
+    comes ``taken / size`` times, rounded down or up by a seeded draw, so that a
+    source's words come near its target. Documents without a word are not
+    drawn."""
+    names = df.columns
+    mixed = mix(df.select(F.struct(*[F.col(c) for c in names]).alias("row"), id_col, source_col, text_col),
+                id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, keep=("row",), **options)
+    share = _unit(F.concat_ws(":", F.lit(f"draw{seed}"), F.col(id_col).cast("string"))) / F.lit(float(1 << 60))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + share)).otherwise(0).cast("int")
+    drawn = mixed.select("row", copies.alias("n")).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -19,6 +19,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CACHE_ENTRIES = 200_000
 ROWS_AT_ONCE = 256
@@ -114,19 +115,20 @@ class ForcedBoundaryBPE:
 
 
 def encode(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = False, with_text: bool = False) -> DataFrame:
+           with_ids: bool = False, with_text: bool = False, passed: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256), one row per input row,
-    and on request ``ids`` (array of int) and ``decoded`` (string). Ids equal those
+    and on request ``ids`` (array of int), ``decoded`` (string) and the input columns
+    named in ``passed``. Ids equal those
     of the tokenizers library without special tokens added; the strings of
     special tokens in a text become their ids, as there. Decoding joins the
     tokens' bytes; bytes that are no UTF-8 become U+FFFD.
 
     Defined cases: null and empty texts have no tokens and decode to the empty
     text; null or repeated ids are passed through; an empty table gives no
-    rows; other columns are ignored. Memory per task: some hundred texts, the
-    bounded caches and the longest text.
+    rows; other columns are ignored unless passed. Memory per task: some hundred
+    texts, the bounded caches and the longest text.
     """
     fields = f"n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * with_ids}{', decoded string' * with_text}"
 
@@ -148,8 +150,14 @@ def encode(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 columns += [pa.array(decoded, pa.string())] if with_text else []
-                yield pa.RecordBatch.from_arrays(columns, [id_col, *(f.split()[0] for f in fields.split(", "))])
-
-    source = df.select(id_col, text_col)
-    kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+                columns += [b.column(2)] if passed else []
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       *([F.struct(*[F.col(c) for c in passed]).alias("passed")] if passed else []))
+    fields = f"id {source.schema['id'].dataType.simpleString()}, {fields}"
+    fields += f", passed {source.schema['passed'].dataType.simpleString()}" if passed else ""
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text, *["passed"] * bool(passed)]
+    out = source.mapInArrow(run, fields)
+    return out.select(F.col("id").alias(id_col), *[c for c in names if c not in ("id", "passed")],
+                      *[F.col(f"passed.`{c}`").alias(c) for c in passed])
