@@ -23,7 +23,8 @@ from pagesift.session import build_session  # noqa: E402
 HEADLINE = ["listing_run", "site_run", "clean_text", "clean_text_exact", "page_links", "unique_links",
             "chunks", "fingerprints", "first_seen", "insert_if_absent", "early_stop",
             "run_summary", "merge_enrichment", "document_text", "parse_replies", "job_state",
-            "keyed_replace", "file_manifest", "prompts"]
+            "keyed_replace", "file_manifest", "prompts", "enrich_run", "model_extract",
+            "fallback_links", "rule_extract", "run_log", "stream_dedupe", "full_run"]
 
 
 def main() -> None:

@@ -1,17 +1,15 @@
-"""HTML → text and anchor extraction.
+"""HTML → text, title and anchors, by one parser pass per page.
 
-Two forms of each:
-
-* native: a few ``regexp_replace`` / ``regexp_extract_all`` calls, JVM side,
-  codegen'd, and expressible in DuckDB SQL (oracle-checked);
-* exact: an Arrow-batched pandas UDF over the standard library's
-  ``html.parser`` (entities, unclosed/nested removed elements, script bodies
-  treated as raw text). Used as a projected scalar UDF so filters on other
-  columns still reach the Parquet scan.
+The parser keeps the stack of open elements: an end tag closes its nearest
+opener (and what is open inside it) and is ignored if there is none, so
+unclosed and nested elements cannot lose the rest of a page. It runs as an
+Arrow-batched scalar pandas UDF; what it returns is a small part of the page,
+so HTML never has to leave the scan stage.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,230 +17,151 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import PY_WS, py_strip
-
 # Elements whose whole subtree is dropped before text extraction.
 REMOVED_TAGS = ["script", "style", "nav", "footer", "header", "aside", "noscript",
                 "iframe", "svg"]
-
-# Named entities decoded by the native path (the exact path
-# decodes every entity). '&amp;' must be decoded last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
-            ("&middot;", "\u00b7"), ("&amp;", "&")]
-
-SEP = "\u0001"
-# A removed element: an opening tag that is not self-closed ("<svg/>" has no
-# body and would otherwise make the lazy body scan to the end of the page),
-# then the shortest body up to its closing tag.
-REMOVED_BLOCKS = "(?is)" + "|".join(rf"<{t}\b(?:[^>]*[^/>])?>.*?</{t}\s*>" for t in REMOVED_TAGS)
-COMMENT = r"(?s)<!--.*?-->"
-# A markup token as html.parser sees one: start/end tag (name starts with a
-# letter; quoted attribute values may hold '>'), declaration or processing
-# instruction. A bare '<' followed by anything else stays text. The quoted
-# values are matched at most 200 times per tag: Java regexes recurse once per
-# repetition of such a group, and an unbounded count lets one pathological
-# tag overflow the stack and kill the executor. A tag with more quoted
-# values (or an unbalanced quote) is caught by TAG_FALLBACK, which ends it at
-# the first '>'.
-TAG = (r"""</?[A-Za-z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,200}>"""
-       r"""|<![^>]*>|<\?[^>]*>""")
-TAG_FALLBACK = r"</?[A-Za-z][^>]*>"
-
-
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-# Named entities that HTML also decodes without the closing
-# ';' (legacy forms), e.g. a title cut off as "... and&amp".
-LEGACY_ENTITIES = [("&amp", "&"), ("&lt", "<"), ("&gt", ">"), ("&quot", '"'),
-                   ("&nbsp", "\u00a0"), ("&copy", "\u00a9"), ("&middot", "\u00b7")]
-# what may follow a legacy form for it to be decoded: not ';' (the full form),
-# not a name character, not '#'
-LEGACY_NEXT = "([^;#A-Za-z0-9]|$)"
-
-
-# A maximal run of whitespace and separators that holds at least one
-# separator. Matches may only start where a run starts (look-behind) and the
-# quantifiers never give back (possessive), so a long whitespace run without
-# a separator is rejected in linear time; the plain form
-# W*(?:SEP W*)+ retries every start inside such a run and is quadratic
-# (80k spaces: ~60 s vs 0.4 s). Same matches as the plain form.
-_WS_BODY = PY_WS[1:-1]
-SEP_RUN = rf"(?<![{_WS_BODY}{SEP}]){PY_WS}*+{SEP}[{_WS_BODY}{SEP}]*+"
-
-
-def decode_entities(c) -> Column:
-    """Decode the fixed entity list once (no double decoding of '&amp;lt;').
-    Semicolon-less legacy forms are decoded first (twice, for adjacent
-    ones), then the full forms with '&amp;' last."""
-    x = _c(c)
-    legacy = x
-    for _ in range(2):
-        for ent, ch in LEGACY_ENTITIES:
-            legacy = F.regexp_replace(legacy, ent + LEGACY_NEXT,
-                                      ch.replace("\\", "\\\\").replace("$", "\\$") + "$1")
-    # one scan decides whether any legacy form is present; only those rows
-    # pay for the fourteen replacement passes
-    any_legacy = "(" + "|".join(e for e, _ in LEGACY_ENTITIES) + ")" + LEGACY_NEXT
-    x = F.when(x.rlike(any_legacy), legacy).otherwise(x)
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
-
-
-def clean_html(html) -> Column:
-    """Native HTML → text.
-
-    Drop comments and the removed elements, turn every remaining tag into a
-    separator, decode entities, then strip each text piece (Python strip
-    set), drop empty pieces and join them with '\\n'; finally 3+ newlines → 2
-    and runs of 2+ spaces/tabs → one space.
-    """
-    x = F.regexp_replace(_c(html), COMMENT, "")
-    x = F.regexp_replace(x, REMOVED_BLOCKS, "")
-    x = F.regexp_replace(F.regexp_replace(x, TAG, SEP), TAG_FALLBACK, SEP)
-    x = decode_entities(x)
-    # every run of separators with the whitespace around them → one newline
-    x = F.regexp_replace(x, SEP_RUN, "\n")
-    x = py_strip(x)
-    x = F.regexp_replace(x, r"\n{3,}", "\n\n")
-    return F.regexp_replace(x, r"[ \t]{2,}", " ")
-
-
-# An anchor with an href and its body up to "</a>"; the body may not run into
-# another anchor opening ("<a" not followed by a word character), so an
-# unclosed anchor costs the distance to the next anchor instead of a scan to
-# the end of the page. This single-pattern form is what the SQL twin runs
-# (RE2 matches it in linear time).
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a\w)*?)</a\s*>"""
-
-# The JVM form of the same rule. Java regexes recurse once per repetition of
-# an alternation group, so the body rule above could overflow the stack on a
-# long anchor body. Instead every anchor opening is first marked with a
-# sentinel character, and the body is a lazy run of "anything but the
-# sentinel" — a character class, which Java matches iteratively — so a body
-# still cannot run into the next anchor.
-ANCHOR_MARK = "\u0002"
-ANCHOR_OPEN = r"(?i)(<a\b)"
-ANCHOR_JVM = (ANCHOR_MARK + r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>([^"""
-              + ANCHOR_MARK + r"""]*?)</a\s*>""")
-
-
-def anchor_text(inner) -> Column:
-    """``get_text(strip=True)`` of an anchor body: stripped pieces glued
-    with no separator."""
-    x = F.regexp_replace(F.regexp_replace(_c(inner), TAG, SEP), TAG_FALLBACK, SEP)
-    x = decode_entities(x)
-    x = F.regexp_replace(x, SEP_RUN, "")
-    return py_strip(x)
-
-
-def anchors(html) -> Column:
-    """Array of struct<href, inner> for every ``<a href>`` in document order
-    (native; href and body are raw, decode with ``decode_entities`` /
-    ``anchor_text``)."""
-    marked = F.regexp_replace(F.regexp_replace(_c(html), ANCHOR_MARK, ""),
-                              ANCHOR_OPEN, ANCHOR_MARK + "$1")
-    return F.arrays_zip(F.regexp_extract_all(marked, F.lit(ANCHOR_JVM), 1).alias("href"),
-                        F.regexp_extract_all(marked, F.lit(ANCHOR_JVM), 2).alias("inner"))
-
-
-# ---------------------------------------------------------------- exact path
+# Whitespace that the finished text may not keep (three or more
+# newlines become two, two or more blanks or tabs one space).
+NEWLINES = re.compile(r"\n{3,}")
+BLANKS = re.compile(r"[ \t]{2,}")
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}
 _REMOVED = set(REMOVED_TAGS)
+_CODE = {"script", "style", "template"}
 
 
-class _TextCollector(HTMLParser):
-    """Collects stripped text nodes outside removed subtrees, and anchors."""
+class _Page(HTMLParser):
+    """Stripped text pieces outside removed elements, anchors, and the title."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip = 0          # depth inside removed elements
-        self.texts = []
-        self.links = []        # [href, [text pieces]]
-        self.open_a = []
+        self.stack: list[str] = []
+        self.removed_at: int | None = None   # stack depth of the outermost removed element
+        self.data: list[str] = []            # of the text node being read
+        self.texts: list[str] = []
+        self.links: list[list] = []          # [href, [pieces], stack depth or None]
+        self.open_links: list[list] = []
+        self.title: str | None = None
+
+    def end_text(self) -> None:
+        """A text node ends where markup begins; only then is it stripped."""
+        if not self.data:
+            return
+        node, self.data = "".join(self.data), []
+        inside = self.stack[-1] if self.stack else ""
+        if inside == "title" and self.title is None:
+            self.title = node.strip()
+        node = node.strip()
+        if not node:
+            return
+        if self.removed_at is None:
+            self.texts.append(node)
+        if inside not in _CODE:
+            for link in self.open_links:
+                link[1].append(node)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _REMOVED:
-            self.skip += 1
+        self.end_text()
         if tag == "a":
-            href = dict(attrs).get("href")
-            if href is not None:
-                entry = [href, []]
-                self.links.append(entry)
-                self.open_a.append(entry)
-            else:
-                self.open_a.append(None)
+            href = dict(attrs).get("href", ...)
+            if href is not ...:
+                link = [href or "", [], len(self.stack)]
+                self.links.append(link)
+                self.open_links.append(link)
+        if tag in _VOID:
+            return
+        if tag in _REMOVED and self.removed_at is None:
+            self.removed_at = len(self.stack)
+        self.stack.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if tag == "a":
-            href = dict(attrs).get("href")
-            if href is not None:
-                self.links.append([href, []])
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in _REMOVED and self.skip > 0:
-            self.skip -= 1
-        if tag == "a" and self.open_a:
-            self.open_a.pop()
+        self.end_text()
+        if tag not in self.stack:
+            return
+        while self.stack.pop() != tag:
+            pass
+        depth = len(self.stack)
+        if self.removed_at is not None and self.removed_at >= depth:
+            self.removed_at = None
+        self.open_links = [link for link in self.open_links if link[2] < depth]
 
     def handle_data(self, data):
-        s = data.strip()
-        if not s:
-            return
-        if self.skip == 0:
-            self.texts.append(s)
-        for entry in self.open_a:
-            if entry is not None:
-                entry[1].append(s)
+        self.data.append(data)
 
+    def handle_comment(self, data):
+        self.end_text()
 
-def _collect(html: str | None) -> _TextCollector | None:
-    if html is None:
-        return None
-    p = _TextCollector()
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def _parsed(html: str) -> _Page:
+    page = _Page()
     try:
-        p.feed(html)
-        p.close()
-    except Exception:  # malformed markup: keep what was collected
+        page.feed(html)
+        page.close()
+    except (AssertionError, ValueError):  # markup that the parser gives up on: keep what was read
         pass
-    return p
+    page.end_text()
+    return page
 
 
-def _finish(texts) -> str:
-    import re
-    t = "\n".join(texts)
-    t = re.sub(r"\n{3,}", "\n\n", t)
-    return re.sub(r"[ \t]{2,}", " ", t)
+def page_text(html: str | None) -> str | None:
+    if html is None:
+        return None
+    return BLANKS.sub(" ", NEWLINES.sub("\n\n", "\n".join(_parsed(html).texts)))
+
+
+LINK_SCHEMA = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
+PAGE_SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def clean_html_py(html: str | None) -> str | None:
-    p = _collect(html)
-    return None if p is None else _finish(p.texts)
+def page_anchors(html: str | None) -> list[dict] | None:
+    return None if html is None else [{"href": h, "text": "".join(t)} for h, t, _ in _parsed(html).links]
 
 
 @F.pandas_udf(T.StringType())
-def clean_html_exact(html: pd.Series) -> pd.Series:
-    """Exact HTML → text via ``html.parser`` (Arrow-batched)."""
-    return html.map(clean_html_py)
+def _clean_html(html: pd.Series) -> pd.Series:
+    return html.map(page_text)
 
 
-ANCHOR_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
+@F.pandas_udf(LINK_SCHEMA)
+def _anchors(html: pd.Series) -> pd.Series:
+    return html.map(page_anchors)
 
 
-def anchors_py(html: str | None):
-    p = _collect(html)
-    if p is None:
-        return None
-    return [{"href": h, "text": "".join(parts)} for h, parts in p.links]
+@F.pandas_udf(PAGE_SCHEMA)
+def _title_and_text(html: pd.Series) -> pd.DataFrame:
+    parsed = [None if h is None else _parsed(h) for h in html]
+    return pd.DataFrame({
+        "title": [None if p is None else p.title or "" for p in parsed],
+        "text": [None if p is None else BLANKS.sub(" ", NEWLINES.sub("\n\n", "\n".join(p.texts))) for p in parsed]})
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def clean_html(html) -> Column:
+    """Text of a page: removed elements dropped, every other text node
+    stripped, empty ones dropped, joined with '\\n'; long runs of newlines and
+    blanks shortened."""
+    return _clean_html(_c(html))
+
+
+clean_html_exact = clean_html
+
+
+def anchors(html) -> Column:
+    """Array of struct<href, text> of every ``<a href>`` in document order; the
+    text is the stripped text nodes inside, glued."""
+    return _anchors(_c(html))
 
 
-@F.pandas_udf(ANCHOR_SCHEMA)
-def anchors_exact(html: pd.Series) -> pd.Series:
-    """Exact anchors (href decoded, text = stripped pieces glued)."""
-    return html.map(anchors_py)
+def title_and_text(html) -> Column:
+    """struct<title, text> by one pass over the page."""
+    return _title_and_text(_c(html))

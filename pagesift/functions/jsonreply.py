@@ -30,7 +30,8 @@ def reply_span(raw) -> Column:
     return F.regexp_extract(_c(raw), SPAN, 0)
 
 
-def _valid(s) -> bool:
+def valid_json(s) -> bool:
+    """Whether a text is exactly one JSON value."""
     if s is None or s == "":
         return False
     try:
@@ -41,18 +42,17 @@ def _valid(s) -> bool:
 
 
 @F.pandas_udf(T.BooleanType())
-def json_strict_valid(span: pd.Series) -> pd.Series:
-    """True when the whole text is exactly one JSON value (Python rules)."""
-    return span.map(_valid).astype(bool)
+def _strict_valid(span: pd.Series) -> pd.Series:
+    return span.map(valid_json).astype(bool)
+
 
+# Not to be pushed below a projection and so evaluated twice.
+_strict_valid = _strict_valid.asNondeterministic()
 
-def reply_kind(raw) -> Column:
-    """'array' | 'object' | 'invalid' for a raw reply."""
-    s = reply_span(raw)
-    ok = json_strict_valid(s)
-    return (F.when(~ok, F.lit("invalid"))
-            .when(s.startswith("["), F.lit("array"))
-            .otherwise(F.lit("object")))
+
+def json_strict_valid(span) -> Column:
+    """True when the whole text is exactly one JSON value (Python rules)."""
+    return _strict_valid(_c(span))
 
 
 def parse_list_reply(span, kind, schema: T.StructType) -> Column:

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 PY_WS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 PY_WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# Default chunking parameters and text caps.
+# Default chunking parameters; text caps and key sizes that a
+# caller may ask for (none of the cuts is made by default).
 CHUNK_SIZE = 12000
 CHUNK_OVERLAP = 1000
 DETAIL_TEXT_CAP = 15000
 TITLE_KEY_CHARS = 60
+KEY_DIGITS = 16
 
 
 def _c(c) -> Column:
@@ -37,17 +39,19 @@ def ne(c) -> Column:
     return F.nullif(_c(c), F.lit(""))
 
 
-def fingerprint(reference, title) -> Column:
-    """16-hex record key: sha256 of 'ref title60' after strip+lower, empty
-    parts dropped. Site is not part of the key."""
+def fingerprint(reference, title, title_chars: int | None = None, digits: int = 64) -> Column:
+    """Record key: sha256 of 'ref title' after strip+lower, empty parts
+    dropped. Site is not part of the key. ``title_chars`` and ``digits`` cut the
+    title and the key short (records that differ behind the cut share a key)."""
     ref = ne(F.lower(py_strip(_c(reference))))
-    ttl = ne(F.substring(F.lower(py_strip(_c(title))), 1, TITLE_KEY_CHARS))
-    return F.substring(F.sha2(F.concat_ws(" ", ref, ttl), 256), 1, 16)
+    ttl = F.lower(py_strip(_c(title)))
+    ttl = ne(ttl if title_chars is None else F.substring(ttl, 1, title_chars))
+    return F.substring(F.sha2(F.concat_ws(" ", ref, ttl), 256), 1, digits)
 
 
 # Fixed value: the key every record without reference and title shares
-# (sha256 of the empty string, first 16 hex digits).
-KEYLESS_FINGERPRINT = "e3b0c44298fc1c14"
+# (sha256 of the empty string).
+KEYLESS_FINGERPRINT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def is_keyless(reference, title) -> Column:
@@ -91,9 +95,9 @@ def chunk(df: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
     return out if keep_text else out.drop(text_col)
 
 
-def cap(c, n: int = DETAIL_TEXT_CAP) -> Column:
-    """First n characters."""
-    return F.substring(_c(c), 1, n)
+def cap(c, n: int | None) -> Column:
+    """First n characters (all if n is None)."""
+    return _c(c) if n is None else F.substring(_c(c), 1, n)
 
 
 # Fixed value: the hint section format placed into a prompt when a site has a hint.
@@ -144,12 +148,12 @@ def listing_prompt(site, text, hint=None, template: str = LISTING_TEMPLATE) -> C
                   hint=hint_section(hint) if hint is not None else F.lit(""))
 
 
-def detail_prompt(url, text, template: str = DETAIL_TEMPLATE) -> Column:
-    return render(template, url=url, text=cap(text))
+def detail_prompt(url, text, template: str = DETAIL_TEMPLATE, cap_chars: int | None = None) -> Column:
+    return render(template, url=url, text=cap(text, cap_chars))
 
 
-def file_prompt(url, text, template: str = FILE_TEMPLATE) -> Column:
-    return render(template, url=url, text=text)
+def file_prompt(url, text, template: str = FILE_TEMPLATE, cap_chars: int | None = None) -> Column:
+    return render(template, url=url, text=cap(text, cap_chars))
 
 
 def subject_date(ts) -> Column:
@@ -162,10 +166,6 @@ def body_date(ts) -> Column:
     return F.date_format(_c(ts), "dd MMMM yyyy")
 
 
-def iso_ts(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
-
-
 def html_escape(c) -> Column:
     """Escape & < > for HTML report cells."""
     x = F.replace(_c(c), F.lit("&"), F.lit("&amp;"))

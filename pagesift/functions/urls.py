@@ -76,6 +76,10 @@ def urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_join_py(b, h) for b, h in zip(base, href)], dtype=object)
 
 
+# Not to be pushed below a filter's projection and so evaluated twice.
+urljoin_udf = urljoin_udf.asNondeterministic()
+
+
 def resolve_url(base, href) -> Column:
     """``urljoin(base, href)``: native where possible, UDF for the rest."""
     b, h = _c(base), _c(href)

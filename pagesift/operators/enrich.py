@@ -2,8 +2,8 @@
 
 The merge groups one record's sources: seq 0 = listing, 1 = detail page,
 2.. = documents. By construction (one listing row per stored key, at most one
-detail page and ``MAX_DOCS`` documents) a group holds at most 2 + MAX_DOCS
-rows, so the ordered string aggregate never gathers an unbounded group.
+detail page and the documents that page links) a group holds one record's own
+sources, so the ordered string aggregate gathers what its output holds.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DETAIL_TEXT_CAP, contact_string, ne, py_strip
+from ..functions.text import cap, contact_string, ne, py_strip
 from ..functions.urls import file_name, mime_type
 from ..schemas import MERGE_FIRST_FIELDS
 
@@ -50,53 +50,53 @@ def merge_enrichment(sources: DataFrame, key: str = "fingerprint", seq: str = "s
 
 
 def document_text(doc_pages: DataFrame, doc: str = "doc_url", page_no: str = "page_no",
-                  text: str = "page_text", cap_chars: int = DETAIL_TEXT_CAP) -> DataFrame:
+                  text: str = "page_text", cap_chars: int | None = None,
+                  paragraphs: bool = False) -> DataFrame:
     """Text of a document from its pages: non-empty pages in order, each
-    followed by a newline, capped at ``cap_chars``; documents whose capped
-    text is blank are dropped.
-
-    Pages that start beyond the cap are filtered first (group limit, then
-    running length per document), so the ordered string aggregate only ever
-    sees the pages that can reach the output.
+    followed by a newline (``paragraphs``: joined by newlines, without one at
+    the end); documents whose text is blank are dropped. ``n_pages`` counts all
+    non-empty pages. ``cap_chars`` keeps only the first characters and
+    ``truncated`` tells where that cut something.
+
+    With a cap, pages that start beyond it lose their text (not their count)
+    before the ordered string aggregate, so that one only gathers what can reach
+    the output.
     """
-    from .links import first_k
-    p = doc_pages.where(F.col(text).isNotNull() & (F.col(text) != ""))
-    # every kept page adds at least 2 characters (text + newline), so at most
-    # cap/2 + 1 leading pages can reach the output: cut each document to them
-    # first (a group limit, trimmed map-side) so a huge document never lands
-    # whole in one task
-    p = first_k(p, cap_chars // 2 + 1, [doc], [page_no]).drop("rank")
-    w = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
-    p = (p.withColumn("_start", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0)))
-          .where(F.col("_start") < cap_chars))
-    agg = p.groupBy(doc).agg(
-        F.expr(f"listagg(concat({text}, '\\n'), '') WITHIN GROUP (ORDER BY {page_no})")
-         .alias("_full"),
-        F.count(F.lit(1)).cast("long").alias("n_pages"))
-    out = agg.select(doc, F.substring("_full", 1, cap_chars).alias("text"), "n_pages")
+    p = doc_pages.where(F.col(text).isNotNull() & (F.col(text) != "")).select(doc, page_no, F.col(text).alias("_t"))
+    p = p.withColumn("_n", F.length("_t") + 1)
+    if cap_chars is not None:
+        w = Window.partitionBy(doc).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
+        p = p.withColumn("_t", F.when(F.coalesce(F.sum("_n").over(w), F.lit(0)) < cap_chars, F.col("_t")))
+    joined = (f"listagg(_t, '\\n') WITHIN GROUP (ORDER BY {page_no})" if paragraphs
+              else f"listagg(concat(_t, '\\n'), '') WITHIN GROUP (ORDER BY {page_no})")
+    agg = p.groupBy(doc).agg(F.expr(joined).alias("_full"), F.count(F.lit(1)).cast("long").alias("n_pages"),
+                             F.sum("_n").alias("_n"))
+    size = F.col("_n") - int(paragraphs)
+    out = agg.select(doc, cap(F.col("_full"), cap_chars).alias("text"), "n_pages",
+                     (size > cap_chars if cap_chars is not None else F.lit(False)).alias("truncated"))
     return out.where(py_strip("text") != "")
 
 
 def file_manifest(docs: DataFrame, key: str = "fingerprint", url: str = "url",
-                  name: str = "text", pos: str = "pos", k: int = 3) -> DataFrame:
-    """Storage manifest of a record's first ``k`` document links:
+                  name: str = "text", pos: str = "pos", k: int | None = None) -> DataFrame:
+    """Storage manifest of a record's document links (the first ``k`` if given):
     path tender-docs/{key}/{file name}, mime type by extension, link text as
-    name. The same path twice keeps the last link (overwrite)."""
+    name, ``rank`` in link order. The same path twice keeps the last link
+    (overwrite)."""
     from .dedupe import last_seen
     from .links import first_k
-    top = first_k(docs, k, [key], [pos]).drop("rank")
+    top = first_k(docs, k, [key], [pos])
     m = (top.withColumn("file_name", file_name(F.col(url)))
             .withColumn("path", F.concat(F.lit("tender-docs/"), F.col(key), F.lit("/"),
                                          F.col("file_name")))
             .withColumn("mime_type", mime_type(F.col("file_name"))))
     return last_seen(m.select(key, "path", pos, "file_name", "mime_type",
-                              F.col(name).alias("name"), F.col(url).alias("url")),
+                              F.col(name).alias("name"), F.col(url).alias("url"), "rank"),
                      [key, "path"], [pos])
 
 
 def document_refs(manifest: DataFrame, key: str = "fingerprint", pos: str = "pos") -> DataFrame:
-    """Per record: ordered list of {name, url} and its JSON text. Bounded:
-    the manifest holds at most k rows per record."""
+    """Per record: ordered list of {name, url} and its JSON text."""
     agg = manifest.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(pos, "name", "url"))).alias("_d"))
     refs = F.transform("_d", lambda x: F.struct(x["name"].alias("name"), x["url"].alias("url")))

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
+from ..functions.jsonreply import SPAN, json_strict_valid, parse_list_reply, parse_object_reply, reply_span, valid_json
 from ..functions.text import detail_prompt, file_prompt, fingerprint, listing_prompt, py_strip
 from ..functions.urls import resolve_record_url
 from ..schemas import DETAIL_SCHEMA, FILE_SCHEMA, LISTING_SCHEMA, STATUS_VALUES, TENDER_TYPE_VALUES
+from ..session import stage
 from .dedupe import first_seen
 
 # Section headers to skip and to keep (only when a page labels
@@ -38,10 +39,9 @@ DROPPED_STATUSES = ["Closed", "Awarded"]
 REFERENCE_RE = r"[A-Z]{2,}(?:/[A-Z0-9]+){2,}"
 # The same matches for the JVM engine, starting only where an upper-case run
 # starts and never backtracking into it, so long capital runs cost linear time.
-# Java recurses once per repetition of the segment group, so the segment count
-# is bounded (a reference is cut after 200 segments) to keep one absurd token
-# from overflowing the executor's stack.
-REFERENCE_RE_JVM = r"(?<![A-Z])[A-Z]{2,}+(?:/[A-Z0-9]++){2,200}"
+# The segment group is possessive too: Java then matches it in a loop, so any
+# number of segments fits the stack.
+REFERENCE_RE_JVM = r"(?<![A-Z])[A-Z]{2,}+(?:/[A-Z0-9]++){2,}+"
 
 
 def _alt(words: Sequence[str]) -> str:
@@ -101,7 +101,7 @@ def tender_type_from_text(line) -> Column:
              .otherwise(F.lit("Unknown")))
 
 
-def lines(df: DataFrame, text: str = "chunk") -> DataFrame:
+def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per non-blank line of ``text``: line_no (0-based position in
     the text) and the stripped line."""
     out = df.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "_line"))
@@ -109,33 +109,30 @@ def lines(df: DataFrame, text: str = "chunk") -> DataFrame:
                .where(F.col("line") != ""))
 
 
-def rule_extract(chunks: DataFrame, unit: Sequence[str] = ("page_id", "chunk_no"),
-                 text: str = "chunk", header_max_chars: int = 80) -> DataFrame:
-    """Rule-based listing extraction over chunk text.
+def rule_extract(texts: DataFrame, unit: Sequence[str] = ("page_id",), text: str = "text") -> DataFrame:
+    """Rule-based listing extraction over whole texts.
 
-    A short line naming an excluded or included section is a section header;
-    every other line is in the section of the closest header above it in
-    the same chunk. A record is a line with a reference number that is not in
-    an excluded section and — when the chunk labels any included section —
-    is in one. Status and type come from keywords; closed/awarded records
-    are dropped.
+    A line that names an excluded or included section and holds no reference
+    number is a section header; every other line is in the section of the
+    closest header above it. A record is a line with a reference number that is
+    not in an excluded section and — when the text labels any included
+    section — is in one. Status and type come from keywords; closed/awarded
+    records are dropped.
     """
-    ln = lines(chunks, text)
-    short = F.length("line") <= header_max_chars
-    is_hdr = short & (is_excluded_section("line") | is_included_section("line"))
+    ln = lines(texts, text).withColumn("_refs", reference_numbers("line"))
+    is_hdr = (F.size("_refs") == 0) & (is_excluded_section("line") | is_included_section("line"))
     ln = ln.withColumn("_hdr", F.when(is_hdr, F.col("line")))
     w = Window.partitionBy(*unit).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     wu = Window.partitionBy(*unit)
     ln = (ln.withColumn("section", F.last("_hdr", ignorenulls=True).over(w))
             .withColumn("_labelled", F.max(F.when(is_hdr & is_included_section("line"), 1)
                                            .otherwise(0)).over(wu)))
-    refs = reference_numbers("line")
-    rec = (ln.where(~is_hdr & (F.size(refs) > 0))
+    rec = (ln.where(F.size("_refs") > 0)
              .where(~is_excluded_section("section"))
              .where((F.col("_labelled") == 0) | is_included_section("section"))
              .select(*unit, F.col("line_no").cast("long").alias("pos"), "section",
                      F.col("line").alias("title"),
-                     F.try_element_at(refs, F.lit(1)).alias("reference"),
+                     F.try_element_at("_refs", F.lit(1)).alias("reference"),
                      status_from_text("line").alias("status"),
                      tender_type_from_text("line").alias("tender_type")))
     return drop_closed(rec)
@@ -209,15 +206,8 @@ def infer(prompts: DataFrame, fn: Callable[[list], list], prompt: str = "prompt"
 def strict_json(reply: str) -> bool:
     """Python-side acceptance used by listing retries: the greedy span is a
     single JSON value."""
-    import re
-    m = re.search(r"[\[{].*[\]}]", reply, re.DOTALL)
-    if not m:
-        return False
-    try:
-        json.loads(m.group(0))
-        return True
-    except ValueError:
-        return False
+    m = re.search(SPAN, reply)
+    return bool(m) and valid_json(m.group(0))
 
 
 def parse_listing_replies(replies: DataFrame, reply: str = "reply",
@@ -239,37 +229,49 @@ def parse_object_replies(replies: DataFrame, schema: T.StructType, reply: str =
     return r.withColumn("record", parse_object_reply(F.col("_span"), kind, schema)).drop("_span")
 
 
-def extract_listings(chunks: DataFrame, fn: Callable[[list], list], hint: str | None = None,
+def extract_listings(chunks: DataFrame, fn: Callable[[list], list], hint: str | Column | None = None,
                      page_id: str = "page_id", page_url: str = "page_url",
-                     attempts: int = 2) -> DataFrame:
+                     attempts: int = 2, keep_failed: bool = False) -> DataFrame:
     """Chunks (page_id, page_url, chunk_no, chunk) → one row per first-seen
     record of each page: (page_id, page_url, chunk_no, pos, fingerprint,
-    listing fields...)."""
-    h = F.lit(hint) if hint is not None else None
+    listing fields, attempts, error). ``hint`` is a text for all rows or a column
+    of the chunks (a site's own hint). Status and type become their known
+    values and closed/awarded records are dropped. With ``keep_failed`` every
+    chunk without an accepted reply is a row too, with its ``error`` and nulls
+    for the record."""
+    h = F.lit(hint) if isinstance(hint, str) else hint
     prompts = chunks.select(page_id, page_url, "chunk_no",
                             listing_prompt(F.col(page_url), F.col("chunk"), h).alias("prompt"))
     replies = infer(prompts, fn, keep=[page_id, page_url, "chunk_no"], attempts=attempts,
                     accept=strict_json)
     parsed = parse_listing_replies(replies)
-    rec = parsed.select(page_id, page_url, "chunk_no",
-                        F.posexplode("records").alias("pos", "r"))
-    rec = rec.select(page_id, page_url, "chunk_no", "pos", "r.*")
+    if keep_failed:  # read twice below; the model is asked once
+        parsed = stage(parsed, "replies")
+    whole = [page_id, page_url, "chunk_no", "attempts", "error"]
+    rec = parsed.select(*whole, F.posexplode_outer("records").alias("pos", "r"))
+    failed = rec.where(F.col("error").isNotNull()).select(*whole)
+    rec = rec.where(F.col("r").isNotNull()).select(*whole, "pos", "r.*")
     rec = rec.withColumn("url", resolve_record_url(F.col("url"), F.col(page_url)))
+    rec = drop_closed(rec.withColumn("status", normalise_status("status"))
+                         .withColumn("tender_type", normalise_tender_type("tender_type")))
     rec = rec.withColumn("fingerprint", fingerprint(F.col("reference"), F.col("title")))
-    return first_seen(rec, [page_id, "fingerprint"], ["chunk_no", "pos"])
+    out = first_seen(rec, [page_id, "fingerprint"], ["chunk_no", "pos"])
+    return out.unionByName(failed, allowMissingColumns=True) if keep_failed else out
 
 
 def extract_objects(docs: DataFrame, fn: Callable[[list], list], key: Sequence[str],
-                    url: str = "url", text: str = "text", kind: str = "detail") -> DataFrame:
-    """Detail pages (``kind='detail'``, text capped at 15000 chars) or
-    document texts (``kind='file'``) → one record per row through the model:
-    one call, no retry; a reply that is not exactly one JSON object gives an
-    empty record. Rows whose text is blank make no call and no record.
-    Returns (key..., record fields..., error)."""
+                    url: str = "url", text: str = "text", kind: str = "detail",
+                    cap_chars: int | None = None) -> DataFrame:
+    """Detail pages (``kind='detail'``) or assembled document texts
+    (``kind='file'``, one row per document) → one record per row through the
+    model: one call, no retry; a reply that is not exactly one JSON object gives
+    an empty record. The text goes into the prompt whole, or its first
+    ``cap_chars`` characters. Rows whose text is blank make no call and no
+    record. Returns (key..., record fields..., error)."""
     schema = DETAIL_SCHEMA if kind == "detail" else FILE_SCHEMA
     build = detail_prompt if kind == "detail" else file_prompt
     p = docs.where(py_strip(F.col(text)) != "").select(
-        *key, build(F.col(url), F.col(text)).alias("prompt"))
+        *key, build(F.col(url), F.col(text), cap_chars=cap_chars).alias("prompt"))
     parsed = parse_object_replies(infer(p, fn, keep=list(key), attempts=1), schema)
     return parsed.select(*key, *[F.col("record")[f].alias(f) for f in schema.fieldNames()],
                          "error")

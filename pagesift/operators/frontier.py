@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import with_page_param
@@ -21,8 +21,8 @@ def page_urls(sites: DataFrame) -> DataFrame:
     needs_browser).
 
     With ``tab_urls`` the strategy runs once per tab (page numbers restart)
-    and the tab URL is the base. ``url_param`` yields pages 1..max_pages;
-    every other strategy yields page 1 only; browser strategies are flagged.
+    and the tab URL is the base. ``url_param`` yields pages 1..max_pages (none
+    if that is 0); every other strategy yields page 1 only; browser strategies are flagged.
     """
     cfg = F.col("pagination")
     strategy = F.coalesce(cfg["strategy"], F.lit("none"))
@@ -33,7 +33,7 @@ def page_urls(sites: DataFrame) -> DataFrame:
                  .withColumn("tab_no", F.coalesce("tab_no", F.lit(0)))
                  .withColumn("strategy", strategy))
     n = F.when(F.col("strategy") == "url_param",
-               F.sequence(F.lit(1), F.greatest(max_pages, F.lit(1)))).otherwise(F.array(F.lit(1)))
+               F.when(max_pages >= 1, F.sequence(F.lit(1), max_pages))).otherwise(F.array(F.lit(1)))
     pages = tabs.select("*", F.explode(n).alias("page_num"))
     value = (F.coalesce(cfg["start"], F.lit(DEFAULT_START))
              + (F.col("page_num") - 1) * F.coalesce(cfg["increment"], F.lit(DEFAULT_INCREMENT)))
@@ -55,26 +55,26 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
     first page > 1 with no new record stops the site: it and all later pages
     contribute nothing (a page 1 without new records does not stop).
 
-    ``can_stop(page)`` says which pages may stop a site (default page > 1;
-    with tabs the page key is (tab, page) packed into one number and only a
-    page > 1 within its tab may stop — the stop then ends all later tabs).
+    ``pages`` are the fetched pages (site, page): one without any record is
+    empty and so without new ones; without ``pages`` only pages with records
+    are known. ``page`` may be a number or a struct that orders pages (tab,
+    page); ``can_stop(page)`` says which pages may stop a site (default page > 1).
 
-    Returns ``(kept, page_stats)``: the new records on pages before the stop,
-    and one row per (site, page) with n_extracted, n_new and ``scraped``
-    (pages up to and including the stop page).
+    Returns ``(kept, page_stats)``: the keys (site, key, page, pos) of the new
+    records on pages before the stop — join them with the records for the rest —
+    and one row per (site, page) with n_extracted, n_new and ``scraped`` (pages up
+    to and including the stop page).
 
-    Records are only ever aggregated on (site, key) or (site, page) —
-    combined on the map side — and semi-joined with the per-(site, page)
-    table, which AQE broadcasts once its measured size is small; no window
-    holds a site's records in one task. ``materialize`` writes the small
-    per-page table once to the shared checkpoint folder so its two readers
-    do not recompute the record aggregations.
+    Only keys are shuffled: they are aggregated on (site, key) and (site,
+    page), combined on the map side, and joined with one row per site or per
+    page. ``materialize`` writes the new keys and the page table once to the
+    shared folder, so the records and the history are read once.
     """
-    rest = [c for c in records.columns if c not in (site, key, page, pos)]
-    firsts = (records.groupBy(site, key)
-                     .agg(F.min(F.struct(page, pos, *rest)).alias("_f"))
-                     .select(site, key, *[F.col("_f")[c].alias(c) for c in [page, pos] + rest]))
-    new = firsts.join(history.select(key), key, "left_anti")
+    new = (records.groupBy(site, key).agg(F.min(F.struct(page, pos)).alias("_f"))
+                  .select(site, key, F.col("_f")[page].alias(page), F.col("_f")[pos].alias(pos))
+                  .join(history.select(key), key, "left_anti"))
+    if materialize:
+        new = stage(new, "new-keys")
     n_new = new.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_new"))
     n_ext = records.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_extracted"))
     if pages is not None:  # fetched pages without any record count too
@@ -83,31 +83,34 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
                       .groupBy(site, page).agg(F.sum("n_extracted").alias("n_extracted")))
     stats = (n_ext.join(n_new, [site, page], "left")
                   .withColumn("n_new", F.coalesce("n_new", F.lit(0)).cast("long")))
-    # The stop page per site, computed over the per-(site, page) table: a
-    # site holds at most max_pages rows there however many records it has,
-    # so this window cannot concentrate a hot site's records in one task.
-    w = Window.partitionBy(site)
-    stoppable = can_stop(F.col(page)) if can_stop is not None else (F.col(page) > 1)
-    stats = (stats.withColumn("stop_page", F.min(F.when(stoppable & (F.col("n_new") == 0),
-                                                        F.col(page))).over(w))
-                  .withColumn("scraped", F.col("stop_page").isNull()
-                              | (F.col(page) <= F.col("stop_page"))))
     if materialize:
-        stats = stage(stats, "page-stats")  # small; read by the record filter and the summary
-    keep_pages = stats.where(F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page"))) \
-                      .select(site, page)
-    kept = new.join(keep_pages, [site, page], "left_semi")
+        stats = stage(stats, "page-counts")
+    stoppable = can_stop(F.col(page)) if can_stop is not None else (F.col(page) > 1)
+    stops = stats.where(stoppable & (F.col("n_new") == 0)).groupBy(site).agg(F.min(page).alias("stop_page"))
+    stats = stats.join(stops, site, "left").withColumn(
+        "scraped", F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
+    kept = (new.join(stops, site, "left")
+               .where(F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page")))
+               .select(site, key, page, pos))
     return kept, stats
 
 
-def run_summary(stats: DataFrame, stored: DataFrame, site: str = "site_id") -> DataFrame:
+def run_summary(stats: DataFrame, stored: DataFrame, site: str = "site_id",
+                sites: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Per-site run row: pages_scraped (including the stop page) and
-    tenders_found (records of the site that were stored)."""
+    tenders_found (records of the site that were stored). ``sites`` (site): every
+    one has a row, with zeros if nothing was fetched. ``errors`` (site,
+    error_message): these sites' runs ended with status 'error'."""
     pages = stats.groupBy(site).agg(
         F.count(F.when(F.col("scraped"), 1)).cast("long").alias("pages_scraped"),
         F.sum(F.when(F.col("scraped"), F.col("n_extracted")).otherwise(0))
          .cast("long").alias("records_extracted"))
+    if sites is not None:
+        pages = sites.select(site).distinct().join(pages, site, "left")
     found = stored.groupBy(site).agg(F.count(F.lit(1)).cast("long").alias("tenders_found"))
-    return (pages.join(found, site, "left")
-                 .withColumn("tenders_found", F.coalesce("tenders_found", F.lit(0)).cast("long"))
-                 .withColumn("status", F.lit("success")))
+    out = pages.join(found, site, "left").fillna(0, ["pages_scraped", "records_extracted", "tenders_found"])
+    if errors is None:
+        return out.withColumn("status", F.lit("success"))
+    first = errors.groupBy(site).agg(F.min("error_message").alias("error_message"))
+    return out.join(first, site, "left").withColumn(
+        "status", F.when(F.col("error_message").isNull(), "success").otherwise("error"))

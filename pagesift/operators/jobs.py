@@ -103,17 +103,28 @@ def delete_cascade(rows: DataFrame, deleted: DataFrame, fk: str, pk: str) -> Dat
     return rows.join(d, fk, "left_anti")
 
 
-def start_run(sites: DataFrame, run_ts: Column, id_col: str = "id") -> DataFrame:
-    return sites.select(F.expr("uuid()").alias("id"), F.col(id_col).alias("site_id"),
+def listing(rows: DataFrame, order: str, key: str, where: Column | None = None) -> DataFrame:
+    """Rows newest first (``order`` descending, then ``key``), of one site or
+    status if ``where`` says so."""
+    return (rows if where is None else rows.where(where)).orderBy(F.col(order).desc_nulls_last(), F.col(key).asc())
+
+
+def start_run(sites: DataFrame, run_ts: Column, id_col: str = "id", run_id: Column | None = None) -> DataFrame:
+    """Opening run events, one per site."""
+    return sites.select((F.expr("uuid()") if run_id is None else run_id).alias("id"), F.col(id_col).alias("site_id"),
                         F.lit(RUN_RUNNING).alias("status"), run_ts.alias("ts"),
-                        F.lit(0).cast("long").alias("seq"))
+                        F.lit(0).cast("long").alias("seq"), F.lit(None).cast("int").alias("pages_scraped"),
+                        F.lit(None).cast("int").alias("tenders_found"), F.lit(None).cast("string").alias("error_message"))
 
 
 def finish_run(summary: DataFrame, runs: DataFrame, run_ts: Column) -> DataFrame:
     """Closing run events from a per-site summary (pages_scraped,
-    tenders_found, status, error_message)."""
+    tenders_found, status, and error_message if it has one). A run without a
+    summary row ends with an error."""
+    if "error_message" not in summary.columns:
+        summary = summary.withColumn("error_message", F.lit(None).cast("string"))
     j = runs.select("id", "site_id").join(summary, "site_id", "left")
     return j.select("id", "site_id", F.coalesce("status", F.lit(RUN_ERROR)).alias("status"),
                     run_ts.alias("ts"), F.lit(1).cast("long").alias("seq"),
                     F.col("pages_scraped").cast("int"), F.col("tenders_found").cast("int"),
-                    F.lit(None).cast("string").alias("error_message"))
+                    F.when(F.col("status").isNull(), F.lit("no result for the site")).otherwise(F.col("error_message")).alias("error_message"))

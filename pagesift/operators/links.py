@@ -7,12 +7,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.html import anchor_text, anchors, anchors_exact, decode_entities
+from ..functions.html import anchors
 from ..functions.text import py_strip
 from ..functions.urls import resolve_url
 
 # Download-link extensions (substring match on the lowered
-# href), detail-link patterns, fallback and document limits.
+# href), detail-link patterns, and the fallback and document limits that a
+# caller may ask for (by default all links are followed).
 DOWNLOAD_EXTS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip"]
 DETAIL_LINK_PATTERNS = ["tender", "tawaran", "perolehan", "sebutharga", "procurement",
                         "announcement", "notice", "iklan", "finance/"]
@@ -47,23 +48,15 @@ def is_detail(url, text, patterns: Sequence[str] = DETAIL_LINK_PATTERNS) -> Colu
 
 
 def page_links(pages: DataFrame, page_id: str = "page_id", url: str = "url",
-               html: str = "html", exact: bool = False) -> DataFrame:
+               html: str = "html") -> DataFrame:
     """One row per usable ``<a href>``: (page_id, page_url, pos, href, text,
     link_url). ``pos`` is the anchor's 0-based document position; ``href`` is
     stripped; ``link_url`` is the href joined with the page URL."""
-    if exact:
-        arr = anchors_exact(F.col(html))
-        ex = pages.select(F.col(page_id), F.col(url).alias("page_url"),
-                          F.posexplode(arr).alias("pos", "a"))
-        raw = ex.select(page_id, "page_url", "pos",
-                        py_strip(F.col("a.href")).alias("href"),
-                        F.col("a.text").alias("text"))
-    else:
-        ex = pages.select(F.col(page_id), F.col(url).alias("page_url"),
-                          F.posexplode(anchors(F.col(html))).alias("pos", "a"))
-        raw = ex.select(page_id, "page_url", "pos",
-                        py_strip(decode_entities(F.col("a.href"))).alias("href"),
-                        anchor_text(F.col("a.inner")).alias("text"))
+    found = pages.select(F.col(page_id), F.col(url).alias("page_url"), anchors(html).alias("_a"))
+    # An outer explode: the optimizer would filter a plain one on the array's
+    # size below the projection, and so parse every page twice.
+    raw = (found.select(page_id, "page_url", F.posexplode_outer("_a").alias("pos", "a")).where("pos IS NOT NULL")
+                .select(page_id, "page_url", "pos", py_strip(F.col("a.href")).alias("href"), F.col("a.text").alias("text")))
     return (raw.where(usable_href("href"))
                .withColumn("link_url", resolve_url(F.col("page_url"), F.col("href"))))
 
@@ -75,11 +68,13 @@ def unique_links(links: DataFrame, page_id: str = "page_id", url: str = "link_ur
     return first_seen(links, [page_id, url], [pos])
 
 
-def first_k(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First ``k`` rows per group. Planned as a WindowGroupLimit, which also
-    trims each group on the map side before the shuffle."""
+def first_k(df: DataFrame, k: int | None, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First ``k`` rows per group (None: all), with their ``rank``. A limit is
+    planned as a WindowGroupLimit, which also trims each group on the map side
+    before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def download_links(links: DataFrame) -> DataFrame:
@@ -90,7 +85,8 @@ def download_links(links: DataFrame) -> DataFrame:
 
 
 def detail_links(links: DataFrame, patterns: Sequence[str] = DETAIL_LINK_PATTERNS,
-                 k: int = FALLBACK_LINKS) -> DataFrame:
-    """First ``k`` unique links per page whose URL or text hits a pattern."""
+                 k: int | None = None) -> DataFrame:
+    """Unique links per page whose URL or text hits a pattern, with their
+    ``rank`` in document order; only the first ``k`` if given."""
     d = links.where(is_detail("link_url", "text", patterns))
     return first_k(unique_links(d), k, ["page_id"], ["pos"])

@@ -1,14 +1,14 @@
 """DuckDB oracle SQL for the bound queries (same column names and types).
 
 The SQL is written independently of the Spark plans, from the operator
-semantics; only the fixed values (tag list, entity list, patterns, template
-text) are shared so both sides speak about the same constants. DuckDB uses
-RE2, so patterns avoid back-references.
+semantics. HTML and rules have patterns of their own here (the engine parses
+HTML; these regular expressions hold for the stored pages); of fixed values
+only word lists, template texts and the strip set are shared. DuckDB uses RE2,
+so patterns avoid back-references.
 """
 
 from __future__ import annotations
 
-from ..functions import html as H
 from ..functions import text as X
 from ..operators import extract, links
 from . import queries as Q
@@ -32,19 +32,29 @@ def strip(e: str) -> str:
     return f"trim({e}, {WS_SET})"
 
 
+# Entities that occur in the stored pages; '&amp;' comes last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
+            ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+# Comments and dropped elements, whichever comes first, in one alternation.
+DROPPED = "(?is)<!--.*?-->|" + "|".join(
+    f"<{t}(?:\\s[^>]*)?>.*?</{t}\\s*>" for t in
+    ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe", "svg"))
+MARKUP = r"""</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>"""
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["'][^>]*>((?:[^<]|<[^a]|<a\w)*?)</a\s*>"""
+REFERENCE = r"[A-Z]{2,}(?:/[A-Z0-9]+){2,}"
+LATE = r"(?i)closing\s+soon"
+
+
 def decode(e: str) -> str:
-    for _ in range(2):
-        for ent, ch in H.LEGACY_ENTITIES:
-            e = f"regexp_replace({e}, {lit(ent + H.LEGACY_NEXT)}, {lit(ch + chr(92) + '1')}, 'g')"
-    for ent, ch in H.ENTITIES:
+    for ent, ch in ENTITIES:
         e = f"replace({e}, {lit(ent)}, {lit(ch)})"
-    return e
+    # a form without its ';' at the end of a piece or before a blank
+    return f"regexp_replace({e}, '&(amp)([^;#A-Za-z0-9]|$)', '&\\2', 'g')"
 
 
 def clean(e: str) -> str:
-    x = f"regexp_replace({e}, {lit(H.COMMENT)}, '', 'g')"
-    x = f"regexp_replace({x}, {lit(H.REMOVED_BLOCKS)}, '', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, {lit(H.TAG)}, chr(1), 'g'), {lit(H.TAG_FALLBACK)}, chr(1), 'g')"
+    x = f"regexp_replace({e}, {lit(DROPPED)}, chr(1), 'g')"
+    x = f"regexp_replace({x}, {lit(MARKUP)}, chr(1), 'g')"
     x = decode(x)
     x = f"regexp_replace({x}, {lit(W + '*(?:' + chr(92) + 'x01' + W + '*)+')}, {NL}, 'g')"
     x = strip(x)
@@ -53,16 +63,15 @@ def clean(e: str) -> str:
 
 
 def anchor_text(e: str) -> str:
-    x = f"regexp_replace(regexp_replace({e}, {lit(H.TAG)}, chr(1), 'g'), {lit(H.TAG_FALLBACK)}, chr(1), 'g')"
-    x = decode(x)
+    x = decode(f"regexp_replace({e}, {lit(MARKUP)}, chr(1), 'g')")
     x = f"regexp_replace({x}, {lit(W + '*' + chr(92) + 'x01+' + W + '*')}, '', 'g')"
     return strip(x)
 
 
 def fp(ref: str, title: str) -> str:
     r = f"nullif(lower({strip(ref)}), '')"
-    t = f"nullif(substring(lower({strip(title)}), 1, {X.TITLE_KEY_CHARS}), '')"
-    return f"substring(sha256(concat_ws(' ', {r}, {t})), 1, 16)"
+    t = f"nullif(lower({strip(title)}), '')"
+    return f"sha256(concat_ws(' ', {r}, {t}))"
 
 
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
@@ -107,8 +116,8 @@ def links_cte(src: str = "pages") -> str:
 PAGE_LINKS_CTE = f"""
 a AS (
   SELECT page_id, url AS page_url,
-         regexp_extract_all(html, {lit(H.ANCHOR)}, 1) AS hrefs,
-         regexp_extract_all(html, {lit(H.ANCHOR)}, 2) AS inners
+         regexp_extract_all(html, {lit(ANCHOR)}, 1) AS hrefs,
+         regexp_extract_all(html, {lit(ANCHOR)}, 2) AS inners
   FROM pages),
 e AS (
   SELECT page_id, page_url, hrefs, inners,
@@ -174,14 +183,19 @@ hist AS (SELECT fingerprint FROM recs WHERE event_type = 'signup')"""
 
 
 def _early_stop_cte(recs: str = "recs", order: str = "page_num, pos",
-                    stop_cond: str = "page_num > 1") -> str:
+                    stop_cond: str = "page_num > 1", pages: str | None = None, sites: str | None = None) -> str:
+    """CTEs firsts … summary; ``pages`` (site_id, page_num) were fetched, ``sites``
+    (site_id) ran."""
+    empty = f" UNION ALL SELECT DISTINCT site_id, page_num, 0 FROM {pages}" if pages else ""
+    every = f"(SELECT DISTINCT site_id FROM {sites})" if sites else "(SELECT DISTINCT site_id FROM stats)"
     return f"""
 firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, fingerprint ORDER BY {order}) AS rn
                  FROM {recs}) WHERE rn = 1),
 new AS (SELECT * FROM firsts WHERE fingerprint NOT IN (SELECT fingerprint FROM hist WHERE fingerprint IS NOT NULL)),
 n_new AS (SELECT site_id, page_num, count(*) AS n_new FROM new GROUP BY ALL),
-n_ext AS (SELECT site_id, page_num, count(*) AS n_extracted FROM {recs} GROUP BY ALL),
+n_ext AS (SELECT site_id, page_num, sum(n)::BIGINT AS n_extracted
+          FROM (SELECT site_id, page_num, count(*) AS n FROM {recs} GROUP BY ALL{empty}) GROUP BY ALL),
 stats0 AS (
   SELECT x.site_id, x.page_num, x.n_extracted, coalesce(n.n_new, 0) AS n_new
   FROM n_ext x LEFT JOIN n_new n USING (site_id, page_num)),
@@ -198,11 +212,13 @@ stored AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY site_id, {order}) AS rn2
                  FROM kept) WHERE rn2 = 1),
 summary AS (
-  SELECT p.site_id, p.pages_scraped, p.records_extracted,
+  SELECT e.site_id, CAST(coalesce(p.pages_scraped, 0) AS BIGINT) AS pages_scraped,
+         CAST(coalesce(p.records_extracted, 0) AS BIGINT) AS records_extracted,
          CAST(coalesce(f.tenders_found, 0) AS BIGINT) AS tenders_found, 'success' AS status
-  FROM (SELECT site_id, CAST(count(*) FILTER (WHERE scraped) AS BIGINT) AS pages_scraped,
-               CAST(sum(CASE WHEN scraped THEN n_extracted ELSE 0 END) AS BIGINT) AS records_extracted
-        FROM stats GROUP BY site_id) p
+  FROM {every} e LEFT JOIN
+       (SELECT site_id, count(*) FILTER (WHERE scraped) AS pages_scraped,
+               sum(CASE WHEN scraped THEN n_extracted ELSE 0 END) AS records_extracted
+        FROM stats GROUP BY site_id) p USING (site_id)
   LEFT JOIN (SELECT site_id, count(*) AS tenders_found FROM stored GROUP BY site_id) f USING (site_id))"""
 
 
@@ -240,14 +256,14 @@ st AS (
   FROM ev GROUP BY id)"""
 
 TITLE = strip(decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))
+FROM_HOST = f"regexp_extract(url, {lit(Q.HOST_RE)}, 1)"
 
 PAGE_DOCS = f"""
 pd AS (
   SELECT {fp('CAST(NULL AS VARCHAR)', TITLE)} AS fingerprint, url, {TITLE} AS text, page_id AS pos
   FROM pages),
 top AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY pos) AS rk FROM pd)
-  WHERE rk <= 3),
+  SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY pos) AS rk FROM pd),
 fn AS (
   SELECT *, CASE WHEN strpos(nm, '.') > 0 THEN nm ELSE nm || '.pdf' END AS file_name
   FROM (SELECT *, CASE WHEN seg = '' THEN 'document' ELSE seg END AS nm
@@ -255,7 +271,7 @@ fn AS (
 mf AS (
   SELECT * FROM (
     SELECT fingerprint, 'tender-docs/' || fingerprint || '/' || file_name AS path, pos, file_name,
-           text AS name, url,
+           text AS name, url, rk,
            row_number() OVER (PARTITION BY fingerprint, 'tender-docs/' || fingerprint || '/' || file_name
                               ORDER BY pos DESC) AS rl
     FROM fn) WHERE rl = 1)"""
@@ -268,63 +284,59 @@ def _mime(e: str) -> str:
     return f"coalesce(CASE {ext} {whens} END, {lit(DEFAULT_MIME)})"
 
 
-FLAGSHIP_P = f"""p AS (
-  SELECT page_id, regexp_extract(url, {lit(Q.HOST_RE)}, 1) AS site_id,
+def _pages_cte(src: str = "pages") -> str:
+    return f"""p AS (
+  SELECT page_id, {FROM_HOST} AS site_id, url,
          coalesce(TRY_CAST(nullif(regexp_extract(url, {lit(Q.PAGE_PARAM_RE)}, 1), '') AS INTEGER), 1)
            AS page_num,
          {clean('html')} AS text
-  FROM pages)"""
+  FROM {src})"""
 
 
-def run_sql(p_cte: str, stop_cond: str = "page_num > 1") -> str:
-    """The batch run over the fetched pages of CTE ``p`` (page_id, site_id,
-    page_num, text): records → first-seen per page → early stop against the
-    history → first-seen across sites → per-site summary."""
-    return RUN_BODY.replace("@P@", p_cte).replace("@STOP@", stop_cond)
+HISTORY = f"""hist AS (
+  SELECT {fp('CAST(NULL AS VARCHAR)', "split_part(text, chr(10), 1)")} AS fingerprint FROM documents WHERE lang = 'de')"""
 
 
-RUN_BODY = f"""
-WITH @P@,
-ch AS ({_chunks_cte('p', 'page_id, site_id, page_num')}),
+def run_sql(p_cte: str, stop_cond: str = "page_num > 1", sites: str = "p") -> str:
+    """The batch run over the fetched pages of CTE ``p`` (page_id, site_id,
+    page_num, text): lines as records → first-seen per page → early stop
+    against the history → first-seen across sites → per-site summary."""
+    return f"""
+WITH {p_cte},
 ln0 AS (
-  SELECT page_id, site_id, page_num, chunk_no, lines,
-         unnest(generate_series(0, len(lines) - 1)) AS pos
-  FROM (SELECT *, string_split(chunk, chr(10)) AS lines FROM ch)),
-ln AS (
-  SELECT page_id, site_id, page_num, chunk_no, pos, {strip('lines[pos + 1]')} AS line FROM ln0),
+  SELECT page_id, site_id, page_num, lines, unnest(generate_series(0, len(lines) - 1)) AS pos
+  FROM (SELECT *, string_split(text, chr(10)) AS lines FROM p)),
+ln AS (SELECT page_id, site_id, page_num, pos, {strip('lines[pos + 1]')} AS line FROM ln0),
 rec0 AS (
-  SELECT page_id, site_id, page_num, chunk_no, pos,
-         {fp(f"regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)[1]", 'line')} AS fingerprint
+  SELECT page_id, site_id, page_num, pos,
+         {fp(f"regexp_extract_all(line, {lit(REFERENCE)}, 0)[1]", 'line')} AS fingerprint
   FROM ln WHERE line <> ''),
 recs AS (
   SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY page_id, fingerprint ORDER BY chunk_no, pos) AS rn
+    SELECT *, row_number() OVER (PARTITION BY page_id, fingerprint ORDER BY pos) AS rn
     FROM rec0) WHERE rn = 1),
-hist AS (
-  SELECT {fp('CAST(NULL AS VARCHAR)', "split_part(text, chr(10), 1)")} AS fingerprint FROM documents),
-{_early_stop_cte('recs', 'page_num, page_id, chunk_no, pos', '@STOP@')}
+{HISTORY},
+{_early_stop_cte('recs', 'page_num, page_id, pos', stop_cond, pages='p', sites=sites)}
 SELECT * FROM summary"""
-FLAGSHIP = run_sql(FLAGSHIP_P)
 
 
 def rule_cte(src: str, key: str) -> str:
-    """CTEs ru_ch … ru_r: rule-extracted records (before the closed/awarded
-    filter) of the chunked ``text`` of ``src``, keyed by ``key``."""
-    exc = lit(extract.EXCLUDED_RE)
-    inc = lit(extract.INCLUDED_RE)
-    return f"""ru_ch AS ({_chunks_cte(src, key)}),
-ru_l0 AS (SELECT {key}, chunk_no, lines, unnest(generate_series(0, len(lines) - 1)) AS line_no
-       FROM (SELECT *, string_split(chunk, chr(10)) AS lines FROM ru_ch)),
-ru_l1 AS (SELECT {key}, chunk_no, line_no, {strip('lines[line_no + 1]')} AS line FROM ru_l0),
-ru_l2 AS (SELECT *, length(line) <= 80 AND (regexp_matches(line, {exc}) OR regexp_matches(line, {inc})) AS is_hdr
+    """CTEs ru_l0 … ru_r: rule-extracted records (before the closed/awarded
+    filter) of the ``text`` of ``src``, keyed by ``key``."""
+    exc = lit("(?i)(" + "|".join(w.replace(" ", r"\s+") for w in extract.EXCLUDED_SECTIONS) + ")")
+    inc = lit("(?i)(" + "|".join(w.replace(" ", r"\s+") for w in extract.INCLUDED_SECTIONS) + ")")
+    refs = f"regexp_extract_all(line, {lit(REFERENCE)}, 0)"
+    return f"""ru_l0 AS (SELECT {key}, lines, unnest(generate_series(0, len(lines) - 1)) AS line_no
+       FROM (SELECT *, string_split(text, chr(10)) AS lines FROM {src})),
+ru_l1 AS (SELECT {key}, line_no, {strip('lines[line_no + 1]')} AS line FROM ru_l0),
+ru_l2 AS (SELECT *, len({refs}) = 0 AND (regexp_matches(line, {exc}) OR regexp_matches(line, {inc})) AS is_hdr
        FROM ru_l1 WHERE line <> ''),
 ru_l3 AS (SELECT *, last_value(CASE WHEN is_hdr THEN line END IGNORE NULLS) OVER (
-         PARTITION BY {key}, chunk_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
-       max(CASE WHEN is_hdr AND regexp_matches(line, {inc}) THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, chunk_no) AS labelled
+         PARTITION BY {key} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section,
+       max(CASE WHEN is_hdr AND regexp_matches(line, {inc}) THEN 1 ELSE 0 END) OVER (PARTITION BY {key}) AS labelled
        FROM ru_l2),
-ru_r AS (SELECT {key}, chunk_no, CAST(line_no AS BIGINT) AS pos, section, line AS title,
-        regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)[1] AS reference,
-        CASE WHEN regexp_matches(line, '(?i)closing\\s+soon') THEN 'Closing Soon'
+ru_r AS (SELECT {key}, CAST(line_no AS BIGINT) AS pos, section, line AS title, {refs}[1] AS reference,
+        CASE WHEN regexp_matches(line, {lit(LATE)}) THEN 'Closing Soon'
              WHEN regexp_matches(line, '(?i)\\bawarded\\b') THEN 'Awarded'
              WHEN regexp_matches(line, '(?i)\\bclosed\\b') THEN 'Closed'
              WHEN regexp_matches(line, '(?i)\\bopen\\b') THEN 'Open' ELSE 'Unknown' END AS status,
@@ -332,16 +344,31 @@ ru_r AS (SELECT {key}, chunk_no, CAST(line_no AS BIGINT) AS pos, section, line A
                THEN upper(regexp_extract(line, '(?i)\\b(RFQ|RFP|RFI|EOI)\\b', 1))
              WHEN regexp_matches(line, '(?i)\\btender\\b') THEN 'Tender' ELSE 'Unknown' END AS tender_type
       FROM ru_l3
-      WHERE NOT is_hdr AND len(regexp_extract_all(line, {lit(extract.REFERENCE_RE)}, 0)) > 0
+      WHERE len({refs}) > 0
         AND NOT coalesce(regexp_matches(section, {exc}), false)
         AND (labelled = 0 OR coalesce(regexp_matches(section, {inc}), false)))"""
 
 
+NUMBERED = """numbered AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0
+  THEN html || '<p>Works ABC/DEF/' || CAST(page_id AS VARCHAR) || '</p>' ELSE html END AS html FROM pages)"""
+
+NOTICES = """cut AS (SELECT doc_id, lang, source, string_split(text, '. ') AS s FROM documents),
+numbered_s AS (SELECT doc_id, lang, source, unnest(s) AS x, unnest(generate_series(0, len(s) - 1)) AS i FROM cut),
+notice_lines AS (SELECT doc_id, i,
+  CASE WHEN i % 17 = 16 AND doc_id % 4 = 0 THEN 'Keputusan ' || x
+       WHEN i % 17 = 8 AND doc_id % 4 = 0 THEN 'Active  Tenders'
+       WHEN i % 3 = 0 THEN x || ' ' || upper(lang) || '/' || upper(source) || '/' || doc_id || '/' || i
+         || CASE WHEN i % 5 = 0 THEN ' open RFQ' WHEN i % 7 = 0 THEN ' awarded'
+                 WHEN i % 4 = 0 THEN ' tender closing soon' ELSE '' END
+       ELSE x END AS line FROM numbered_s),
+notices AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM notice_lines GROUP BY doc_id)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["listing_run"] = FLAGSHIP
+    q["listing_run"] = run_sql(_pages_cte())
+    q["blanked_run"] = run_sql(_pages_cte("(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN '<p> </p>' ELSE html END AS html FROM pages)"))
     q["clean_text"] = f"SELECT page_id, {clean('html')} AS text FROM pages"
-    # the exact parser and the native form agree on every test page
     q["clean_text_exact"] = q["clean_text"]
     q["page_links"] = f"WITH {PAGE_LINKS_CTE} SELECT page_id, pos, href, text, link_url FROM links"
     q["unique_links"] = f"WITH {PAGE_LINKS_CTE} SELECT page_id, link_url, pos, href, text FROM ulinks"
@@ -366,7 +393,7 @@ t AS (
   SELECT site_id, strategy, CAST(i - 1 AS BIGINT) AS tab_no, tabs[i] AS base
   FROM (SELECT *, unnest(generate_series(1, len(tabs))) AS i FROM s WHERE tabs IS NOT NULL)),
 pg AS (
-  SELECT *, unnest(CASE WHEN strategy = 'url_param' THEN generate_series(1, 3) ELSE [1] END) AS page_num
+  SELECT *, unnest(CASE WHEN strategy = 'url_param' THEN generate_series(1, 20) ELSE [1] END) AS page_num
   FROM t)
 SELECT site_id, tab_no, CAST(page_num AS BIGINT) AS page_num,
   CASE WHEN strategy <> 'url_param' THEN base
@@ -379,15 +406,14 @@ SELECT site_id, tab_no, CAST(page_num AS BIGINT) AS page_num,
   END AS url,
   strategy, strategy IN ('next_button', 'load_more', 'infinite') AS needs_browser
 FROM pg"""
-    from .batch import TAB_STRIDE
     site_p = f"""pu AS (SELECT * FROM ({q['page_urls']})),
 pgu AS (SELECT url, html FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rnu FROM pages) WHERE rnu = 1),
 p AS (
   SELECT pu.site_id || ':' || CAST(pu.tab_no AS VARCHAR) || ':' || CAST(pu.page_num AS VARCHAR) AS page_id,
-         pu.site_id, pu.tab_no * {TAB_STRIDE} + pu.page_num AS page_num, {clean('pgu.html')} AS text
+         pu.site_id, pu.tab_no * 1000000000 + pu.page_num AS page_num, {clean('pgu.html')} AS text
   FROM pu JOIN pgu USING (url))"""
-    q["site_run"] = run_sql(site_p, f"page_num % {TAB_STRIDE} > 1")
+    q["site_run"] = run_sql(site_p, "page_num % 1000000000 > 1", sites="(SELECT CAST(page_id AS VARCHAR) AS site_id FROM pages)")
     q["chunks"] = f"SELECT doc_id, chunk_no, chunk_start, chunk FROM ({_chunks_cte('documents', 'doc_id')})"
     q["fingerprints"] = f"SELECT doc_id, {DOC_FP} AS fingerprint FROM documents"
     q["first_seen"] = f"""SELECT fingerprint, doc_id, source, lang FROM (
@@ -402,7 +428,7 @@ ins AS (SELECT fingerprint, doc_id, lang FROM f
     q["inserted_count"] = ins + " SELECT CAST(count(*) AS BIGINT) AS inserted FROM ins"
     q["prompts"] = f"""SELECT doc_id, chunk_no, {_prompt('source', HINT_DE, 'chunk')} AS prompt
 FROM ({_chunks_cte('documents', 'doc_id, source, lang')})"""
-    cells = {"title": "split_part(text, chr(10), 1)", "issuer": "source",
+    cells = {"title": "text", "issuer": "source",
              "deadline": "CAST(NULL AS VARCHAR)", "status": "lang", "source_site": "source"}
     cell_sql = ", ".join(f"{_cell(v)} AS {k}" for k, v in cells.items())
     row = " || ".join(f"'<td>' || {k} || '</td>'" for k in cells)
@@ -412,9 +438,7 @@ FROM (SELECT doc_id, {cell_sql} FROM documents)"""
   '[Digest] ' || CAST(n_new AS VARCHAR) || ' new notice(s) — ' || strftime(TIMESTAMP '2026-12-01 09:00:00', '%Y-%m-%d') AS subject,
   'Notice digest — ' || strftime(TIMESTAMP '2026-12-01 09:00:00', '%d %B %Y') AS heading
 FROM (SELECT CAST(count(*) AS BIGINT) AS n_new FROM documents) WHERE n_new > 0"""
-    exc = lit(extract.EXCLUDED_RE)
-    inc = lit(extract.INCLUDED_RE)
-    q["rule_extract"] = "WITH " + rule_cte("documents", "doc_id") + \
+    q["rule_extract"] = f"WITH {NOTICES}, " + rule_cte("notices", "doc_id") + \
         " SELECT * FROM ru_r WHERE status NOT IN ('Closed', 'Awarded')"
     q["early_stop"] = f"WITH {EVENT_RECS}, {_early_stop_cte()} SELECT site_id, fingerprint, page_num, pos FROM kept"
     q["run_summary"] = f"WITH {EVENT_RECS}, {_early_stop_cte()} SELECT * FROM summary"
@@ -478,40 +502,56 @@ SELECT conv_id,
            arg_min(nullif(contact, ''), turn) FILTER (WHERE turn = 0)) AS contact,
   CAST(count(*) AS BIGINT) AS n_sources
 FROM c GROUP BY conv_id"""
-    q["document_text"] = f"""WITH p AS (
-  SELECT conv_id, turn, text,
-         coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM conversations WHERE text IS NOT NULL AND text <> ''),
-a AS (SELECT conv_id, substring(string_agg(text || chr(10), '' ORDER BY turn), 1, {X.DETAIL_TEXT_CAP}) AS text,
-             CAST(count(*) AS BIGINT) AS n_pages
-      FROM p WHERE start < {X.DETAIL_TEXT_CAP} GROUP BY conv_id)
+    q["document_text"] = f"""WITH a AS (
+  SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS n_pages, false AS truncated
+  FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id)
 SELECT * FROM a WHERE {strip('text')} <> ''"""
     q["file_manifest"] = f"""WITH {PAGE_DOCS}
-SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, name, url FROM mf"""
+SELECT fingerprint, path, pos, file_name, {_mime('file_name')} AS mime_type, name, url, CAST(rk AS BIGINT) AS rank FROM mf"""
     q["document_refs"] = f"""WITH {PAGE_DOCS}
 SELECT fingerprint, CAST(to_json(list({{'name': name, 'url': url}} ORDER BY pos)) AS VARCHAR) AS document_urls_json
 FROM mf GROUP BY fingerprint"""
-    q["download_links"] = f"""WITH {PAGE_LINKS_CTE},
+    with_files = """(SELECT page_id, url, html || '<p><a href="/files/' || page_id || '.PDF?v=1">Notice ' || page_id
+  || '</a> <a href="' || page_id || '.xlsx"></a> <a href="/files/' || page_id || '.PDF?v=1">again</a></p>' AS html FROM pages)"""
+    q["download_links"] = f"""WITH {links_cte(with_files)},
 dl AS (SELECT page_id, link_url, pos, CASE WHEN text = '' THEN 'document' ELSE text END AS text,
               row_number() OVER (PARTITION BY page_id, link_url ORDER BY pos) AS rk
        FROM links WHERE {contains_any('lower(href)', links.DOWNLOAD_EXTS)})
 SELECT page_id, link_url, pos, text FROM dl WHERE rk = 1"""
-    q["fallback_links"] = f"""WITH sp AS (
-  SELECT page_id, regexp_extract(url, {lit(Q.HOST_RE)}, 1) AS site_id,
-         coalesce(TRY_CAST(nullif(regexp_extract(url, {lit(Q.PAGE_PARAM_RE)}, 1), '') AS INTEGER), 1)
-           AS page_num, url, html, {clean('html')} AS text
-  FROM pages),
-{rule_cte('sp', 'page_id')},
-rr AS (SELECT DISTINCT page_id FROM ru_r WHERE status NOT IN ('Closed', 'Awarded')),
-empty AS (SELECT page_id, url, html, site_id FROM sp
+    targets = f"""{NUMBERED}, {_pages_cte('numbered')},
+{rule_cte('p', 'page_id')},
+rr AS (SELECT * FROM ru_r WHERE status NOT IN ('Closed', 'Awarded')),
+empty AS (SELECT n.page_id, n.url, n.html, p.site_id FROM p JOIN numbered n USING (page_id)
           WHERE page_num = 1 AND page_id NOT IN (SELECT page_id FROM rr)),
 {links_cte('empty')},
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM ulinks
       WHERE {contains_any('lower(link_url)', Q.TEST_DETAIL_PATTERNS)}
-         OR {contains_any('lower(text)', Q.TEST_DETAIL_PATTERNS)})
+         OR {contains_any('lower(text)', Q.TEST_DETAIL_PATTERNS)})"""
+    q["fallback_links"] = f"""WITH {targets}
 SELECT e.site_id, d.page_id AS listing_page_id, d.link_url, CAST(d.rank AS BIGINT) AS link_rank
-FROM d JOIN empty e USING (page_id) WHERE d.rank <= {links.FALLBACK_LINKS}"""
+FROM d JOIN empty e USING (page_id)"""
+    # The whole run: rule records, those behind the links of empty page-1
+    # listings, early stop, first-seen, the detail page's text of the latter.
+    q["full_run"] = f"""WITH {targets},
+own AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT p.site_id, p.page_num, r.page_id, r.pos, r.title, r.reference, r.status, r.tender_type, p.url, p.url AS page_url,
+         {fp('reference', 'title')} AS fingerprint,
+         row_number() OVER (PARTITION BY r.page_id, {fp('reference', 'title')} ORDER BY r.pos) AS rn
+  FROM rr r JOIN p USING (page_id)) WHERE rn = 1),
+by_url AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+linked AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT e.site_id, 1 AS page_num, e.page_id, r.pos, r.title, r.reference, r.status, r.tender_type, d.link_url AS url, e.url AS page_url,
+         {fp('reference', 'title')} AS fingerprint,
+         row_number() OVER (PARTITION BY e.page_id, {fp('reference', 'title')} ORDER BY d.rank, r.pos) AS rn
+  FROM d JOIN empty e USING (page_id) JOIN by_url u ON u.url = d.link_url JOIN rr r ON r.page_id = u.page_id) WHERE rn = 1),
+recs AS (SELECT * FROM own UNION ALL SELECT * FROM linked),
+{HISTORY},
+{_early_stop_cte('recs', 'page_num, page_id, pos', pages='p', sites='p')},
+detail AS (SELECT s.fingerprint, p.text FROM stored s JOIN by_url u USING (url) JOIN p ON p.page_id = u.page_id
+           WHERE starts_with(s.url, 'http') AND rtrim(s.url, '/') <> rtrim(s.page_url, '/'))
+SELECT s.fingerprint, s.site_id, upper(s.site_id) AS source_site, s.title, s.reference, s.status, s.tender_type, s.url,
+       nullif(d.text, '') AS description, '2026-12-01 09:00:00.000000' AS scraped_at
+FROM stored s LEFT JOIN detail d USING (fingerprint)"""
     q["known_keys"] = f"SELECT DISTINCT {DOC_FP} AS fingerprint FROM documents"
     q["page_stats"] = f"""WITH {EVENT_RECS}, {_early_stop_cte()}
 SELECT site_id, page_num, CAST(n_extracted AS BIGINT) AS n_extracted, CAST(n_new AS BIGINT) AS n_new, scraped
@@ -522,24 +562,21 @@ SELECT 'run-' || CAST(site_id AS VARCHAR) AS id, CAST(site_id AS VARCHAR) AS sit
        pages_scraped, tenders_found
 FROM summary"""
     q["stream_dedupe"] = ins + " SELECT * FROM ins"
-    # model_extract with the deterministic stub model: lines of 8+ words become
-    # records; a chunk whose prompt text length is a multiple of 3 gets a
-    # broken reply on both attempts and yields nothing
-    nonspace = "[^" + W[1:] + "+"
+    # model_extract with the deterministic stub model: every line is a record;
+    # a chunk of a length divisible by 7 (the prompt ends with one more
+    # character) fails both times
     q["model_extract"] = f"""WITH p AS (SELECT page_id, url AS page_url, {clean('html')} AS text FROM pages),
 ch AS ({_chunks_cte('p', 'page_id, page_url')}),
-ok AS (SELECT * FROM ch WHERE (length(chunk) + 1) % 3 <> 0),
 l0 AS (SELECT page_id, chunk_no, ls, unnest(generate_series(1, len(ls))) AS i
-       FROM (SELECT *, string_split_regex(chunk, {lit(LINE_BREAKS)}) AS ls FROM ok)),
-l1 AS (SELECT page_id, chunk_no, i, ls[i] AS line FROM l0
-       WHERE len(regexp_extract_all(ls[i], {lit(nonspace)})) >= 8),
-rec AS (SELECT page_id, chunk_no,
-               CAST(row_number() OVER (PARTITION BY page_id, chunk_no ORDER BY i) - 1 AS BIGINT) AS pos,
-               {strip('line')} AS title FROM l1),
-f AS (SELECT *, {fp('CAST(NULL AS VARCHAR)', 'title')} AS fingerprint FROM rec)
-SELECT page_id, fingerprint, chunk_no, pos, title FROM (
+       FROM (SELECT *, string_split(chunk, chr(10)) AS ls FROM ch WHERE (length(chunk) + 1) % 7 <> 0)),
+l1 AS (SELECT page_id, chunk_no, i, {strip('ls[i]')} AS title FROM l0 WHERE {strip('ls[i]')} <> ''),
+rec AS (SELECT page_id, chunk_no, title,
+               CAST(row_number() OVER (PARTITION BY page_id, chunk_no ORDER BY i) - 1 AS BIGINT) AS pos FROM l1),
+f AS (SELECT *, {fp('CAST(NULL AS VARCHAR)', 'title')} AS fingerprint FROM rec WHERE length(title) % 11 <> 0)
+SELECT page_id, fingerprint, chunk_no, CAST(pos AS VARCHAR) AS pos, title, 'Open' AS status, CAST(NULL AS VARCHAR) AS attempts, CAST(NULL AS VARCHAR) AS error FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, fingerprint ORDER BY chunk_no, pos) AS rn FROM f)
-WHERE rn = 1"""
+WHERE rn = 1
+UNION ALL SELECT page_id, NULL, chunk_no, NULL, NULL, NULL, '2', 'rejected reply' FROM ch WHERE (length(chunk) + 1) % 7 = 0"""
     from . import batch as B
     q["enrich_run"] = f"""WITH pg AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)
@@ -550,7 +587,7 @@ rec AS (
          regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' AS page_url, html
   FROM pg),
 det AS (
-  SELECT fingerprint, substring({clean('html')}, 1, {X.DETAIL_TEXT_CAP}) AS t FROM rec
+  SELECT fingerprint, {clean('html')} AS t FROM rec
   WHERE starts_with(url, 'http') AND rtrim(url, '/') <> rtrim(page_url, '/')),
 d2 AS (
   SELECT fingerprint, nullif(t, '') AS description,

@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
 from ..operators import dedupe, enrich, extract, frontier, jobs, links, report
 from . import batch
-from ..sources.tables import spread, table
+from ..sources.tables import table
 
 RUN_TS = "2026-12-01 09:00:00"
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -36,20 +36,20 @@ def run_ts() -> Column:
 # ------------------------------------------------------------------ pages
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "pages")).select("page_id", H.clean_html("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", H.clean_html("html").alias("text"))
 
 
 def clean_text_exact(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "pages")).select("page_id", H.clean_html_exact("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", H.clean_html_exact("html").alias("text"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.page_links(spread(table(spark, d, "pages"))).select(
+    return links.page_links(table(spark, d, "pages")).select(
         "page_id", F.col("pos").cast("long").alias("pos"), "href", "text", "link_url")
 
 
 def unique_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.unique_links(links.page_links(spread(table(spark, d, "pages")))).select(
+    return links.unique_links(links.page_links(table(spark, d, "pages"))).select(
         "page_id", "link_url", F.col("pos").cast("long").alias("pos"), "href", "text")
 
 
@@ -59,14 +59,14 @@ TEST_DETAIL_PATTERNS = ["tion", "ment"]
 
 
 def detail_links_top20(spark: SparkSession, d: str) -> DataFrame:
-    lk = links.page_links(spread(table(spark, d, "pages")))
+    lk = links.page_links(table(spark, d, "pages"))
     return links.detail_links(lk, TEST_DETAIL_PATTERNS, links.FALLBACK_LINKS).select(
         "page_id", "link_url", F.col("pos").cast("long").alias("pos"), "text",
         F.col("rank").cast("long").alias("rank"))
 
 
 def small_pages(spark: SparkSession, d: str, min_chars: int = 5000) -> DataFrame:
-    p = spread(table(spark, d, "pages"))
+    p = table(spark, d, "pages")
     n = F.length("html").cast("long")
     return p.select("page_id", "url", n.alias("html_chars"), (n < min_chars).alias("is_small"))
 
@@ -78,7 +78,7 @@ def _sites_from_pages(p: DataFrame) -> DataFrame:
                  .otherwise(F.lit("none")))
     pagination = F.struct(strategy.alias("strategy"), F.lit("page").alias("param"),
                           F.lit(1).alias("start"), F.lit(1).alias("increment"),
-                          F.lit(3).alias("max_pages"))
+                          F.lit(None).cast("int").alias("max_pages"))
     tabs = F.when(F.instr("url", "/en/") > 0,
                   F.array(F.col("url"), F.replace(F.col("url"), F.lit("/en/"), F.lit("/de/"))))
     return p.select(F.col("page_id").cast("string").alias("id"), "url",
@@ -86,7 +86,7 @@ def _sites_from_pages(p: DataFrame) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, d: str) -> DataFrame:
-    sites = _sites_from_pages(spread(table(spark, d, "pages")).select("page_id", "url"))
+    sites = _sites_from_pages(table(spark, d, "pages").select("page_id", "url"))
     return frontier.page_urls(sites).select(
         "site_id", F.col("tab_no").cast("long").alias("tab_no"),
         F.col("page_num").cast("long").alias("page_num"), "url", "strategy", "needs_browser")
@@ -95,7 +95,7 @@ def page_urls(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------- documents
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    doc = spread(table(spark, d, "documents")).select("doc_id", "text")
+    doc = table(spark, d, "documents").select("doc_id", "text")
     return X.chunk(doc, "text").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
                                        F.col("chunk_start").cast("long").alias("chunk_start"),
                                        "chunk")
@@ -106,16 +106,16 @@ def _doc_fp(d: DataFrame) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return _doc_fp(spread(table(spark, d, "documents"))).select("doc_id", "fingerprint")
+    return _doc_fp(table(spark, d, "documents")).select("doc_id", "fingerprint")
 
 
 def first_seen(spark: SparkSession, d: str) -> DataFrame:
-    doc = _doc_fp(spread(table(spark, d, "documents"))).select("fingerprint", "doc_id", "source", "lang")
+    doc = _doc_fp(table(spark, d, "documents")).select("fingerprint", "doc_id", "source", "lang")
     return dedupe.first_seen(doc, ["fingerprint"], ["doc_id"])
 
 
 def _history_and_batch(spark, d):
-    doc = _doc_fp(spread(table(spark, d, "documents"))).select("fingerprint", "doc_id", "lang")
+    doc = _doc_fp(table(spark, d, "documents")).select("fingerprint", "doc_id", "lang")
     history = doc.where(F.col("lang") == "de").select("fingerprint")
     return history, doc
 
@@ -131,7 +131,7 @@ def inserted_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    doc = spread(table(spark, d, "documents")).select("doc_id", "source", "lang", "text")
+    doc = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     ch = X.chunk(doc, "text")
     hint = F.when(F.col("lang") == "de", F.lit("Seiten in deutscher Sprache"))
     return ch.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
@@ -139,23 +139,35 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, d: str) -> DataFrame:
-    doc = spread(table(spark, d, "documents"))
-    rec = doc.select(F.col("doc_id").alias("fingerprint"),
-                     F.substring_index("text", "\n", 1).alias("title"),
+    doc = table(spark, d, "documents")
+    rec = doc.select(F.col("doc_id").alias("fingerprint"), F.col("text").alias("title"),
                      F.col("source").alias("issuer"), F.lit(None).cast("string").alias("deadline"),
                      F.col("lang").alias("status"), F.col("source").alias("source_site"))
     return report.digest_rows(rec).withColumnRenamed("fingerprint", "doc_id")
 
 
 def digest_header(spark: SparkSession, d: str) -> DataFrame:
-    return report.digest_header(spread(table(spark, d, "documents")), run_ts())
+    return report.digest_header(table(spark, d, "documents"), run_ts())
+
+
+def _notices(spark, d) -> DataFrame:
+    """Documents as notice lists, (doc_id, text): the i-th sentence of a
+    document becomes a line; every 3rd one gets a reference number of its
+    source and language, some a status, and every 17th line names a section."""
+    doc = table(spark, d, "documents").select("doc_id", "source", "lang", F.split("text", r"\. ").alias("s"))
+
+    def line(x, i):
+        ref = F.concat(F.lit(" "), F.upper("lang"), F.lit("/"), F.upper("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"))
+        state = (F.when(i % 5 == 0, F.lit(" open RFQ")).when(i % 7 == 0, F.lit(" awarded")).when(i % 4 == 0, F.lit(" tender closing soon")).otherwise(F.lit("")))
+        head = (F.when((i % 17 == 16) & (F.col("doc_id") % 4 == 0), F.concat(F.lit("Keputusan "), x))
+                 .when((i % 17 == 8) & (F.col("doc_id") % 4 == 0), F.lit("Active  Tenders")))
+        return F.coalesce(head, F.when(i % 3 == 0, F.concat(x, ref, state)).otherwise(x))
+
+    return doc.select("doc_id", F.array_join(F.transform("s", line), "\n").alias("text"))
 
 
 def rule_extract(spark: SparkSession, d: str) -> DataFrame:
-    doc = spread(table(spark, d, "documents")).select("doc_id", "text")
-    ch = X.chunk(doc, "text").select("doc_id", "chunk_no", "chunk")
-    r = extract.rule_extract(ch, unit=("doc_id", "chunk_no"))
-    return r.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return extract.rule_extract(_notices(spark, d), unit=("doc_id",))
 
 
 # ----------------------------------------------------------------- events
@@ -305,8 +317,7 @@ def name_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return (o.where(F.col("o_orderstatus") == "O")
-             .orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").asc())
+    return (jobs.listing(o, "o_orderdate", "o_orderkey", F.col("o_orderstatus") == "O")
              .select("o_orderkey", _ts("o_orderdate").alias("o_orderdate"), "o_orderpriority"))
 
 
@@ -351,21 +362,15 @@ def document_text(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------- pages as documents
 
-def _title(html: Column) -> Column:
-    return X.py_strip(H.decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)))
-
-
 def _page_docs(spark, d) -> DataFrame:
-    p = spread(table(spark, d, "pages"))
-    host = F.regexp_extract("url", HOST_RE, 1)
-    t = _title(F.col("html"))
-    return p.select(X.fingerprint(F.lit(None).cast("string"), t).alias("fingerprint"),
-                    F.col("url"), t.alias("text"), F.col("page_id").alias("pos"), host.alias("host"))
+    p = table(spark, d, "pages").select("page_id", "url", H.title_and_text("html")["title"].alias("text"))
+    return p.select(X.fingerprint(F.lit(None).cast("string"), F.col("text")).alias("fingerprint"),
+                    F.col("url"), "text", F.col("page_id").alias("pos"))
 
 
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     m = enrich.file_manifest(_page_docs(spark, d))
-    return m.select("fingerprint", "path", "pos", "file_name", "mime_type", "name", "url")
+    return m.select("fingerprint", "path", "pos", "file_name", "mime_type", "name", "url", F.col("rank").cast("long").alias("rank"))
 
 
 def document_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -375,24 +380,37 @@ def document_refs(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------- flagship
 
-def listing_records(spark: SparkSession, d: str) -> DataFrame:
-    """pages → clean text → chunks → one candidate record per line
-    (title := line, reference := first reference number) → fingerprint →
-    first-seen per page; site := host, page := the page URL parameter."""
-    return batch.page_records(batch.site_pages(spread(table(spark, d, "pages"))))
+def _sites_of(pages: DataFrame) -> DataFrame:
+    return pages.select(F.regexp_extract("url", HOST_RE, 1).alias("site_id")).distinct()
 
 
 def _stored_history(spark, d) -> DataFrame:
-    doc = table(spark, d, "documents")
+    """Keys of the first lines of the German documents, as titles."""
+    doc = table(spark, d, "documents").where(F.col("lang") == "de")
     return doc.select(X.fingerprint(F.lit(None).cast("string"),
                                     F.substring_index("text", "\n", 1)).alias("fingerprint"))
 
 
 def listing_run(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: the batch run over all sites. Early stop per site against
-    the stored history, then first-seen across sites; one row per site with
-    pages scraped, records extracted and records stored."""
-    _, summary = batch.run_batch(listing_records(spark, d), _stored_history(spark, d))
+    """Flagship: the batch run over all sites (site := host, page := the page
+    URL parameter): one candidate record per line of each page, early stop per
+    site against the stored history, then first-seen across sites; one row per
+    site with pages scraped, records extracted and records stored."""
+    pages = table(spark, d, "pages")
+    sp = batch.site_pages(pages)
+    _, summary = batch.run_batch(batch.page_records(sp), _stored_history(spark, d),
+                                 pages=sp.select("site_id", "page_num"), sites=_sites_of(pages))
+    return summary
+
+
+def blanked_run(spark: SparkSession, d: str) -> DataFrame:
+    """listing_run with every fifth page empty: an empty page past page 1
+    stops its site, and a site with empty pages only still has its row."""
+    pages = table(spark, d, "pages").withColumn(
+        "html", F.when(F.col("page_id") % 5 == 0, F.lit("<p> </p>")).otherwise(F.col("html")))
+    sp = batch.site_pages(pages)
+    _, summary = batch.run_batch(batch.page_records(sp), _stored_history(spark, d),
+                                 pages=sp.select("site_id", "page_num"), sites=_sites_of(pages))
     return summary
 
 
@@ -400,33 +418,42 @@ def site_run(spark: SparkSession, d: str) -> DataFrame:
     """The batch run driven by site configs: sites (one per stored page, as
     in ``page_urls``) → generated page URLs (tabs × strategy) → stored pages
     joined by URL → records → early stop per site (a stop ends all later
-    tabs) → first-seen across sites → per-site summary."""
-    pages = spread(table(spark, d, "pages"))
+    tabs) → first-seen across sites → a summary row for every site."""
+    pages = table(spark, d, "pages")
     sites = _sites_from_pages(pages.select("page_id", "url"))
     fetched = batch.fetch_pages(sites, pages)
-    rec = batch.page_records(fetched)
-    _, summary = batch.run_batch(rec, _stored_history(spark, d), can_stop=batch.stoppable_in_tab)
+    rec = batch.fetched_records(fetched, pages)
+    _, summary = batch.run_batch(rec, _stored_history(spark, d), pages=fetched.select("site_id", "page_num"),
+                                 sites=sites.select(F.col("id").alias("site_id")), can_stop=batch.stoppable_in_tab)
     return summary
 
 
+def full_run(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run as one: rule records of pages that hold reference numbers
+    (see ``fallback_links``), detail links of the others, early stop, first-seen,
+    enrichment, annotation: the rows that go into the record table."""
+    p = table(spark, d, "pages")
+    p = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>Works ABC/DEF/"), F.col("page_id").cast("string"), F.lit("</p>"))).otherwise(F.col("html")))
+    sites = _sites_of(p).withColumn("source_site", F.upper("site_id"))
+    rows, _, _ = batch.full_run(batch.site_pages(p), sites, _stored_history(spark, d), run_ts(), patterns=TEST_DETAIL_PATTERNS)
+    return rows.select("fingerprint", "site_id", "source_site", "title", "reference", "status", "tender_type", "url",
+                       "description", _ts("scraped_at").alias("scraped_at"))
+
+
 def enrich_run(spark: SparkSession, d: str) -> DataFrame:
     """Each stored page listed once on its site's root listing (title :=
     <title>, description := first text line, url := page URL), enriched from
     its detail page (the page itself, joined by URL) with rule-extracted
     contact/requirement fields and merged in source order. The HTML is
-    parsed once; the page text table is staged for its two readers."""
+    parsed once; the page text table is staged for its readers."""
     from ..session import stage
-    p = spread(table(spark, d, "pages"))
-    first = dedupe.first_seen(p.select("url", "page_id"), ["url"], ["page_id"])
-    pg = p.join(first, ["url", "page_id"], "left_semi")
-    pt = stage(pg.select("url", "page_id", _title(F.col("html")).alias("title"),
-                         H.clean_html("html").alias("text")), "page-text")
-    rec = pt.select(X.fingerprint(F.col("url"), F.col("title")).alias("fingerprint"),
-                    "title", "url",
-                    F.substring_index("text", "\n", 1).alias("description"),
-                    F.lit(None).cast("string").alias("contact"),
-                    F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1),
-                             F.lit("/")).alias("page_url"))
+    pt = table(spark, d, "pages").select("url", "page_id", H.title_and_text("html").alias("p"))
+    pt = stage(pt.select("url", "page_id", X.py_strip("p.title").alias("title"), F.col("p.text").alias("text")), "page-text")
+    rec = pt.join(batch.stored_pages(pt), ["url", "page_id"], "left_semi").select(
+        X.fingerprint(F.col("url"), F.col("title")).alias("fingerprint"), "title", "url",
+        F.substring_index("text", "\n", 1).alias("description"),
+        F.lit(None).cast("string").alias("contact"),
+        F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1), F.lit("/")).alias("page_url"))
     out = batch.enrich_records(rec, pt.select("page_id", "url", "text"))
     return out.select("fingerprint", "title", "url", "description", "contact_email",
                       "contact_phone", "requirements", "submission_method", "contact",
@@ -434,45 +461,62 @@ def enrich_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stub_model(prompts):
-    """Deterministic stand-in for a model: one record per page-text line that
-    holds 8+ words, as a fenced JSON array (every third reply is broken to
-    exercise retries and failure rows)."""
+    """Deterministic stand-in for a model: one record per non-blank page-text
+    line, as a fenced JSON array. A reply is broken if the text's length is a
+    multiple of 7 (always) or else of 3 (the first time it is asked, in a task)."""
     import json
+    asked = _stub_model.__dict__.setdefault("asked", set())
     out = []
     for p in prompts:
         text = p.split("Page text:\n", 1)[-1]
-        recs = [{"title": ln.strip(), "reference": None, "url": None}
-                for ln in text.splitlines() if len(ln.split()) >= 8]
+        recs = [{"title": ln.strip(), "reference": None, "url": None, "status": "Closed" if len(ln.strip()) % 11 == 0 else "Open"}
+                for ln in text.split("\n") if ln.strip()]
         body = json.dumps(recs, ensure_ascii=False)
-        out.append("```json\n" + body + "\n```" if len(text) % 3 else "sorry: " + body[:-1])
+        broken = len(text) % 7 == 0 or (len(text) % 3 == 0 and p not in asked)
+        asked.add(p)
+        out.append("sorry: " + body[:-1] if broken else "```json\n" + body + "\n```")
     return out
 
 
 def model_extract(spark: SparkSession, d: str) -> DataFrame:
     """Listing extraction through the pluggable batch-inference operator
-    (stub model), over every page: prompts → replies → strict parse →
-    records → absolute URLs → fingerprints → first-seen per page."""
-    p = spread(table(spark, d, "pages"))
+    (stub model), over every page: prompts → replies, retried once → strict
+    parse → records (closed ones dropped) → absolute URLs → fingerprints →
+    first-seen per page; chunks without an accepted reply are rows with an error."""
+    p = table(spark, d, "pages")
     base = p.select("page_id", F.col("url").alias("page_url"), H.clean_html("html").alias("text"))
     ch = X.chunk(base, "text")
-    out = extract.extract_listings(ch, _stub_model, attempts=2)
+    out = extract.extract_listings(ch, _stub_model, attempts=2, keep_failed=True)
     return out.select("page_id", "fingerprint", F.col("chunk_no").cast("long").alias("chunk_no"),
-                      F.col("pos").cast("long").alias("pos"), "title")
+                      F.col("pos").cast("string").alias("pos"), "title", "status",
+                      F.when(F.col("error").isNotNull(), F.col("attempts").cast("string")).alias("attempts"), "error")
+
+
+def _pages_with_files(spark, d) -> DataFrame:
+    """The stored pages with three document links each behind their own."""
+    p = table(spark, d, "pages")
+    i = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<p><a href="/files/'), i, F.lit('.PDF?v=1">Notice '), i, F.lit('</a> <a href="'), i,
+                    F.lit('.xlsx"></a> <a href="/files/'), i, F.lit('.PDF?v=1">again</a></p>'))
+    return p.withColumn("html", F.concat("html", more))
 
 
 def download_links(spark: SparkSession, d: str) -> DataFrame:
     """Unique document links per page (href holds .pdf/.doc/.docx/.xls/.xlsx/
     .zip anywhere; empty link text → 'document')."""
-    dl = links.download_links(links.page_links(spread(table(spark, d, "pages"))))
+    dl = links.download_links(links.page_links(_pages_with_files(spark, d)))
     return dl.select("page_id", "link_url", F.col("pos").cast("long").alias("pos"), "text")
 
 
 def fallback_links(spark: SparkSession, d: str) -> DataFrame:
-    """Zero-result fallback targets: page-1 listings where the rule
-    extractor finds no record, and their first 20 unique detail links."""
-    sp = batch.site_pages(spread(table(spark, d, "pages")))
+    """Zero-result fallback targets: page-1 listings where the rule extractor
+    finds no record, and their unique detail links. Pages with an even id get a
+    line with a reference number, so they have one."""
+    p = table(spark, d, "pages")
+    p = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>Works ABC/DEF/"), F.col("page_id").cast("string"), F.lit("</p>"))).otherwise(F.col("html")))
+    sp = batch.site_pages(p)
     rec = batch.rule_records(sp)
-    t = batch.fallback_targets(sp, rec, TEST_DETAIL_PATTERNS, links.FALLBACK_LINKS)
+    t = batch.fallback_targets(sp, rec, TEST_DETAIL_PATTERNS)
     return t.select("site_id", "listing_page_id", "link_url",
                     F.col("link_rank").cast("long").alias("link_rank"))
 
@@ -496,13 +540,8 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     """Run log as append-only events (start + finish per site) and its
     current-state view."""
     summary = run_summary(spark, d).withColumn("site_id", F.col("site_id").cast("string"))
-    sites = summary.select(F.col("site_id").alias("id"))
-    start = sites.select(F.concat(F.lit("run-"), F.col("id")).alias("id"),
-                         F.col("id").alias("site_id"), F.lit(jobs.RUN_RUNNING).alias("status"),
-                         run_ts().alias("ts"), F.lit(0).cast("long").alias("seq"),
-                         F.lit(None).cast("int").alias("pages_scraped"),
-                         F.lit(None).cast("int").alias("tenders_found"),
-                         F.lit(None).cast("string").alias("error_message"))
+    sites = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
+    start = jobs.start_run(sites, run_ts(), run_id=F.concat(F.lit("run-"), F.col("id")))
     finish = jobs.finish_run(summary, start.select("id", "site_id"),
                              F.to_timestamp(F.lit("2026-12-01 09:30:00")))
     ev = start.unionByName(finish)
@@ -543,6 +582,8 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_run": listing_run,
     "site_run": site_run,
+    "blanked_run": blanked_run,
+    "full_run": full_run,
     "clean_text": clean_text,
     "clean_text_exact": clean_text_exact,
     "page_links": page_links,

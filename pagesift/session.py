@@ -44,12 +44,15 @@ def build_session(master: str = "local[8]", app: str = "pagesift",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    On a cluster this is set by the deployment (a shared filesystem path).
-    Only when it is unset (local tests) do we create one under the system
-    temp folder.
+    Only a local master may go without: one machine can share a folder under
+    the system temp folder. On a cluster every executor has its own disk, so
+    an unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -65,7 +68,8 @@ def stage(df, name: str = "stage"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage, lets several consumers share one computation of
     an expensive intermediate, and survives executor loss (unlike a cache).
-    Downstream scans still get column pruning and filter pushdown."""
+    Downstream scans still get column pruning and filter pushdown. The folder
+    is temporary: ``spark.checkpoint.dir`` is cleared by whoever set it."""
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

@@ -5,8 +5,8 @@
   appends nothing, so at-least-once callers (streaming ``foreachBatch``,
   retried jobs) stay exact. One writer per table is the contract.
 * ``append_events`` — append-only event rows (queue jobs, runs).
-* ``replace_by_key`` — last write wins: current ∪ updates, last row per key,
-  written as a new version directory (readers keep the old one).
+* ``merge_by_key`` — last write wins: current ∪ updates, last row per key, as
+  a DataFrame for the caller to write.
 
 Row counts come from ``Observation`` metrics collected during the write, so
 no second pass over the data is needed.
@@ -14,7 +14,6 @@ no second pass over the data is needed.
 
 from __future__ import annotations
 
-import os
 import uuid
 from typing import Sequence
 
@@ -61,33 +60,20 @@ def insert_if_absent(batch: DataFrame, path: str, key: str = "fingerprint",
     return int(obs.get.get("n", 0))
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, once: Sequence[str] = ()) -> None:
+    """Append event rows; with ``once`` those whose columns of that name are not
+    in the table yet, so that a replay appends nothing."""
+    if once:
+        there = read_or_empty(events.sparkSession, path, events.schema).select(*once)
+        events = events.join(there, list(once), "left_anti").select(*events.columns)
     events.write.mode("append").parquet(path)
 
 
-def replace_by_key(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str] | str,
-                   order: Sequence[str]) -> str:
-    """Keyed upsert with replace-on-conflict. Reads the newest version under
-    ``path`` (``v=<n>`` sub-folders), writes the merged table as the next
-    version and returns its path."""
-    versions = []
-    if _exists(spark, path):
-        jvm = spark.sparkContext._jvm
-        hp = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for st in fs.listStatus(hp):
-            name = st.getPath().getName()
-            if name.startswith("v=") and name[2:].isdigit():
-                versions.append(int(name[2:]))
-    cur_v = max(versions) if versions else None
-    if cur_v is None:
-        merged = dedupe.last_seen(updates, [key] if isinstance(key, str) else list(key), order)
-    else:
-        current = spark.read.parquet(os.path.join(path, f"v={cur_v}"))
-        merged = dedupe.keyed_replace(current, updates.select(*current.columns), key, order)
-    out = os.path.join(path, f"v={0 if cur_v is None else cur_v + 1}")
-    merged.write.mode("error").parquet(out)
-    return out
+def merge_by_key(current: DataFrame, updates: DataFrame, key: Sequence[str] | str,
+                 order: Sequence[str]) -> DataFrame:
+    """The table after a keyed upsert with replace-on-conflict (last row per key
+    by ``order``); the caller writes it where and how its tables are kept."""
+    return dedupe.keyed_replace(current, updates.select(*current.columns), key, order)
 
 
 # ------------------------------------------------- bucketed record table

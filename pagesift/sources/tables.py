@@ -17,24 +17,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all task slots before CPU-heavy per-row work.
-
-    A table stored as one small file with one row group scans as a single
-    task, so regex/HTML work would run on one core. Only then is the scan
-    round-robin repartitioned to the cluster's default parallelism; a large
-    table already scans as many splits and is left untouched (no shuffle).
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
-        return df
-    if have < max(2, want // 2):
-        return df.repartition(want)
-    return df
-
-
 def sites_from_json(spark: SparkSession, path: str) -> DataFrame:
     """Site configs from a JSON array file. Separator objects holding only
     ``note*`` keys are dropped; defaults are applied (enabled true, delay 2000)."""
@@ -59,7 +41,3 @@ def pages_stream(spark: SparkSession, path: str) -> DataFrame:
                            T.StructField("url", T.StringType()),
                            T.StructField("html", T.StringType())])
     return spark.readStream.schema(schema).parquet(path)
-
-
-def pending_jobs(state: DataFrame) -> DataFrame:
-    return state.where(F.col("status") == "pending")

@@ -13,9 +13,9 @@ table, and change feeds.
   stream itself.
 * ``change_feed`` — readers follow an append-only table as a stream.
 
-Progress lives in the stream checkpoint (under the shared checkpoint folder),
-so a restarted worker resumes after the last committed batch; two workers
-cannot take the same micro-batch.
+Progress lives in the stream checkpoint, which every stream names for itself, so
+a restarted worker resumes after the last committed batch; two workers cannot
+take the same micro-batch.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import jobs
 from ..schemas import JOB_EVENT_SCHEMA
-from ..session import scratch_path, stage
+from ..session import stage
 from ..sinks import store
 
 
@@ -43,69 +43,72 @@ def _writer(stream: DataFrame, fn, checkpoint: str, available_now: bool, poll: s
 
 
 def dedupe_into(stream: DataFrame, table_path: str, key: str = "fingerprint",
-                order: Sequence[str] = (), checkpoint: str | None = None,
-                available_now: bool = True, poll: str = "30 seconds",
-                name: str = "dedupe") -> StreamingQuery:
+                order: Sequence[str] = (), *, checkpoint: str, available_now: bool = True,
+                poll: str = "30 seconds") -> StreamingQuery:
     """Insert each micro-batch into ``table_path`` if its key is absent."""
-    spark = stream.sparkSession
-    ckpt = checkpoint or scratch_path(spark, f"stream-{name}")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         store.insert_if_absent(df, table_path, key, order)
 
-    return _writer(stream, batch, ckpt, available_now, poll).start()
+    return _writer(stream, batch, checkpoint, available_now, poll).start()
 
 
 def process_queue_batch(events: DataFrame, sites: DataFrame, pages: DataFrame,
                         run: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-                        tenders_path: str, events_path: str, run_ts) -> dict:
+                        tenders_path: str, events_path: str, run_ts, epoch_id: int = 0) -> dict:
     """One worker step over a micro-batch of job events.
 
     ``pages`` are stored site pages (site_id, page_num, page_id, url, html);
     ``run(site_pages, history)`` returns (stored records, run summary) — e.g.
     ``plans.batch`` composed with an extractor. Every pending job gets a
-    'running' event, then 'done' (its site ran) or 'error' ('Site not found'
-    or the failure text). Failures are recorded, never raised.
+    'running' event, then the end of its own site's run: 'error' with its
+    message if the summary says so, or if the site is not found, else 'done'. A
+    failure of the whole step (not of a site) is recorded for all its jobs.
+    Event times are the step's; a replay of the same ``epoch_id`` appends
+    nothing.
     """
     spark = events.sparkSession
     pending = (jobs.current_state(events.withColumn("seq", F.coalesce("seq", F.lit(0))))
                .where(F.col("status") == jobs.JOB_PENDING)
                .join(events.select("id", "site_id").distinct(), "id"))
     looked = jobs.site_lookup(pending.withColumnRenamed("id", "job_id"), sites.select("id"))
-    looked = stage(looked, "queue-jobs")  # used four times below; small
-    found = looked.where(F.col("lookup_status") == jobs.JOB_RUNNING)
-    missing = looked.where(F.col("lookup_status") == jobs.JOB_ERROR)
-    store.append_events(jobs.transition(looked, jobs.JOB_RUNNING, run_ts, 1), events_path)
-    store.append_events(jobs.transition(missing, jobs.JOB_ERROR, run_ts, 2,
-                                        F.lit(jobs.SITE_NOT_FOUND)), events_path)
+    looked = stage(looked, "queue-jobs")  # used several times below; small
+
+    def note(rows: DataFrame) -> None:
+        store.append_events(rows.withColumn("epoch_id", F.lit(epoch_id).cast("long")), events_path, ["id", "seq", "epoch_id"])
+
+    note(jobs.transition(looked, jobs.JOB_RUNNING, run_ts, 1))
+    ended = looked.select("job_id", "site_id", F.col("lookup_error").alias("error"))
     result = {"inserted": 0, "error": None}
     try:
+        found = looked.where(F.col("lookup_status") == jobs.JOB_RUNNING)
         site_pages = pages.join(found.select("site_id").distinct(), "site_id", "left_semi")
         hist = store.read_or_empty(spark, tenders_path, "fingerprint string").select("fingerprint")
-        stored, _ = run(site_pages, hist)
+        stored, summary = run(site_pages, hist)
+        if "error_message" in summary.columns:
+            failed = stage(summary.where(F.col("error_message").isNotNull()).select("site_id", "error_message"), "site-errors")
+            ended = ended.join(failed, "site_id", "left").withColumn("error", F.coalesce("error", "error_message"))
         result["inserted"] = store.insert_if_absent(stored, tenders_path, "fingerprint")
-        store.append_events(jobs.transition(found, jobs.JOB_DONE, run_ts, 2), events_path)
-    except Exception as e:  # the job fails, the worker goes on
-        msg = f"{type(e).__name__}: {e}"[:1000]
-        result["error"] = msg
-        store.append_events(jobs.transition(found, jobs.JOB_ERROR, run_ts, 2, F.lit(msg)),
-                            events_path)
+    except Exception as e:  # the step fails, the worker goes on
+        result["error"] = f"{type(e).__name__}: {e}"
+        ended = ended.withColumn("error", F.coalesce("error", F.lit(result["error"])))
+    note(jobs.transition(ended.where(F.col("error").isNull()), jobs.JOB_DONE, run_ts, 2)
+         .unionByName(jobs.transition(ended.where(F.col("error").isNotNull()), jobs.JOB_ERROR, run_ts, 2, F.col("error"))))
     return result
 
 
 def consume_queue(spark: SparkSession, queue_path: str, sites: DataFrame, pages: DataFrame,
                   run: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-                  tenders_path: str, events_path: str, checkpoint: str | None = None,
+                  tenders_path: str, events_path: str, checkpoint: str,
                   available_now: bool = True, poll: str = "30 seconds") -> StreamingQuery:
     """Start the queue worker over the job-event directory ``queue_path``."""
-    ckpt = checkpoint or scratch_path(spark, "stream-queue")
     stream = spark.readStream.schema(JOB_EVENT_SCHEMA).parquet(queue_path)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         process_queue_batch(df, sites, pages, run, tenders_path, events_path,
-                            F.current_timestamp())
+                            F.current_timestamp(), epoch_id)
 
-    return _writer(stream, batch, ckpt, available_now, poll).start()
+    return _writer(stream, batch, checkpoint, available_now, poll).start()
 
 
 def first_seen_stream(stream: DataFrame, key: str, order: Sequence[str],

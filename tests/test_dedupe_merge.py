@@ -82,20 +82,23 @@ def test_document_text_cap_and_blank(spark):
     rows = [("u", 0, "a" * 9000), ("u", 1, ""), ("u", 2, "b" * 9000), ("u", 3, "c" * 10),
             ("v", 0, "   "), ("w", 0, None)]
     df = spark.createDataFrame(rows, "doc_url string, page_no int, page_text string")
-    out = {r.doc_url: r for r in N.document_text(df).collect()}
-    expect = ("a" * 9000 + "\n" + "b" * 9000 + "\n" + "c" * 10 + "\n")[:15000]
-    assert out["u"].text == expect
-    assert "v" not in out and "w" not in out
+    whole = "a" * 9000 + "\n" + "b" * 9000 + "\n" + "c" * 10 + "\n"
+    for cap, cut in ((None, False), (15000, True), (len(whole), False), (9001, True)):
+        out = {r.doc_url: r for r in N.document_text(df, cap_chars=cap).collect()}
+        assert set(out) == {"u"}
+        assert (out["u"].text, out["u"].n_pages, out["u"].truncated) == (whole[:cap], 3, cut)
+    assert N.document_text(df, paragraphs=True).first().text == whole[:-1]
 
 
 def test_manifest_and_refs(spark):
     rows = [("f", "http://h/a/x.pdf", "X", 0), ("f", "http://h/b/x.pdf", "X2", 1),
             ("f", "http://h/c/y", "", 2), ("f", "http://h/z.doc", "Z", 3)]
     df = spark.createDataFrame(rows, "fingerprint string, url string, text string, pos int")
-    m = N.file_manifest(df).orderBy("pos").collect()
+    m = N.file_manifest(df, k=3).orderBy("pos").collect()
     assert [(r.path, r.name) for r in m] == [("tender-docs/f/x.pdf", "X2"), ("tender-docs/f/y.pdf", "")]
     assert m[0].mime_type == "application/pdf"
-    refs = N.document_refs(N.file_manifest(df)).first()
+    assert [r.rank for r in N.file_manifest(df).orderBy("pos").collect()] == [2, 3, 4]
+    refs = N.document_refs(N.file_manifest(df, k=3)).first()
     assert refs.document_urls_json == '[{"name":"X2","url":"http://h/b/x.pdf"},{"name":"","url":"http://h/c/y"}]'
 
 
@@ -120,17 +123,41 @@ def test_run_batch_is_partitioning_invariant(spark):
     assert outs[0] == outs[1] and len(outs[0]) > 0
 
 
+TABBED = "site_id string, page_num struct<tab_no:int,page_num:int>, pos int, fingerprint string"
+
+
 def test_early_stop_with_tabs_ends_later_tabs(spark):
-    from pagesift.plans.batch import TAB_STRIDE, stoppable_in_tab
+    from pagesift.plans.batch import stoppable_in_tab
     # tab 0: page 1 {a}, page 2 {a} (no new -> stop); tab 1: page 1 {b}
-    rows = [("s", 0 * TAB_STRIDE + 1, 0, "a"), ("s", 0 * TAB_STRIDE + 2, 0, "a"),
-            ("s", 1 * TAB_STRIDE + 1, 0, "b")]
-    rec = spark.createDataFrame(rows, "site_id string, page_num long, pos int, fingerprint string")
+    rows = [("s", (0, 1), 0, "a"), ("s", (0, 2), 0, "a"), ("s", (1, 1), 0, "b")]
+    rec = spark.createDataFrame(rows, TABBED)
     hist = spark.createDataFrame([], "fingerprint string")
     kept, stats = R.early_stop(rec, hist, can_stop=stoppable_in_tab)
     assert [r.fingerprint for r in kept.collect()] == ["a"]
-    # page 1 of a later tab never stops a site on its own
-    rows2 = [("s", 1, 0, "a"), ("s", TAB_STRIDE + 1, 0, "a"), ("s", TAB_STRIDE + 2, 0, "c")]
-    rec2 = spark.createDataFrame(rows2, "site_id string, page_num long, pos int, fingerprint string")
-    kept2, _ = R.early_stop(rec2, hist, can_stop=stoppable_in_tab)
+    # page 1 of a later tab never stops a site on its own, whatever its number
+    rows2 = [("s", (0, 5_000_000), 0, "a"), ("s", (3000, 1), 0, "a"), ("s", (3000, 2), 0, "c")]
+    kept2, _ = R.early_stop(spark.createDataFrame(rows2, TABBED), hist, can_stop=stoppable_in_tab)
     assert sorted(r.fingerprint for r in kept2.collect()) == ["a", "c"]
+
+
+def test_empty_page_stops_its_site_and_every_site_has_a_row(spark):
+    from pagesift.plans import batch as B
+    page = "<p>{}</p>"
+    rows = [(1, "https://h.example/l?page=1", page.format("one")), (2, "https://h.example/l?page=2", "<p> </p>"),
+            (3, "https://h.example/l?page=3", page.format("three")), (4, "https://e.example/l", "")]
+    sp = B.site_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    sites = spark.createDataFrame([("h.example",), ("e.example",), ("n.example",)], "site_id string")
+    failed = spark.createDataFrame([("n.example", "no answer")], "site_id string, error_message string")
+    stored, summ = B.run_batch(B.page_records(sp), spark.createDataFrame([], "fingerprint string"),
+                               pages=sp.select("site_id", "page_num"), sites=sites, errors=failed)
+    assert [(r.title, r.page_url) for r in stored.collect()] == [("one", "https://h.example/l?page=1")]
+    got = {r.site_id: (r.pages_scraped, r.records_extracted, r.tenders_found, r.status, r.error_message) for r in summ.collect()}
+    assert got == {"h.example": (2, 1, 1, "success", None), "e.example": (1, 0, 0, "success", None),
+                   "n.example": (0, 0, 0, "error", "no answer")}
+
+
+def test_page_urls_limits(spark):
+    rows = [("a", "https://h/l", ("url_param", None, None, None, n), None) for n in (0, 2, None)]
+    sites = spark.createDataFrame(rows, "id string, url string, pagination struct<strategy:string,param:string,start:int,"
+                                        "increment:int,max_pages:int>, tab_urls array<string>")
+    assert R.page_urls(sites).count() == 0 + 2 + 20

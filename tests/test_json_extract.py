@@ -31,7 +31,7 @@ def test_rules(spark):
     lines = ["Active Tenders", "Supply of servers IIUM/DEV/3/2026 open RFQ", "Keputusan",
              "Awarded cleaning PTPTN/2026/SH11", "Tender Proposal",
              "Road works KDN/T/001/2026 closed", "Hall repair UTM/BID/2026 tender"]
-    df = spark.createDataFrame([(1, 0, "\n".join(lines))], "page_id long, chunk_no int, chunk string")
+    df = spark.createDataFrame([(1, "\n".join(lines))], "page_id long, text string")
     out = E.rule_extract(df).orderBy("pos").collect()
     assert [r.reference for r in out] == ["IIUM/DEV/3/2026", "UTM/BID/2026"]
     assert [r.status for r in out] == ["Open", "Unknown"]
@@ -80,3 +80,36 @@ def test_extract_listings_end_to_end(spark):
     out = E.extract_listings(ch, fake_model).orderBy("chunk_no", "pos").collect()
     assert [r.title for r in out] == ["A", "B", "C"]
     assert out[0].url == "https://h.example/d/0"
+
+
+def test_rules_see_the_whole_text_and_long_headers(spark):
+    many = "\n".join(f"Item {i} IIUM/DEV/{i:05d}/2026 " + "x" * 20 for i in range(1200))
+    head = "Keputusan " + "y" * 100
+    tail = "\n".join(f"Old {i} KDN/T/{i}/2025 " + "z" * 200 for i in range(200))
+    df = spark.createDataFrame([(1, many), (2, head + "\n" + tail)], "page_id long, text string")
+    rows = E.rule_extract(df).collect()
+    assert len(rows) == 1200 and len({r.reference for r in rows}) == 1200 and {r.page_id for r in rows} == {1}
+
+
+def test_failed_chunks_are_rows_and_closed_records_go(spark):
+    import json
+
+    def model(prompts):
+        return ["sorry" if "BAD" in p else json.dumps(
+            [{"title": "a", "status": "Closed"}, {"title": "b", "status": "open?"}, {"title": "c", "status": "Open", "tender_type": "RFQ"}])
+            for p in prompts]
+
+    ch = spark.createDataFrame([(1, "https://h/l", 0, "GOOD", "per site"), (1, "https://h/l", 1, "BAD", None)],
+                               "page_id long, page_url string, chunk_no int, chunk string, hint string")
+    out = E.extract_listings(ch, model, hint=F.col("hint"), keep_failed=True).orderBy(F.col("pos").asc_nulls_last()).collect()
+    assert [(r.title, r.status, r.tender_type, r.error) for r in out] == [
+        ("b", "Unknown", "Unknown", None), ("c", "Open", "RFQ", None), (None, None, None, "rejected reply")]
+    assert out[2].attempts == 2 and out[2].chunk_no == 1
+
+
+def test_object_prompts_hold_the_whole_text_unless_capped(spark):
+    long = "x" * 20_000
+    docs = spark.createDataFrame([(1, "https://h/d", long)], "id long, url string, text string")
+    for cap, size in ((None, 20_000), (15_000, 15_000)):
+        r = E.extract_objects(docs, lambda ps: ['{"requirements": "%d"}' % p.count("x" * 10) for p in ps], ["id"], cap_chars=cap).first()
+        assert int(r.requirements) == size // 10

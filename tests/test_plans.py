@@ -22,23 +22,72 @@ def test_filters_and_pruning_reach_the_scan(spark):
 
 
 def test_native_paths_stay_in_the_jvm(spark):
-    for q in (Q.clean_text, Q.chunks, Q.fingerprints, Q.early_stop, Q.merge_enrichment):
+    for q in (Q.chunks, Q.fingerprints, Q.early_stop, Q.merge_enrichment):
         p = _plan(q(spark, SF01))
         assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p, q.__name__
         assert "MapInPandas" not in p
 
 
-def test_exact_udf_is_projected_so_filters_push_down(spark):
+def test_parser_is_projected_so_filters_push_down(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
-    df = pages.select("page_id", H.clean_html_exact("html").alias("t")).where(F.col("page_id") < 10)
+    df = pages.select("page_id", H.clean_html("html").alias("t")).where(F.col("page_id") < 10)
     p = _plan(df)
-    assert "ArrowEvalPython" in p
+    assert p.count("ArrowEvalPython") == 1
     assert "LessThan(page_id,10)" in p
 
 
+def _exchanged(df) -> list[str]:
+    """The columns that each shuffle of the whole plan moves."""
+    node, out = [df._jdf.queryExecution().sparkPlan(), df._jdf.queryExecution().executedPlan()], []
+    todo = [node[1]]
+    while todo:
+        x = todo.pop()
+        if x.nodeName() == "AdaptiveSparkPlan":
+            todo.append(x.initialPlan())
+        if x.nodeName() == "Exchange":
+            out.append(x.output().mkString(","))
+        children = x.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_no_html_in_any_exchange(spark, monkeypatch):
+    """Also not in the plans of the staged parts."""
+    from pagesift.operators import frontier
+    from pagesift.plans import batch
+    from pagesift import session
+    staged = []
+    def spy(df, name="stage"):
+        staged.append(df)
+        return session.stage(df, name)
+    monkeypatch.setattr(batch, "stage", spy)
+    monkeypatch.setattr(frontier, "stage", spy)
+    monkeypatch.setattr(session, "stage", session.stage)
+    for q in (Q.listing_run, Q.site_run, Q.enrich_run, Q.fallback_links, Q.full_run):
+        staged.clear()
+        frames = [q(spark, SF01), *staged]
+        moved = [c for f in frames for c in _exchanged(f)]
+        assert moved and not [c for c in moved if "html" in c], q.__name__
+
+
+def test_history_is_scanned_once(spark, monkeypatch):
+    from pagesift.operators import frontier
+    from pagesift import session
+    staged = []
+    def spy(df, name="stage"):
+        staged.append(df)
+        return session.stage(df, name)
+    monkeypatch.setattr(frontier, "stage", spy)
+    final = Q.listing_run(spark, SF01)
+    scans = [_plan(f).count("documents.parquet") for f in [final, *staged]]
+    assert sum(n > 0 for n in scans) == 1
+
+
 def test_model_call_is_one_batched_python_pass(spark):
-    p = _plan(Q.model_extract(spark, SF01))
-    assert p.count("MapInPandas") == 1
+    from pagesift.operators import extract
+    ch = spark.createDataFrame([(1, "u", 0, "t")], "page_id long, page_url string, chunk_no int, chunk string")
+    p = _plan(extract.extract_listings(ch, Q._stub_model))
+    assert p.count("MapInPandas") == 1 and p.count("ArrowEvalPython [_strict_valid(") == 1
 
 
 def test_first_k_is_a_group_limit(spark):
@@ -97,9 +146,9 @@ def test_early_stop_hot_site_correct(spark):
     assert got == want
 
 
-def test_exact_anchor_udf_runs_once_before_explode(spark):
+def test_anchor_and_join_udfs_run_once(spark):
     from pagesift.operators import links as L
     p = spark.read.parquet(f"{SF01}/pages.parquet")
-    plan = _plan(L.page_links(p, exact=True))
-    assert plan.count("anchors_exact(") == 1
+    plan = _plan(L.detail_links(L.page_links(p), ["tion"]))
+    assert plan.count("ArrowEvalPython [_anchors(") == 1
     assert plan.count("ArrowEvalPython") == 2   # parser + URL-join fallback

@@ -2,6 +2,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pagesift.functions import text as X
@@ -67,7 +69,7 @@ def test_document_kind_and_key_fallback(spark):
     assert got[0] == "keep" and got[1] == r.select(X.fingerprint("r", "t").alias("f")).collect()[1].f
 
 
-def test_seed_insert_with_explicit_key_and_replace_versions(spark):
+def test_seed_insert_with_explicit_key_and_keyed_merge(spark):
     d = tempfile.mkdtemp(prefix="ps-store-")
     t = os.path.join(d, "sites")
     seed = spark.createDataFrame([("UK", "https://x"), ("UK", "https://x")], "name string, url string")
@@ -75,16 +77,34 @@ def test_seed_insert_with_explicit_key_and_replace_versions(spark):
     assert store.insert_if_absent(keyed, t, "k") == 1
     assert store.insert_if_absent(keyed, t, "k") == 0
     assert store.insert_if_absent(keyed.limit(0), t, "k") == 0
-    r = os.path.join(d, "cookies")
     up1 = spark.createDataFrame([("s1", "c1", 1), ("s2", "c2", 1)], "site_id string, cookies string, ts int")
-    v0 = store.replace_by_key(spark, r, up1, "site_id", ["ts"])
     up2 = spark.createDataFrame([("s1", "c1b", 2)], "site_id string, cookies string, ts int")
-    v1 = store.replace_by_key(spark, r, up2, "site_id", ["ts"])
-    assert v0.endswith("v=0") and v1.endswith("v=1")
-    got = {x.site_id: x.cookies for x in spark.read.parquet(v1).collect()}
+    got = {x.site_id: x.cookies for x in store.merge_by_key(up1, up2, "site_id", ["ts"]).collect()}
     assert got == {"s1": "c1b", "s2": "c2"}
 
 
+def test_events_are_appended_once(spark):
+    t = os.path.join(tempfile.mkdtemp(prefix="ps-events-"), "events")
+    ev = spark.createDataFrame([("j1", 1, "running"), ("j1", 2, "done")], "id string, seq long, status string")
+    for _ in range(2):
+        store.append_events(ev, t, ["id", "seq"])
+    assert spark.read.parquet(t).count() == 2
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    from pagesift.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://m:7077"})
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+
+
 PAGE = "<html><head><title>{t}</title></head><body>{body}</body></html>"
 
 
@@ -103,8 +123,8 @@ def test_zero_result_fallback_and_document_enrichment(spark):
     assert [r.reference for r in rows] == ["KDN/T/001/2026"]
     assert rows[0].url == "https://h.example/tender/9"
     stored = extra.select("fingerprint", "url", "title", F.lit("listing text").alias("description"),
-                          F.lit(None).cast("string").alias("contact"),
-                          F.lit("https://h.example/list").alias("page_url"))
+                          F.lit(None).cast("string").alias("contact"), "page_url")
+    pages = pages.unionByName(spark.createDataFrame([(3, "https://h.example/tender/9", PAGE.format(t="later", body="copy"))], pages.schema))
     docs = spark.createDataFrame([("https://h.example/docs/spec.pdf", "Submit by e-mail\nphone +60 3 1234 5678"),
                                   ("https://h.example/docs/terms.pdf", "Eligibility: must be registered")],
                                  "doc_url string, text string")
@@ -115,6 +135,27 @@ def test_zero_result_fallback_and_document_enrichment(spark):
     assert out.requirements == "Bidders must hold grade G7"
     assert out.submission_method == "Submit by e-mail"
     assert out.contact == "+60 3 1234 5678"
+    assert [(x.name, x.url) for x in out.document_urls] == [("Spec", "https://h.example/docs/spec.pdf"), ("Terms", "https://h.example/docs/terms.pdf")]
+
+
+def test_full_run_annotates_and_sets_small_pages_aside(spark):
+    from pagesift.schemas import TENDER_SCHEMA
+    rows = [(1, "https://h.example/list", PAGE.format(t="L", body='<a href="/tender/9">Tender nine</a>' + "x" * 80)),
+            (2, "https://h.example/tender/9", PAGE.format(t="D", body="<p>Road works KDN/T/001/2026 open</p><p>Submit to ann@x.example</p>")),
+            (3, "https://g.example/list", PAGE.format(t="G", body="<p>Chairs UTM/BID/2026 RFQ</p>" + "y" * 60)),
+            (4, "https://s.example/list", "<p>tiny</p>")]
+    pages = B.site_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    listings = pages.where("page_id <> 2").unionByName(pages.where("page_id = 2").withColumn("page_num", F.lit(2)))
+    sites = spark.createDataFrame([(f"{x}.example", x.upper()) for x in "hgs"], "site_id string, source_site string")
+    done, summ, aside = B.full_run(listings, sites, spark.createDataFrame([], "fingerprint string"),
+                                   F.to_timestamp(F.lit("2026-12-01 09:00:00")), min_chars=60)
+    assert done.schema.fieldNames() == TENDER_SCHEMA.fieldNames()
+    got = {r.reference: r for r in done.collect()}
+    assert set(got) == {"KDN/T/001/2026", "UTM/BID/2026"}
+    r = got["KDN/T/001/2026"]
+    assert (r.source_site, r.url, r.status, r.submission_method) == ("H", "https://h.example/tender/9", "Open", "Submit to ann@x.example")
+    assert [(a.page_id, a.reason) for a in aside.collect()] == [(4, "page too small")]
+    assert {s.site_id: s.pages_scraped for s in summ.collect()}["s.example"] == 1
 
 
 def test_partitioned_record_table_prunes_by_site(spark):

@@ -100,6 +100,31 @@ def test_queue_worker_end_to_end(spark):
     assert evs[("j2", "error")] == "Site not found"
 
 
+def test_one_failing_site_and_a_replay(spark):
+    base = tempfile.mkdtemp(prefix="ps-queue-")
+    tenders, events_out = os.path.join(base, "tenders"), os.path.join(base, "events")
+    sites = spark.createDataFrame([("good.example",), ("bad.example",)], "id string")
+    sp = B.site_pages(spark.createDataFrame(
+        [(1, "https://good.example/l", PAGE.format(t="A", body="alpha")), (2, "https://bad.example/l", "<p>x</p>")],
+        "page_id long, url string, html string"))
+    ev = spark.createDataFrame([(f"j{i}", s, "pending", 0, None) for i, s in enumerate(["good.example", "bad.example", "gone.example"])],
+                               "id string, site_id string, status string, seq long, error string"
+                               ).withColumn("ts", F.to_timestamp(F.lit("2026-12-01 09:00:00")))
+
+    def run(site_pages, hist):
+        errors = site_pages.where("html = '<p>x</p>'").select("site_id", F.lit("x" * 3000).alias("error_message"))
+        good = site_pages.where("html <> '<p>x</p>'")
+        return B.run_batch(B.page_records(good), hist, pages=good, sites=site_pages.select("site_id"), errors=errors)
+
+    for _ in range(2):  # the same micro-batch twice
+        Qs.process_queue_batch(ev, sites, sp, run, tenders, events_out, F.current_timestamp(), epoch_id=7)
+    rows = spark.read.parquet(events_out).collect()
+    assert len(rows) == 6
+    ends = {r.id: (r.status, r.error) for r in rows if r.seq == 2}
+    assert ends == {"j0": ("done", None), "j1": ("error", "x" * 3000), "j2": ("error", "Site not found")}
+    assert spark.read.parquet(tenders).where("title = 'alpha'").count() == 1
+
+
 def test_pages_stream_clean_incremental(spark):
     """The same page operators run incrementally on a page stream."""
     from pagesift.functions.html import clean_html
