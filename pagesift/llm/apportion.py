@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.llm.shard import CELLS_PER_PARTITION, _unit
+from pagesift.llm.shard import CELLS_PER_PARTITION, _cell, _unit
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -106,7 +106,7 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("skey"), order.alias("rnd"),
         n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"),
         *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []),
-    ).withColumn("cell", F.pmod("rnd", F.lit(cells)))
+    ).withColumn("cell", _cell(F.col("rnd"), cells))
     sums = rows.groupBy("skey", "cell").agg(F.sum("size").alias("n"), F.min("source").alias("source"))
     by_source = Window.partitionBy("skey")
     starts = sums.select(

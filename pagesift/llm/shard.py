@@ -7,7 +7,7 @@ Rows are put in a seeded random order within their source and get the rank
 runs: every run holds each source in its proportion, to about one row.
 
 Both rankings are exact and distributed. A seeded hash deals the rows of a
-source over cells, and the fractional rank deals all rows over cells; rows are
+source over cells (ranges of the hash), and the fractional rank deals all rows over cells; rows are
 numbered within a cell, and a running sum of the cell counts gives the start
 of each cell. The number of cells follows the shuffle partitions, so neither
 a hot source nor the whole table meets in one task, and only narrow rows
@@ -27,6 +27,13 @@ def _unit(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
+def _cell(rnd: Column, cells: int) -> Column:
+    """The cell of a rank key of 60 bits, its leading bits: at least ``cells``
+    ranges of it, so that the order of rows does not depend on their number."""
+    bits = max(0, cells - 1).bit_length()
+    return F.shiftright(rnd, 60 - bits)
+
+
 def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long")
 
@@ -37,7 +44,7 @@ def shard(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_col: s
 
     Returns (id, source, size, text_crc32, shard, slot): one row per input row.
     Shard sizes differ by at most one row, ``slot`` counts from 0 without gaps
-    in each shard, and reruns agree whatever the partitioning.
+    in each shard, and reruns agree whatever the partitioning and settings.
 
     Defined cases: a null source is a source of its own; a null id orders like
     an empty string; a null text has size 16 and the checksum of no bytes;
@@ -53,10 +60,10 @@ def shard(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_col: s
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("skey"), order.alias("rnd"),
         text_size(F.col(text_col)).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
-    ).withColumn("cell", F.pmod("rnd", F.lit(cells)))
+    ).withColumn("cell", _cell(F.col("rnd"), cells))
 
     # Order within the source: (cell, rnd, id, ...); cells are counted first.
-    counts = (df.select(key.alias("skey"), F.pmod(order, F.lit(cells)).alias("cell"))
+    counts = (df.select(key.alias("skey"), _cell(order, cells).alias("cell"))
               .groupBy("skey", "cell").agg(F.count(F.lit(1)).alias("n")))
     by_source = Window.partitionBy("skey")
     running = by_source.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
