@@ -69,17 +69,6 @@ JOB_EVENT_SCHEMA = T.StructType([
     T.StructField("error", S),
 ])
 
-RUN_EVENT_SCHEMA = T.StructType([
-    T.StructField("id", S),
-    T.StructField("site_id", S),
-    T.StructField("status", S),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("pages_scraped", T.IntegerType()),
-    T.StructField("tenders_found", T.IntegerType()),
-    T.StructField("error_message", S),
-])
-
 # Enumerations named in the listing prompt.
 STATUS_VALUES = ["Open", "Closing Soon", "Closed", "Awarded", "Unknown"]
 TENDER_TYPE_VALUES = ["RFQ", "RFP", "RFI", "EOI", "Tender", "Unknown"]
