@@ -4,9 +4,9 @@ A pair of bytes that occurs inside no vocabulary token can never be covered by
 one token, so a cut between the two is certain. Texts are divided by the
 tokenizer's own word pattern, the words are cut at every such pair, each
 fragment is encoded by the merges alone and the ids are concatenated: no merge
-crosses a cut, so the result equals that of the whole word. Fragments repeat
-much more than words do and are encoded once per task; the caches are bounded
-and emptied when full.
+crosses a cut, so the result equals that of the whole word. The fragments of
+all words new to a task are encoded in one call; the results of the last words
+are kept, in two generations of bounded size.
 
 The vocabulary file is a parameter; every task opens it by itself.
 """
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 200_000
-ROWS_AT_ONCE = 256
+from pagesift.llm._words import slices
+
+CACHE_WORDS = 100_000  # of each generation, besides the words of one slice
 
 # The word pattern of the tokenizer's pre-tokeniser, and the
 # contractions in it.
@@ -44,7 +45,11 @@ class ForcedBoundaryBPE:
     """The encoder of one task."""
 
     def __init__(self, path: str):
+        import os
+
         import regex
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         full = Tokenizer.from_file(path)
@@ -65,29 +70,55 @@ class ForcedBoundaryBPE:
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
         self.forced = ~inside
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.fragments: dict[bytes, tuple[str, bytes]] = {}
-
-    def cut(self, raw: bytes) -> list[bytes]:
-        """The fragments of a word between forced boundaries."""
-        b = np.frombuffer(raw, np.uint8)
-        at = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
-        return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
+        self.decimal = [str(i) for i in range(max(self.bytes_of) + 1)]
+        self.spelled = dict(enumerate(self.alphabet))
+        self.words: dict[str, str] = {}      # ids in decimals
+        self.older: dict[str, str] = {}
+        # Bytes of the ids of fragments and words, where they differ from what
+        # was encoded (no byte-level vocabulary has such).
+        self.odd: dict[bytes, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def cut(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The fragments of the words between forced boundaries, all words at
+        once, and the number of the first fragment of each word (and the end)."""
+        whole = b"".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        data = np.frombuffer(whole, np.uint8)
+        here = self.forced[data[:-1], data[1:]]
+        here[ends[:-1] - 1] = True
+        at = np.concatenate([[0], np.flatnonzero(here) + 1, [len(whole)]])
+        bounds = at.tolist()
+        return [whole[i:j] for i, j in zip(bounds, bounds[1:])], np.concatenate([[0], np.searchsorted(at, ends)])
 
     def learn(self, fresh: list[str]) -> None:
-        """Encode words not seen before: all their new fragments in one call."""
-        if len(self.words) + len(fresh) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.fragments) > CACHE_ENTRIES:
-            self.fragments.clear()
-        cuts = [self.cut(w.encode()) for w in fresh]
-        new = list({f for c in cuts for f in c if f not in self.fragments})
-        spelled = ["".join([self.alphabet[b] for b in f]) for f in new]
-        for f, e in zip(new, self.merges.encode_batch(spelled, add_special_tokens=False)):
-            self.fragments[f] = (",".join(map(str, e.ids)), b"".join([self.bytes_of[i] for i in e.ids]))
-        for w, c in zip(fresh, cuts):
-            parts = [self.fragments[f] for f in c]
-            self.words[w] = (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+        """Encode words not seen lately: all their fragments in one call."""
+        parts, first = self.cut([w.encode() for w in fresh])
+        decimal, spelled = self.decimal, self.spelled
+        new = list(set(parts))
+        found = self.merges.encode_batch([f.decode("latin-1").translate(spelled) for f in new], add_special_tokens=False)
+        known = {}
+        for f, e in zip(new, found):
+            ids = e.ids
+            known[f] = ",".join([decimal[i] for i in ids])
+            if (back := b"".join([self.bytes_of[i] for i in ids])) != f:
+                self.odd[f] = back
+        results = [known[f] for f in parts]
+        for w, i, j in zip(fresh, first[:-1].tolist(), first[1:].tolist()):
+            self.words[w] = results[i] if j == i + 1 else ",".join(results[i:j])
+            if self.odd:
+                self.decoded[w] = b"".join([self.odd.get(f, f) for f in parts[i:j]])
+
+    def recall(self, wanted: set[str]) -> None:
+        """Have all wanted words in the younger generation."""
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        missing = wanted - self.words.keys()
+        old = missing & self.older.keys()
+        for w in old:
+            self.words[w] = self.older[w]
+        if fresh := list(missing - old):
+            self.learn(fresh)
 
     def divide(self, text: str) -> list[str]:
         if self.plain(text):
@@ -99,19 +130,14 @@ class ForcedBoundaryBPE:
         split = self.split_special
         pieces = [[t] if split is None or not split.search(t) else split.split(t) for t in texts]
         divided = [[[p] if p in self.special else self.divide(p) for p in ps if p] for ps in pieces]
-        fresh = {w for ps in divided for ws in ps for w in ws if w not in self.words}
-        if self.special:
-            fresh -= self.special.keys()
-        if len(self.words) + len(fresh) > CACHE_ENTRIES:  # the cache is about to be emptied
-            fresh = {w for ps in divided for ws in ps for w in ws} - self.special.keys()
-        if fresh:
-            self.learn(list(fresh))
+        self.recall({w for ps in divided for ws in ps for w in ws} - self.special.keys())
         known = self.words
         for content, i in self.special.items():
-            known[content] = (str(i), self.bytes_of[i])
+            known[content] = str(i)
         for ps in divided:
-            found = [known[w] for ws in ps for w in ws]
-            yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            words = [w for ws in ps for w in ws]
+            raw = b"".join([self.decoded.get(w) or w.encode() for w in words]) if self.decoded else "".join(words).encode()
+            yield ",".join([known[w] for w in words]), raw
 
 
 def encode(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -127,16 +153,15 @@ def encode(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     Defined cases: null and empty texts have no tokens and decode to the empty
     text; null or repeated ids are passed through; an empty table gives no
-    rows; other columns are ignored unless passed. Memory per task: some hundred
-    texts, the bounded caches and the longest text.
+    rows; other columns are ignored unless passed. Memory per task: a slice
+    of texts, the bounded caches and the longest text.
     """
     fields = f"n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * with_ids}{', decoded string' * with_text}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ForcedBoundaryBPE(tokenizer_path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
-                b = whole.slice(lo, ROWS_AT_ONCE)
+            for b in slices(whole, "text"):
                 n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
                 for joined, raw in bpe.batch([t or "" for t in b.column(1).to_pylist()]):
                     text = raw.decode("utf-8", errors="replace")

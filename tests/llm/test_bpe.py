@@ -47,16 +47,17 @@ def test_every_character_and_odd_neighbours(library):
 
 def test_cuts_are_forced_and_caches_stay_bounded(library, monkeypatch):
     enc = bpe.ForcedBoundaryBPE(queries.tokenizer_path())
-    raw = "qzxj世wvk".encode()
-    parts = enc.cut(raw)
-    assert b"".join(parts) == raw and len(parts) > 1
+    raw = ["qzxj世wvk".encode(), b"the", b"q"]
+    parts, first = enc.cut(raw)
+    assert [b"".join(parts[i:j]) for i, j in zip(first, first[1:])] == raw and first[1] > 1
     tokens = set(enc.bytes_of.values())
-    assert all(a[-1:] + b[:1] not in t for a, b in zip(parts, parts[1:]) for t in tokens)
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    own = parts[:first[1]]
+    assert all(a[-1:] + b[:1] not in t for a, b in zip(own, own[1:]) for t in tokens)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
     texts = [" ".join(f"w{i * j}q" for j in range(30)) for i in range(40)]
     for text, (joined, _) in zip(texts, (x for t in texts for x in enc.batch([t]))):
         assert joined == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
-        assert len(enc.words) <= 100
+        assert len(enc.words) + len(enc.older) <= 250
 
 
 def test_edge_rows(spark):
