@@ -15,8 +15,6 @@ from shard to shard within a task, so most nodes are cut off near the root.
 from __future__ import annotations
 
 import heapq
-from typing import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,6 +25,7 @@ from pagesift.session import stage
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 LEAF = 64
+GROUP = 4   # shards that a task searches one after another
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -147,38 +146,25 @@ def packed(df: DataFrame, key: str, schema: str) -> DataFrame:
     return df.groupBy("dim", key).applyInArrow(pack, schema)
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (dim, block, shard, qids, qpoints, ids, points, kth) ordered by block:
-    one search each; the best scores go from shard to shard of a block."""
-    best, current, tree, which = None, None, None, None
-
-    def out():
-        n = [len(s) for s in best.scores]
-        rows = np.repeat(np.arange(len(n)), n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(best.own[rows]), pa.array(rows.astype(np.int32)), pa.array(np.full(len(rows), current[0], np.int32)), pa.array(np.full(len(rows), current[1], np.int32)),
-             pa.array(np.concatenate([*best.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.zeros(0, np.int64)]))],
-            ["query_id", "row", "dim", "block", "vec_id", "score"])
-
-    for batch in batches:
-        for r in range(batch.num_rows):
-            dim, block, shard = (batch.column(i)[r].as_py() for i in range(3))
-            if current != (dim, block):
-                if best is not None:
-                    yield out()
-                current = (dim, block)
-                own = np.frombuffer(batch.column(3)[r].as_py(), np.int64)
-                queries = np.frombuffer(batch.column(4)[r].as_py(), np.int64).reshape(len(own), dim)
-                kth = np.full(len(own), -np.inf)
-                known = np.frombuffer(batch.column(7)[r].as_py() or b"", np.float64)
-                kth[:len(known)] = known
-                best = Best(own, k, kth)
-            if which != (dim, shard):
-                ids = np.frombuffer(batch.column(5)[r].as_py(), np.int64)
-                tree, which = BallTree(ids, np.frombuffer(batch.column(6)[r].as_py(), np.int64).reshape(len(ids), dim)), (dim, shard)
-            tree.search(best, queries)
-    if best is not None:
-        yield out()
+def _search(t: pa.Table, k: int) -> pa.Table:
+    """Rows (dim, block, shard, qids, qpoints, ids, points, kth) of one block: one
+    search each; the best scores go from shard to shard."""
+    dim = t["dim"][0].as_py()
+    own = np.frombuffer(t["qids"][0].as_py(), np.int64)
+    queries = np.frombuffer(t["qpoints"][0].as_py(), np.int64).reshape(len(own), dim)
+    kth = np.full(len(own), -np.inf)
+    known = np.frombuffer(t["kth"][0].as_py() or b"", np.float64)
+    kth[:len(known)] = known
+    best = Best(own, k, kth)
+    for i in np.argsort(t["shard"].to_numpy()).tolist():
+        ids = np.frombuffer(t["ids"][i].as_py(), np.int64)
+        BallTree(ids, np.frombuffer(t["points"][i].as_py(), np.int64).reshape(len(ids), dim)).search(best, queries)
+    n = [len(s) for s in best.scores]
+    rows = np.repeat(np.arange(len(n)), n)
+    return pa.table({
+        "query_id": own[rows], "row": rows.astype(np.int32), "dim": np.full(len(rows), dim, np.int32),
+        "block": np.full(len(rows), t["block"][0].as_py(), np.int32),
+        "vec_id": np.concatenate([*best.ids, np.zeros(0, np.int64)]), "score": np.concatenate([*best.scores, np.zeros(0, np.int64)])})
 
 
 def top_k(df: DataFrame, k: int = 5, *, is_query=None, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -216,7 +202,7 @@ def top_k(df: DataFrame, k: int = 5, *, is_query=None, id_col: str = "vec_id", v
     per_dim = trees.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
     first = (queries.join(per_dim, "dim").withColumn("nth", F.pmod("block", F.col("shards")).cast("int"))
              .join(numbered, ["dim", "nth"]).join(trees, ["dim", "shard"]).withColumn("kth", F.lit(None).cast("binary")).select(*order))
-    seeds = first.mapInArrow(lambda it: _search(it, k), found)
+    seeds = first.groupBy("dim", "block").applyInArrow(lambda t: _search(t, k), found)
     kth = (seeds.groupBy("dim", "block", "row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
            .select("dim", "block", "row", F.when(F.col("n") >= k, F.col("least")).alias("least")))
 
@@ -228,10 +214,11 @@ def top_k(df: DataFrame, k: int = 5, *, is_query=None, id_col: str = "vec_id", v
         return pa.table({"dim": t["dim"].slice(0, 1), "block": t["block"].slice(0, 1), "kth": pa.array([out.tobytes()], pa.binary())})
 
     shared = kth.groupBy("dim", "block").applyInArrow(known, "dim int, block int, kth binary")
-    # All shards, a few to a task, for each block.
-    grid = (queries.join(shared, ["dim", "block"], "left")
-            .join(trees.select("dim", "shard"), "dim").join(trees, ["dim", "shard"]).select(*order)
-            .repartition(F.col("dim"), F.col("block"), F.expr("shard div 4")).sortWithinPartitions("dim", "block", "shard"))
-    hits = grid.mapInArrow(lambda it: _search(it, k), found)
-    rank = F.row_number().over(Window.partitionBy("query_id", "block", "row").orderBy(F.desc("score"), "vec_id"))
+    # All shards for each block, a few to a group. Pairs are listed by number;
+    # the bytes of both sides join them.
+    pairs = queries.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    grid = (pairs.join(trees, ["dim", "shard"]).join(queries, ["dim", "block"])
+            .join(shared, ["dim", "block"], "left").select(*order, F.expr(f"shard div {GROUP}").alias("part")))
+    hits = grid.groupBy("dim", "block", "part").applyInArrow(lambda t: _search(t, k), found)
+    rank = F.row_number().over(Window.partitionBy("query_id", "dim", "block", "row").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
