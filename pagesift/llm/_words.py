@@ -13,8 +13,10 @@ from typing import Iterator, NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
@@ -28,6 +30,16 @@ class Words(NamedTuple):
     first: np.ndarray   # first word of each text, len = texts + 1
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of at most ``BATCH_ROWS`` texts: the
+    session's default of ten times as many rows is meant for short ones. (The
+    setting stays: it is read when the query runs.)"""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def flat(arr) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null texts count as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm._words import slices
+from pagesift.llm._words import map_texts, slices
 
 CACHE_WORDS = 100_000  # of each generation, besides the words of one slice
 
@@ -183,6 +183,6 @@ def encode(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     fields = f"id {source.schema['id'].dataType.simpleString()}, {fields}"
     fields += f", passed {source.schema['passed'].dataType.simpleString()}" if passed else ""
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text, *["passed"] * bool(passed)]
-    out = source.mapInArrow(run, fields)
+    out = map_texts(source, run, fields)
     return out.select(F.col("id").alias(id_col), *[c for c in names if c not in ("id", "passed")],
                       *[F.col(f"passed.`{c}`").alias(c) for c in passed])

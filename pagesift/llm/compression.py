@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagesift.llm._words import Roller, Words, slices, words
+from pagesift.llm._words import Roller, Words, map_texts, slices, words
 
 CHUNK = 4096
 WINDOW = 8
@@ -152,4 +152,4 @@ def rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     source = df.select(id_col, text_col)
     b_text = source.columns[1]
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+    return map_texts(source, run, f"`{id_col}` {kind}, {fields}")

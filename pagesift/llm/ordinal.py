@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm._words import Roller, Words, mix, slices, words
+from pagesift.llm._words import Roller, Words, map_texts, mix, slices, words
+from pagesift.session import stage
 
 SAMPLE = 20_000       # labelled documents to fit on, at most
-SAMPLE_WORDS = 20_000_000  # features brought together for the fit, at most
+SAMPLE_WORDS = 20_000_000  # features of theirs brought together for the fit, at most
 BUCKETS = 1 << 18     # hashed word features
 FORMS = 64            # hashed form features
 PREFIX_BYTES = 5
@@ -159,7 +160,7 @@ def _featurise(df: DataFrame) -> DataFrame:
                 forms = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * FORMS), pa.array(f.forms.ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, forms], ["tie", "grade", "bucket", "forms"])
 
-    return df.mapInArrow(run, "tie long, grade int, bucket array<int>, forms array<float>")
+    return map_texts(df, run, "tie long, grade int, bucket array<int>, forms array<float>")
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -174,15 +175,18 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
              .withColumn("tie", F.xxhash64(F.lit(seed), "id")).orderBy("tie", "id").limit(sample))
     chosen = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
               .join(F.broadcast(rated), "id").select("tie", "grade", "text"))
-    rows = _featurise(chosen).orderBy("tie", "grade").toArrow()
+    rows = stage(_featurise(chosen), "sample")
+    # As many of them, in the same order, as hold SAMPLE_WORDS features: a row
+    # of a very long text is only collected if it fits.
+    sizes = rows.groupBy("tie").agg(F.sum(F.size("bucket") + FORMS).alias("n")).orderBy("tie").toArrow()
+    fits = np.cumsum(sizes["n"].to_numpy()) <= SAMPLE_WORDS
+    if not fits.any():
+        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, FORMS)), seed)
+    rows = rows.filter(F.col("tie") <= int(sizes["tie"].to_numpy()[fits][-1])).orderBy("tie", "grade", "bucket").toArrow()
     grade = rows["grade"].to_numpy().astype(np.int64)
-    lists = rows["bucket"].combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    first = lists.offsets.to_numpy().astype(np.int64)
-    bucket = lists.values.to_numpy()
-    n = min(len(grade), int(np.searchsorted(first, first[0] + SAMPLE_WORDS, side="right")) - 1) if len(grade) else 0
-    forms = np.array(rows["forms"].to_pylist(), np.float64).reshape(len(grade), FORMS)
-    return fit(grade[:n], first[:n + 1], bucket, forms[:n], seed)
+    lists = pa.concat_arrays(rows["bucket"].chunks)
+    forms = pa.concat_arrays(rows["forms"].chunks).values.to_numpy().astype(np.float64).reshape(len(grade), FORMS)
+    return fit(grade, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), forms, seed)
 
 
 def _judged(df: DataFrame, model: Model, tail_grade: int, min_tail: float, id_col: str, text_col: str, passed: bool) -> DataFrame:
@@ -215,7 +219,7 @@ def _judged(df: DataFrame, model: Model, tail_grade: int, min_tail: float, id_co
                 yield pa.RecordBatch.from_arrays([b.column(0), expected, tail, kept, *b.columns[1:1 + len(back)]],
                                                  ["id", "expected_grade", "p_tail", "kept", *back])
 
-    return source.mapInArrow(run, f"id {kinds['id'].dataType.simpleString()}, expected_grade double, p_tail double, kept boolean"
+    return map_texts(source, run, f"id {kinds['id'].dataType.simpleString()}, expected_grade double, p_tail double, kept boolean"
                              + "".join(f", {c} {kinds[c].dataType.simpleString()}" for c in back))
 
 

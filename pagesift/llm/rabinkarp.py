@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm._words import Roller, as_long, flat, slices, words
+from pagesift.llm._words import Roller, as_long, map_texts, slices, words
 from pagesift.session import stage
 
 
@@ -87,7 +87,7 @@ def find_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                      pa.array(as_long(anchor)), pa.array(as_long(seg))],
                     ["id", "fp", "first", "n", "anchor", "seg"])
 
-    return docs.mapInArrow(run, "id long, fp long, first int, n int, anchor long, seg long")
+    return map_texts(docs, run, "id long, fp long, first int, n int, anchor long, seg long")
 
 
 def find_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -113,7 +113,7 @@ def find_windows(docs: DataFrame, window: int) -> DataFrame:
                      pa.array(anchor), pa.array(as_long(roll.run_hashes(h, lo, lo + window)))],
                     ["id", "fp", "first", "anchor", "win"])
 
-    return docs.mapInArrow(run, "id long, fp long, first int, anchor long, win long")
+    return map_texts(docs, run, "id long, fp long, first int, anchor long, win long")
 
 
 def copied_intervals(df: DataFrame, *, window: int = 50, gram: int = 16, id_col: str = "doc_id",
@@ -181,5 +181,5 @@ def dedup(df: DataFrame, *, window: int = 50, gram: int = 16, id_col: str = "doc
                     columns += [pa.array(merged, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_removed", "kept_sha256", *["intervals", "kept_text"] * with_text])
 
-    return docs.join(spans, ["id", "fp"], "left").mapInArrow(
-        run, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string{extra}")
+    return map_texts(
+        docs.join(spans, ["id", "fp"], "left"), run, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string{extra}")
