@@ -122,16 +122,18 @@ def copied_intervals(df: DataFrame, *, window: int = 50, gram: int = 16, id_col:
     intervals [lo, hi) to remove, not yet merged."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
     seg = find_segments(docs.filter(F.col("id").isNotNull()), window, gram)
-    shared = seg.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
+    # Written, so that the join has plain exchanges on both sides and a hot
+    # anchor can be split.
+    shared = stage(seg.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"), "anchors")
     seg = stage(seg.join(shared, "anchor"), "segments")
     variants = stage(seg.groupBy("anchor", "seg").agg(F.min("id").alias("owner")), "variants")
-    several = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor")
+    several = stage(variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor"), "anchors")
     judged = seg.join(variants, ["anchor", "seg"])
     whole = judged.filter("owner < id").select("id", "fp", F.col("first").alias("lo"), (F.col("first") + F.col("n") + window - 1).alias("hi"))
     todo = (judged.filter("owner = id").join(several, "anchor").groupBy("id", "fp")
             .agg(F.collect_list(F.struct("first", "n", "anchor")).alias("todo")))
     win = stage(find_windows(docs.join(todo, ["id", "fp"], "left"), window), "windows")
-    owner = win.groupBy("anchor", "win").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").drop("last")
+    owner = stage(win.groupBy("anchor", "win").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").drop("last"), "owners")
     single = win.join(owner, ["anchor", "win"]).filter("owner < id").select("id", "fp", F.col("first").alias("lo"), (F.col("first") + window).alias("hi"))
     spans = whole.unionAll(single).groupBy("id", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return docs, spans
