@@ -61,6 +61,22 @@ def test_bands(spark):
     assert [kept[i] for i in range(len(kept))] == [True] * len(good) + [False] * len(bad)
 
 
+def test_prose_mixed_with_encoded_or_repeated_text(spark):
+    rnd = random.Random(8)
+    prose = max((r["text"] for r in collect(queries.documents(spark, SF)) if r["text"] and compression.verdict(r["text"].encode())[3]), key=len)
+    words = prose.split()
+    def text(n):
+        return " ".join(rnd.choices(words, k=n // 4))[:n]
+    def b64(n):
+        return base64.b64encode(rnd.randbytes(n)).decode()[:n]
+    def hexed(n):
+        return rnd.randbytes(n).hex()[:n]
+    good = [text(n) for n in (4096, 4097, 8000, 41_000, 200_000)] + [text(100_000) + b64(4096) + text(100_000)]
+    bad = [text(24_600) + b64(16_400), text(20_500) + b64(20_500), text(110_000) + b64(90_000), text(4096) + b64(4096), text(3200) + hexed(4900),
+           text(120_000) + hexed(80_000), text(20_000) + "spam buy now " * 1600, text(380_000) + b64(20_480)]
+    assert [compression.verdict(t.encode())[3] for t in good + bad] == [True] * len(good) + [False] * len(bad)
+
+
 def test_clean_labelled_documents_are_kept(spark):
     out = compression.rules(queries.documents(spark, SF)).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     good = collect(out.filter("quality = 1 and not base_failed"))
