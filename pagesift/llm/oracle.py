@@ -102,4 +102,55 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n,
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept k USING (doc_id)"""
 
-ORACLE_SQL = {"op1_stratified_shards": OP1, "op7_sainte_lague_mix": OP7, "op9_ball_tree_top5": OP9, "op10_window_dedup": OP10}
+OP11 = r"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h
+  FROM documents),
+e AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (
+  SELECT *, array_to_string(u[1:p], '') AS pre, array_to_string(u[p + 1:q], '') AS mid, array_to_string(u[q + 1:], '') AS suf FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CAST(CASE WHEN form <> 'plain' THEN length(pre) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(mid) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(pre || mid || suf) AS restored_sha256
+FROM g"""
+
+OP13 = r"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, 1 AS m, ws[i] AS phrase FROM t
+  UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM t WHERE i + 1 <= len(ws)
+  UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM t WHERE i + 2 <= len(ws)),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE m > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, f AS a, ws, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN c x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+           JOIN c y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, ws[1] || ' ' || ws[2] AS phrase, f FROM cand WHERE m = 3
+    UNION ALL SELECT lang, ws[2] || ' ' || ws[3], f FROM cand WHERE m = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < 50 * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op1_stratified_shards": OP1, "op7_sainte_lague_mix": OP7, "op9_ball_tree_top5": OP9, "op10_window_dedup": OP10,
+              "op11_piece_table_fim": OP11, "op13_stripe_collocations": OP13}

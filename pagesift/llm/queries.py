@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import apportion, balltree, bpe, compression, order_minhash, ordinal, rabinkarp, secrets, shard, suffix_tree
+from pagesift.llm import (apportion, balltree, bpe, compression, order_minhash, ordinal, packing, piece_table, rabinkarp, secrets,
+                          shard, stripes, suffix_tree)
 from pagesift.llm.oracle import ORACLE_SQL
 
 N_SHARDS = 40
@@ -85,10 +86,23 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabinkarp.dedup(documents(spark, sf_dir))
 
 
+def op11_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = piece_table.transform(documents(spark, sf_dir), with_output=True)
+    return piece_table.restore(moved).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op13_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.mine(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_stratified_shards, op2_suffix_tree_scores, op3_forced_boundary_bpe, op4_compression_bands,
                             op5_secret_forest, op6_order_minhash, op7_sainte_lague_mix, op8_ordinal_quality, op9_ball_tree_top5,
-                            op10_window_dedup)
+                            op10_window_dedup, op11_piece_table_fim, op12_best_fit_packing, op13_stripe_collocations)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
