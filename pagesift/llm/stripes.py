@@ -1,19 +1,19 @@
 """Phrase collocation mining by the stripes pattern.
 
-A stripe is a prefix with an associative counter of the words that follow it.
-The empty prefix counts words, a prefix of one word its two-word extensions,
-and so on. A task builds stripes for the texts it reads and sends each as one
-row (prefix, next words, counts); stripes of one prefix meet in one partition
-and are merged elementwise. All that the scores need is in the merged stripes:
-extensions are their entries, the total of a prefix is its entry in the stripe
-of one word less, and the largest entry around a phrase decides whether a
-longer phrase subsumes it.
+A stripe is a prefix with an associative counter of what follows it. The
+counter of the empty prefix holds the words, that of a word its extensions: the
+next word, the next two words, and so on. A task builds stripes for the texts
+it reads and sends each as one row (prefix, extensions, counts); stripes of one
+prefix meet in one partition and are merged elementwise. All that the scores
+need is in the merged stripes: a phrase is an entry of its first word's stripe,
+the total of a prefix is its entry in the stripe of the empty one, and the
+largest entry around a phrase decides whether a longer phrase subsumes it.
 
 The stripe of a frequent prefix is dealt out to partitions by the hash of
-the next word: the empty prefix always, others if all their words are among the
-``HEAD`` heaviest that counting the words in a first pass has shown. So no
-prefix, however common, lies in one task, and merging is an aggregation that
-can spill.
+the extension: the empty prefix always, words if they are among the ``HEAD``
+heaviest that counting the words in a first pass has shown. So no prefix,
+however common, lies in one task, and merging is an aggregation that can
+spill.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ UNKNOWN = "und"
 HEAD = 2000            # a word of the head makes up at least 1 / HEAD of all words
 FRAGMENTS = 64         # of a stripe that is dealt out
 TOKENS = 2_000_000     # words after which a task sends its stripes
+ROWS = 10_000          # stripes in one Arrow batch
 TOTAL = -1             # fragment of the row that counts all words
 
 # The marks that end a piece; letters that are lowered.
@@ -48,10 +49,11 @@ FOLD = bytes.maketrans(_UPPER + _BREAKS, _UPPER.lower() + b"\n" * len(_BREAKS))
 
 
 class Stripes:
-    """The stripes of one task since it last sent some."""
+    """The stripes of one task since it last sent some: words alone (``depth`` 0),
+    or the extensions of words by up to ``depth`` words."""
 
-    def __init__(self, levels: range, head: dict[str, frozenset[bytes]]):
-        self.levels, self.head = levels, head
+    def __init__(self, depth: int, head: dict[str, frozenset[bytes]]):
+        self.depth, self.head = depth, head
         self.clear()
 
     def clear(self) -> None:
@@ -71,52 +73,64 @@ class Stripes:
         self.n += len(out) - before
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """All stripes, a batch for each language and length of prefix."""
+        """All stripes, language by language."""
         words = list(self.vocab)
         strings = pa.array(words, pa.string())
-        crc = np.fromiter((zlib.crc32(w) % FRAGMENTS for w in words), np.int64, len(words))
+        crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
         for lang, numbers in self.tokens.items():
-            a = np.frombuffer(numbers, np.int32).astype(np.int64)
+            a = np.frombuffer(numbers, np.int32)
+            if not self.depth:
+                counts = np.bincount(a[a >= 0], minlength=len(words))
+                yield self.batch(lang, pa.array([""]), np.array([TOTAL]), pa.array([""]), pa.array([[int(counts.sum())]], pa.list_(pa.int32())))
+                entry = np.flatnonzero(counts)
+                yield from self.dealt(lang, pa.array([""]), np.zeros(len(entry), np.int64), crc[entry] % FRAGMENTS,
+                                      strings.take(pa.array(entry)), counts[entry])
+                continue
             hot = np.fromiter((w in self.head.get(lang, ()) for w in words), bool, len(words))
-            # Places of runs of k words, the number of each distinct run, its words.
+            # Runs of k + 1 words: where their last words stand, the number of
+            # each one's run among the distinct ones, and those runs' words.
             at = np.flatnonzero(a >= 0)
-            run, parts, dealt = np.zeros(len(at), np.int64), [], np.ones(1, bool)
-            for k in range(self.levels.stop):
-                keys, run_of, counts = np.unique(run * len(words) + a[at], return_inverse=True, return_counts=True)
-                prefix, following = keys // len(words), keys % len(words)
-                if k in self.levels:
-                    yield self.level(lang, strings, parts, prefix, following, counts, np.where(dealt[prefix], crc[following], 0))
-                    if k == 0:
-                        yield self.batch(lang, pa.array([""]), [TOTAL], pa.array([""]), pa.array([[int(counts.sum())]], pa.list_(pa.int32())))
-                parts = [p[prefix] for p in parts] + [following]
-                dealt = hot[following] & dealt[prefix]
+            parts, run = [np.arange(len(words))], a[at].astype(np.int64)
+            for _ in range(self.depth):
                 on = a[at + 1] >= 0   # a piece ends with -1
-                at, run = at[on] + 1, run_of[on]
-
-    def level(self, lang, strings, parts, prefix, following, counts, fragment) -> pa.RecordBatch:
-        order = np.lexsort((following, fragment, prefix))
-        prefix, following, counts, fragment = prefix[order], following[order], counts[order], fragment[order]
+                at, run = at[on] + 1, run[on]
+                keys, run, counts = np.unique(run * len(words) + a[at], return_inverse=True, return_counts=True)
+                before, last = keys // len(words), keys % len(words)
+                parts = [p[before] for p in parts] + [last]
+                mixed = crc[parts[1]]
+                for p in parts[2:]:
+                    mixed = mixed * 31 + crc[p]
+                entries = [strings.take(pa.array(p)) for p in parts[1:]]
+                entries = pc.binary_join_element_wise(*entries, " ") if len(entries) > 1 else entries[0]
+                yield from self.dealt(lang, strings, parts[0], np.where(hot[parts[0]], mixed % FRAGMENTS, 0), entries, counts)
+
+    def dealt(self, lang, owners, prefix, fragment, entries, counts) -> Iterator[pa.RecordBatch]:
+        """Entries as stripes, one for each prefix and fragment. Entries of a
+        prefix come in the order of their words, so that they compress well."""
+        order = np.lexsort((fragment, prefix))
+        prefix, fragment = prefix[order], fragment[order]
         new = np.ones(len(order), bool)
         new[1:] = (prefix[1:] != prefix[:-1]) | (fragment[1:] != fragment[:-1])
         lead = np.flatnonzero(new)
         offsets = pa.array(np.append(lead, len(order)).astype(np.int32))
-        nexts = pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(pa.array(following))), " ")
-        owners = [strings.take(pa.array(p[prefix[lead]])) for p in parts]
-        owners = pc.binary_join_element_wise(*owners, " ") if owners else pa.array([""] * len(lead), pa.string())
-        return self.batch(lang, owners, fragment[lead], nexts, pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))))
+        nexts = pc.binary_join(pa.ListArray.from_arrays(offsets, entries.take(pa.array(order))), "\n")
+        counted = pa.ListArray.from_arrays(offsets, pa.array(counts[order].astype(np.int32)))
+        whole = self.batch(lang, owners.take(pa.array(prefix[lead])), fragment[lead], nexts, counted)
+        for lo in range(0, whole.num_rows, ROWS):
+            yield whole.slice(lo, ROWS)
 
     def batch(self, lang, owners, fragment, nexts, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(owners), pa.string()), owners, pa.array(np.asarray(fragment, np.int32)), nexts, counts],
+            [pa.array([lang] * len(owners), pa.string()), owners, pa.array(fragment.astype(np.int32)), nexts, counts],
             ["lang", "prefix", "fragment", "nexts", "counts"])
 
 
-def stripes(docs: DataFrame, levels: range, head: dict[str, frozenset[bytes]]) -> DataFrame:
-    """Stripes of prefixes of ``levels`` words, as the tasks send them; docs:
-    (lang, text)."""
+def stripes(docs: DataFrame, depth: int, head: dict[str, frozenset[bytes]]) -> DataFrame:
+    """Stripes as the tasks send them: of the empty prefix (``depth`` 0), or of all
+    words with extensions of up to ``depth`` words; docs: (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Stripes(levels, head)
+        own = Stripes(depth, head)
         for b in batches:
             langs = b.column(0).to_pylist()
             for lang, text in zip(langs, b.column(1).cast(pa.large_binary()).to_pylist()):
@@ -135,7 +149,7 @@ def merge(parts: DataFrame) -> DataFrame:
     """(lang, prefix, fragment, word, f): stripes added up element by element.
     Only stripes are shuffled: their entries are added where they meet."""
     met = parts.repartition("lang", "prefix", "fragment")
-    entry = F.explode(F.arrays_zip(F.split("nexts", " ").alias("word"), F.col("counts").alias("c"))).alias("e")
+    entry = F.explode(F.arrays_zip(F.split("nexts", "\n").alias("word"), F.col("counts").alias("c"))).alias("e")
     return (met.select("lang", "prefix", "fragment", entry).select("lang", "prefix", "fragment", "e.word", "e.c")
             .groupBy("lang", "prefix", "fragment", "word").agg(F.sum("c").alias("f")))
 
@@ -145,7 +159,7 @@ def count_phrases(df: DataFrame, *, min_count: int = MIN_COUNT, max_words: int =
     """(totals (lang, n), phrases (lang, phrase, m, f)): how many words a language
     has, and every phrase of up to ``max_words`` words that occurs ``min_count`` times."""
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    words = merge(stripes(docs, range(0, 1), {}))
+    words = merge(stripes(docs, 0, {}))
     words = stage(words.filter((F.col("fragment") == TOTAL) | (F.col("f") >= min_count)), "words")
     totals = words.filter(F.col("fragment") == TOTAL).select("lang", F.col("f").alias("n"))
     words = words.filter(F.col("fragment") != TOTAL)
@@ -155,10 +169,10 @@ def count_phrases(df: DataFrame, *, min_count: int = MIN_COUNT, max_words: int =
     for r in words.filter(F.col("f") * HEAD >= F.lit(every)).select("lang", "word").collect():
         head[r["lang"]].add(r["word"].encode())
     head = {lang: frozenset(found) for lang, found in head.items()}
-    longer = stage(merge(stripes(docs, range(1, max_words), head)).filter(F.col("f") >= min_count), "phrases")
+    longer = stage(merge(stripes(docs, max_words - 1, head)).filter(F.col("f") >= min_count), "phrases")
     phrases = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("m"), "f").unionByName(
         longer.select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"),
-                      (F.size(F.split("prefix", " ")) + 1).alias("m"), "f"))
+                      (F.size(F.split("word", " ")) + 1).alias("m"), "f"))
     return totals, phrases
 
 
