@@ -166,9 +166,9 @@ def _featurise(df: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           grade_col: str = "grade", sample: int = SAMPLE, seed: int = 0) -> Model:
     """Fit on at most ``sample`` rated documents, the first in a seeded order of
-    their ids. The sample's ids are broadcast and its features collected: both
-    are bounded by ``sample`` (and by ``SAMPLE_WORDS`` features), whatever the
-    corpus. Ratings without id or grade, and ratings of missing documents, are
+    their ids. The sample's ids are broadcast and its features brought to one
+    task: both are bounded by ``sample`` (and by ``SAMPLE_WORDS`` features), whatever
+    the corpus. The driver sees the model alone. Ratings without id or grade, and ratings of missing documents, are
     left out."""
     rated = (ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).dropna()
              .groupBy("id").agg(F.min("grade").alias("grade"))
@@ -182,11 +182,24 @@ def train(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
     fits = np.cumsum(sizes["n"].to_numpy()) <= SAMPLE_WORDS
     if not fits.any():
         return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, FORMS)), seed)
-    rows = rows.filter(F.col("tie") <= int(sizes["tie"].to_numpy()[fits][-1])).orderBy("tie", "grade", "bucket").toArrow()
-    grade = rows["grade"].to_numpy().astype(np.int64)
-    lists = pa.concat_arrays(rows["bucket"].chunks)
-    forms = pa.concat_arrays(rows["forms"].chunks).values.to_numpy().astype(np.float64).reshape(len(grade), FORMS)
-    return fit(grade, lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(), forms, seed)
+    rows = rows.filter(F.col("tie") <= int(sizes["tie"].to_numpy()[fits][-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grade, bucket, length, forms = [], [], [], []
+        for b in batches:
+            grade.append(b.column(0).to_numpy())
+            length.append(np.diff(b.column(1).offsets.to_numpy()))
+            bucket.append(b.column(1).flatten().to_numpy())
+            forms.append(b.column(2).flatten().to_numpy().reshape(-1, FORMS))
+        first = np.concatenate([[0], np.cumsum(np.concatenate(length))])
+        m = fit(np.concatenate(grade).astype(np.int64), first, np.concatenate(bucket), np.concatenate(forms).astype(np.float64), seed)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part).tolist()], pa.list_(t)) for part, t in zip(
+            m, (pa.int64(), pa.float64(), pa.float64(), pa.float64()))], list(Model._fields))
+
+    one = rows.coalesce(1).sortWithinPartitions("tie", "grade", "bucket").select("grade", "bucket", "forms")
+    fields = ", ".join(f"{c} array<{'long' if c == 'grades' else 'double'}>" for c in Model._fields)
+    model = map_texts(one, run, fields).toArrow()
+    return Model(*[model[c].chunk(0).flatten().to_numpy() for c in Model._fields])
 
 
 def _judged(df: DataFrame, model: Model, tail_grade: int, min_tail: float, id_col: str, text_col: str, passed: bool) -> DataFrame:

@@ -68,10 +68,10 @@ def test_edge_rows(spark):
 
 
 def test_sample_is_bounded(spark, monkeypatch):
-    docs, rated, sizes = queries.documents(spark, SF), queries.ratings(spark, SF), []
-    monkeypatch.setattr(ordinal, "fit", lambda grade, *_: sizes.append(len(grade)))
-    ordinal.train(docs, rated, sample=30)
-    ordinal.train(docs, rated)
+    docs, rated = queries.documents(spark, SF), queries.ratings(spark, SF)
+    nothing = np.zeros(1)
+    monkeypatch.setattr(ordinal, "fit", lambda grade, *_: ordinal.Model(np.array([len(grade)]), nothing, nothing, nothing))
+    sizes = [int(ordinal.train(docs, rated, sample=n).grades[0]) for n in (30, ordinal.SAMPLE)]
     assert sizes == [30, rated.dropna().count()]
 
 
