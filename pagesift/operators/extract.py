@@ -121,7 +121,9 @@ def rule_extract(texts: DataFrame, unit: Sequence[str] = ("page_id",), text: str
     """
     ln = lines(texts, text).withColumn("_refs", reference_numbers("line"))
     is_hdr = (F.size("_refs") == 0) & (is_excluded_section("line") | is_included_section("line"))
-    ln = ln.withColumn("_hdr", F.when(is_hdr, F.col("line")))
+    # Sections follow from headers alone: only these and lines with a reference
+    # are exchanged.
+    ln = ln.withColumn("_hdr", F.when(is_hdr, F.col("line"))).where((F.size("_refs") > 0) | F.col("_hdr").isNotNull())
     w = Window.partitionBy(*unit).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     wu = Window.partitionBy(*unit)
     ln = (ln.withColumn("section", F.last("_hdr", ignorenulls=True).over(w))

@@ -95,6 +95,72 @@ def early_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None =
     return kept, stats
 
 
+def coupled_stop(records: DataFrame, history: DataFrame, pages: DataFrame | None = None,
+                 site: str = "site_id", page: str = "page_num", pos: str = "pos",
+                 key: str = "fingerprint", can_stop=None) -> tuple[DataFrame, DataFrame, int]:
+    """Early stop and first-seen across sites together, as a run over the sites
+    one after the other decides them: a record is new if its key is neither in
+    the history, nor earlier in its site, nor on a page that an earlier site
+    (in the order of the site ids) really visited. The first page > 1 without a
+    new record stops its site; what lies behind it is not visited and
+    suppresses nothing elsewhere.
+
+    The two rules depend on each other, so the stops are found in rounds: new
+    records by the stops known so far, stops by the new records, until no stop
+    moves. A site's stop depends on the sites before it alone, so the rounds end
+    with the one solution after at most as many as there are sites (and in a few,
+    as chains of stops that move each other are short).
+
+    Only keys of more than one site (one row per site and key) are shuffled in
+    a round, combined on the map side by key; the driver sees whether a stop
+    moved. ``pages`` and ``can_stop`` are as in ``early_stop``. Site ids are not null.
+
+    Returns ``(kept, page_stats, rounds)``: the keys (site, key, page, pos) that the
+    run stores, one row per (site, page) with n_extracted, n_new, stop_page and
+    ``scraped``, and the number of rounds.
+    """
+    firsts = stage(records.groupBy(site, key).agg(F.min(F.struct(page, pos)).alias("_f"))
+                   .select(site, key, F.col("_f")[page].alias(page), F.col("_f")[pos].alias(pos))
+                   .join(history.select(key), key, "left_anti"), "first-keys")
+    several = firsts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    contested = stage(firsts.join(several, key, "left_semi").select(site, key, page), "contested")
+    counted = records.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_extracted")).withColumn("n_first", F.lit(0).cast("long"))
+    counted = counted.unionByName(firsts.groupBy(site, page).agg(F.count(F.lit(1)).alias("n_first"))
+                                  .withColumn("n_extracted", F.lit(0).cast("long")))
+    if pages is not None:  # fetched pages without any record count too
+        counted = counted.unionByName(pages.select(site, page, F.lit(0).cast("long").alias("n_extracted"),
+                                                   F.lit(0).cast("long").alias("n_first")))
+    counted = stage(counted.groupBy(site, page).agg(F.sum("n_extracted").alias("n_extracted"), F.sum("n_first").alias("n_first")),
+                    "page-counts")
+    stoppable = can_stop(F.col(page)) if can_stop is not None else (F.col(page) > 1)
+    stops, rounds = None, 0
+    while True:
+        rounds += 1
+        visited = contested if stops is None else contested.join(stops, site, "left").where(
+            F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page")))
+        owner = visited.groupBy(key).agg(F.min(site).alias("_owner"))
+        suppressed = (contested.join(owner, key).where(F.col(site) > F.col("_owner"))
+                      .groupBy(site, page).agg(F.count(F.lit(1)).alias("_n")))
+        stats = (counted.join(suppressed, [site, page], "left")
+                 .withColumn("n_new", F.col("n_first") - F.coalesce("_n", F.lit(0))).drop("_n", "n_first"))
+        now = stage(stats.where(stoppable & (F.col("n_new") == 0)).groupBy(site).agg(F.min(page).alias("stop_page")), "stops")
+        if stops is None:
+            moved = not now.isEmpty()
+        else:
+            moved = not (now.join(stops.withColumnRenamed("stop_page", "_before"), site, "full")
+                         .where(~F.col("stop_page").eqNullSafe(F.col("_before"))).isEmpty())
+        stops = now
+        if not moved:
+            break
+    stats = stats.join(stops, site, "left").withColumn(
+        "scraped", F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page")))
+    kept = (firsts.join(owner, key, "left").join(stops, site, "left")
+            .where((F.col("_owner").isNull() | (F.col(site) <= F.col("_owner")))
+                   & (F.col("stop_page").isNull() | (F.col(page) < F.col("stop_page"))))
+            .select(site, key, page, pos))
+    return kept, stats, rounds
+
+
 def run_summary(stats: DataFrame, stored: DataFrame, site: str = "site_id",
                 sites: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Per-site run row: pages_scraped (including the stop page) and

@@ -602,6 +602,53 @@ SELECT r.fingerprint, r.title, r.url,
        nullif(concat_ws(' | ', d.contact_email, d.contact_phone), '') AS contact,
        CAST(1 + CASE WHEN d.fingerprint IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_sources
 FROM rec r LEFT JOIN d2 d USING (fingerprint)"""
+    # One page after the other, in the order of sites and pages, with the list of
+    # keys seen so far.
+    fold = f"""WITH RECURSIVE {EVENT_RECS.strip()},
+ids AS (SELECT fingerprint, row_number() OVER (ORDER BY fingerprint) AS k
+        FROM (SELECT DISTINCT fingerprint FROM recs WHERE fingerprint NOT IN (SELECT fingerprint FROM hist))),
+pages AS (
+  SELECT site_id, page_num, row_number() OVER (ORDER BY site_id, page_num) AS n, count(*) AS n_extracted,
+         coalesce(list(DISTINCT k) FILTER (WHERE k IS NOT NULL), []) AS keys
+  FROM recs LEFT JOIN ids USING (fingerprint) GROUP BY site_id, page_num),
+fold AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS seen, NULL::BIGINT AS site_id, NULL::BIGINT AS page_num, 0::BIGINT AS n_extracted,
+         []::BIGINT[] AS new, true AS scraped, NULL::BIGINT AS stopped
+  UNION ALL
+  SELECT p.n, CASE WHEN f.stopped IS NOT DISTINCT FROM p.site_id THEN f.seen ELSE list_concat(f.seen, p.new) END,
+         p.site_id, p.page_num, p.n_extracted, p.new,
+         f.stopped IS DISTINCT FROM p.site_id,
+         CASE WHEN f.stopped IS NOT DISTINCT FROM p.site_id OR (len(p.new) = 0 AND p.page_num > 1) THEN p.site_id END
+  FROM fold f, LATERAL (SELECT q.*, list_filter(q.keys, lambda x: NOT list_contains(f.seen, x)) AS new FROM pages q WHERE q.n = f.n + 1) p),
+kept AS (
+  SELECT f.site_id, f.page_num, i.fingerprint FROM (SELECT site_id, page_num, unnest(new) AS k FROM fold WHERE scraped AND n > 0) f JOIN ids i USING (k))"""
+    q["coupled_stop"] = fold + """
+SELECT site_id, fingerprint, page_num, min(pos) AS pos FROM kept JOIN recs USING (site_id, page_num, fingerprint) GROUP BY ALL"""
+    # Behind a stop, what counts as new is told by the sites before alone.
+    q["coupled_pages"] = fold + """,
+taken AS (SELECT fingerprint, min(site_id) AS taker FROM kept GROUP BY fingerprint),
+firsts AS (SELECT site_id, fingerprint, min(page_num) AS page_num FROM recs WHERE fingerprint IN (SELECT fingerprint FROM ids) GROUP BY ALL),
+news AS (SELECT f.site_id, f.page_num, count(*) AS n_new FROM firsts f LEFT JOIN taken t USING (fingerprint)
+         WHERE t.taker IS NULL OR t.taker >= f.site_id GROUP BY ALL)
+SELECT fold.site_id, fold.page_num, fold.n_extracted, coalesce(news.n_new, 0) AS n_new, fold.scraped
+FROM fold LEFT JOIN news USING (site_id, page_num) WHERE fold.n > 0"""
+
+    def states(where: str) -> str:
+        return f"""(SELECT user_id, event_type, props, event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events {where})
+  WHERE rn = 1 AND event_type <> 'error')"""
+
+    was, now = states("WHERE ts < TIMESTAMP '2024-01-20 00:00:00'"), states("")
+    q["change_rows"] = f"""SELECT CAST(2 AS BIGINT) AS version, coalesce(a.user_id, b.user_id) AS user_id,
+  CASE WHEN b.user_id IS NULL THEN 'insert' WHEN a.user_id IS NULL THEN 'delete' ELSE 'update' END AS op,
+  CAST(b.event_id AS VARCHAR) AS before_event, b.event_type AS before_type, CAST(a.event_id AS VARCHAR) AS after_event, a.event_type AS after_type, a.props AS after_props
+FROM {was} b FULL JOIN {now} a ON a.user_id = b.user_id
+WHERE a.user_id IS NULL OR b.user_id IS NULL OR (a.event_type, a.props, a.event_id) IS DISTINCT FROM (b.event_type, b.props, b.event_id)"""
+    q["changes_applied"] = f"SELECT * FROM {now}"
+    q["cascade_changes"] = """SELECT CAST(3 AS BIGINT) AS version, o_orderkey, 'update' AS op, o_custkey AS before_custkey,
+  CAST(NULL AS BIGINT) AS after_custkey, o_orderstatus
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'"""
+    q["stored_upsert"] = q["keyed_replace"]
     return q
 
 

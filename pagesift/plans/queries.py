@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
-from ..operators import dedupe, enrich, extract, frontier, jobs, links, report
+from ..operators import changes, dedupe, enrich, extract, frontier, jobs, links, report
 from . import batch
 from ..sources.tables import table
 
@@ -515,7 +515,7 @@ def fallback_links(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     p = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>Works ABC/DEF/"), F.col("page_id").cast("string"), F.lit("</p>"))).otherwise(F.col("html")))
     sp = batch.site_pages(p)
-    rec = batch.rule_records(sp)
+    rec = batch.rule_records(sp.where(F.col("page_num") == 1))
     t = batch.fallback_targets(sp, rec, TEST_DETAIL_PATTERNS)
     return t.select("site_id", "listing_page_id", "link_url",
                     F.col("link_rank").cast("long").alias("link_rank"))
@@ -579,7 +579,82 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink).where(F.col("doc_id") >= 0)
 
 
+# ------------------------------------------- coupled run, changes, upserts
+
+def coupled_stop(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that a run over the sites one after the other stores: pages behind a
+    stop suppress nothing elsewhere (all events are candidates, signups are
+    known)."""
+    recs = _event_records(spark, d)
+    kept, _, _ = frontier.coupled_stop(recs.drop("event_type"), _event_history(recs))
+    return kept.select("site_id", "fingerprint", "page_num", "pos")
+
+
+def coupled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of that run: extracted, new, and whether they were visited."""
+    recs = _event_records(spark, d)
+    _, stats, _ = frontier.coupled_stop(recs.drop("event_type"), _event_history(recs))
+    return stats.select("site_id", "page_num", "n_extracted", "n_new", "scraped")
+
+
+def _user_states(spark, d, until: str | None = None) -> DataFrame:
+    """The last event of each user (up to a time); users whose last one is an
+    error are gone."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    e = e if until is None else e.where(F.col("ts") < F.to_timestamp(F.lit(until)))
+    last = dedupe.last_seen(e, ["user_id"], ["ts", "event_id"]).where(F.col("event_type") != "error")
+    return last.select("user_id", "event_type", "props", "event_id")
+
+
+CHANGED_SINCE = "2024-01-20 00:00:00"
+
+
+def change_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts, updates and deletes between two states of the users."""
+    ch = changes.snapshot_changes(_user_states(spark, d, CHANGED_SINCE), _user_states(spark, d), "user_id", 2)
+    return ch.select("version", "user_id", "op", F.col("before.event_id").cast("string").alias("before_event"), F.col("before.event_type").alias("before_type"),
+                     F.col("after.event_id").cast("string").alias("after_event"), F.col("after.event_type").alias("after_type"), F.col("after.props").alias("after_props"))
+
+
+def changes_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The old state with the change rows applied: the new state."""
+    old = _user_states(spark, d, CHANGED_SINCE)
+    ch = changes.snapshot_changes(old, _user_states(spark, d), "user_id", 2)
+    return changes.apply_changes(old, ch, "user_id")
+
+
+def cascade_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Change rows of orders whose customers are deleted: references set to null."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    gone = changes.snapshot_changes(customers, customers.where(F.col("c_mktsegment") != "BUILDING"), "c_custkey", 3)
+    ch = changes.cascade(gone, "c_custkey", orders, "o_orderkey", "o_custkey", set_null=True)
+    return ch.select("version", "o_orderkey", "op", F.col("before.o_custkey").alias("before_custkey"),
+                     F.col("after.o_custkey").alias("after_custkey"), F.col("after.o_orderstatus").alias("o_orderstatus"))
+
+
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """keyed_replace as a stored table: signups first, then all other events in
+    two batches by parity, then the first batch once more."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sinks import store
+    path = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    rest = e.where(F.col("event_type") != "signup")
+    for part in (e.where(F.col("event_type") == "signup"), rest.where("event_id % 2 = 0"), rest.where("event_id % 2 = 1"), rest.where("event_id % 2 = 0")):
+        store.upsert_buckets(part, path, "user_id", ["ts", "event_id"], buckets=16)
+    return spark.read.parquet(path).select("user_id", "event_id", "event_type", "props", _ts("ts").alias("updated_at"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "coupled_stop": coupled_stop,
+    "coupled_pages": coupled_pages,
+    "change_rows": change_rows,
+    "changes_applied": changes_applied,
+    "cascade_changes": cascade_changes,
+    "stored_upsert": stored_upsert,
     "listing_run": listing_run,
     "site_run": site_run,
     "blanked_run": blanked_run,

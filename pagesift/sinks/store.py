@@ -5,6 +5,8 @@
   appends nothing, so at-least-once callers (streaming ``foreachBatch``,
   retried jobs) stay exact. One writer per table is the contract.
 * ``append_events`` — append-only event rows (queue jobs, runs).
+* ``upsert_buckets`` — last write wins, stored: only the buckets that change are
+  written anew.
 * ``merge_by_key`` — last write wins: current ∪ updates, last row per key, as
   a DataFrame for the caller to write.
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedupe
+from ..session import stage
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -76,6 +79,50 @@ def merge_by_key(current: DataFrame, updates: DataFrame, key: Sequence[str] | st
     return dedupe.keyed_replace(current, updates.select(*current.columns), key, order)
 
 
+# ------------------------------------------------- keyed table in buckets
+
+BUCKET = "bucket"
+
+
+def upsert_buckets(updates: DataFrame, path: str, key: Sequence[str] | str, order: Sequence[str],
+                   buckets: int = 256) -> int:
+    """Upsert with replace-on-conflict into the table at ``path``, kept in folders
+    ``bucket=n`` by the hash of the key. Returns the number of rows written over
+    or added.
+
+    The last row per key by ``order`` wins, as in ``merge_by_key``. An update that is not later than the
+    stored row changes nothing, so a replay writes no file. Only buckets with a
+    winning update are read whole and written anew; the others are neither
+    listed in the write nor touched. New files are written beside the old ones
+    and take their place when the write commits, so a job that fails before
+    leaves the old version. ``buckets`` is fixed when the table is made; the
+    numbers of touched buckets (at most that many) are what the driver sees.
+    One writer per table is the contract. Columns of the table stay as they are.
+    """
+    spark = updates.sparkSession
+    keys, order = [key] if isinstance(key, str) else list(key), list(order)
+    number = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    batch = stage(dedupe.last_seen(updates, keys, order).withColumn(BUCKET, number), "updates")
+    if _exists(spark, path):
+        table = spark.read.parquet(path)
+        batch = batch.select(*table.columns)
+        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+        stored = table.where(F.col(BUCKET).isin(touched))
+        at = F.struct(*order)
+        there = stored.select(F.struct(*keys).alias("_key"), F.xxhash64(*keys).alias("_h"), at.alias("_at"))
+        won = batch.join(there, (F.xxhash64(*keys) == F.col("_h")) & F.struct(*keys).eqNullSafe(F.col("_key")), "left")
+        won = stage(won.where(F.col("_h").isNull() | (at > F.col("_at"))).select(*batch.columns), "winners")
+        touched = [r[0] for r in won.select(BUCKET).distinct().collect()]
+        if not touched:
+            return 0
+        merged = dedupe.last_seen(table.where(F.col(BUCKET).isin(touched)).unionByName(won), keys, order)
+    else:
+        won = merged = batch
+    (merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKET).parquet(path))
+    return won.count()
+
+
 # ------------------------------------------------- bucketed record table
 
 def create_bucketed_table(df: DataFrame, name: str, key: str = "fingerprint",
