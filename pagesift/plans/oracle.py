@@ -182,6 +182,31 @@ recs AS (
 hist AS (SELECT fingerprint FROM recs WHERE event_type = 'signup')"""
 
 
+def _lifecycle_sql(as_of: str) -> str:
+    """Steps and lease ends of jobs, each job's events numbered in order."""
+    return f"""WITH {JOB_EVENTS},
+nu AS (SELECT id, ts, seq, status, row_number() OVER (PARTITION BY id ORDER BY ts, seq) AS i
+       FROM (SELECT DISTINCT id, ts, seq, status FROM ev WHERE id IS NOT NULL AND ts < {as_of})),
+op AS (SELECT *, min(CASE WHEN status = 'pending' THEN i END) OVER (PARTITION BY id) AS o FROM nu),
+la AS (SELECT *, max(CASE WHEN status = 'running' AND i > o THEN ts END)
+                 OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM op),
+ru AS (SELECT *, coalesce(ts <= last + INTERVAL 6 HOUR, false) AS runs FROM la),
+fi AS (SELECT *, min(CASE WHEN status IN ('done', 'error') AND runs THEN i END) OVER (PARTITION BY id) AS f FROM ru),
+fs AS (SELECT *, max(CASE WHEN i = f THEN status END) OVER (PARTITION BY id) AS final,
+              coalesce(i > o, false) AND NOT coalesce(i > f, false) AS live FROM fi),
+steps AS (
+  SELECT *, CASE WHEN NOT coalesce(i > o, false) THEN NULL WHEN i > f THEN final WHEN runs THEN 'running' ELSE 'pending' END AS from_status,
+         CASE WHEN i = o THEN 'applied'
+              WHEN live AND status = 'running' AND runs THEN 'renewed'
+              WHEN live AND status = 'running' THEN 'applied'
+              WHEN live AND status IN ('done', 'error') AND runs THEN 'applied' ELSE 'refused' END AS verdict FROM fs),
+signs AS (SELECT *, lead(ts) OVER (PARTITION BY id ORDER BY i) AS nxt FROM fs WHERE live AND status <> 'pending')
+SELECT id, strftime(ts, {TSF}) AS ts, seq, from_status, CASE WHEN verdict = 'refused' THEN from_status ELSE status END AS to_status, verdict FROM steps
+UNION ALL
+SELECT id, strftime(ts + INTERVAL 6 HOUR, {TSF}), -1, 'running', 'pending', 'lease_end' FROM signs
+WHERE status = 'running' AND ts + INTERVAL 6 HOUR < {as_of} AND (nxt IS NULL OR nxt > ts + INTERVAL 6 HOUR)"""
+
+
 def _early_stop_cte(recs: str = "recs", order: str = "page_num, pos",
                     stop_cond: str = "page_num > 1", pages: str | None = None, sites: str | None = None) -> str:
     """CTEs firsts … summary; ``pages`` (site_id, page_num) were fetched, ``sites``
@@ -461,6 +486,8 @@ SELECT event_id, kind, CASE WHEN kind = 'object' THEN json_extract_string(span,
 SELECT id, status, error, strftime(created_at, {TSF}) AS created_at, strftime(started_at, {TSF}) AS started_at,
        strftime(finished_at, {TSF}) AS finished_at, n_events FROM st"""
     q["queue_status"] = f"WITH {JOB_EVENTS} SELECT status, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY status"
+    q["job_lifecycle"] = _lifecycle_sql("(SELECT date_trunc('milliseconds', max(ts)) + INTERVAL 1 MILLISECOND FROM events)")
+    q["stream_lifecycle"] = _lifecycle_sql("(SELECT date_trunc('milliseconds', max(ts)) FROM events)")
     q["next_jobs"] = f"""WITH {JOB_EVENTS}
 SELECT id, strftime(created_at, {TSF}) AS created_at FROM st WHERE status = 'pending'
 ORDER BY st.created_at, id LIMIT 5"""

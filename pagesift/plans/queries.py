@@ -247,7 +247,10 @@ def shape_guard(spark: SparkSession, d: str) -> DataFrame:
 
 def _job_events(spark, d) -> DataFrame:
     """Events as queue job events: job := user, status by event type."""
-    e = table(spark, d, "events")
+    return _as_job_events(table(spark, d, "events"))
+
+
+def _as_job_events(e: DataFrame) -> DataFrame:
     status = (F.when(F.col("event_type") == "signup", F.lit(jobs.JOB_PENDING))
                .when(F.col("event_type").isin("view", "click"), F.lit(jobs.JOB_RUNNING))
                .when(F.col("event_type") == "purchase", F.lit(jobs.JOB_DONE))
@@ -268,6 +271,47 @@ def queue_status(spark: SparkSession, d: str) -> DataFrame:
     return jobs.status_counts(jobs.current_state(_job_events(spark, d)))
 
 
+LEASE_SECONDS = 6 * 3600   # of the test events, whose users come back after hours
+
+
+def job_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Steps, renewals, refusals and ends of leases of every job."""
+    from ..operators.lifecycle import lifecycle
+    out = lifecycle(_job_events(spark, d), lease_seconds=LEASE_SECONDS)
+    return _shown(out)
+
+
+def _shown(steps: DataFrame) -> DataFrame:
+    """Times as text; -1 for the seq of a lease's end."""
+    return steps.withColumns({"ts": _ts("ts"), "seq": F.coalesce("seq", F.lit(-1))})
+
+
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """job_lifecycle as a stateful stream over the events file: all rows before
+    the last watermark, which is the last event's millisecond."""
+    import os
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming import lifecycle as life
+    base = scratch_path(spark, f"stream-lifecycle-{uuid.uuid4().hex}")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    life.state_store(spark)
+    try:
+        src = (spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d))
+        out = life.lifecycle_stream(_as_job_events(src), lease_seconds=LEASE_SECONDS)
+        q = (out.writeStream.format("parquet").option("path", os.path.join(base, "table"))
+                .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+    return _shown(spark.read.schema(out.schema).parquet(os.path.join(base, "table")))
+
+
 def next_jobs(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
     s = jobs.next_jobs(jobs.current_state(_job_events(spark, d)), n)
     return s.select("id", _ts("created_at").alias("created_at"))
@@ -683,6 +727,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shape_guard": shape_guard,
     "job_state": job_state,
     "queue_status": queue_status,
+    "job_lifecycle": job_lifecycle,
+    "stream_lifecycle": stream_lifecycle,
     "next_jobs": next_jobs,
     "enqueue_jobs": enqueue_jobs,
     "job_site_lookup": job_site_lookup,
