@@ -3,8 +3,10 @@
 Repetitive text compresses too well and random or encoded text too badly. The
 zstandard ratio (compressed / raw bytes) of the whole text and of its fixed
 chunks must lie in a band that depends on the length, since short text cannot
-compress much; a chunk must also not need more than coding its bytes one by one
-would, as random hex does. The rule set also has the word-count and repeated-window base
+compress much. Chunks come in two sizes: large ones, which must also not need
+more than coding their bytes one by one would, as random hex does, and small,
+half overlapping ones for texts of every length, whose bytes must not be spread
+evenly over their alphabet. The rule set also has the word-count and repeated-window base
 rules that run before it.
 """
 
@@ -51,6 +53,15 @@ MAX_BAD_CHUNKS = 0.15
 BAD_RUN = 4
 
 
+# Small chunks. Prose has 0.56-0.82 (so has CJK), base64 0.93 or more. Its bytes
+# have at most 0.92 of the entropy of an even spread over the bytes that occur;
+# hex, base64 and digits have at least 0.96. Shorter texts are too short to tell.
+SMALL, SMALL_STEP = 256, 128
+SMALL_BANDS = (Band(SMALL, 0.10, 0.88),)
+MAX_EVENNESS = 0.94
+MAX_BAD_SMALL = 0.15
+
+
 def outside(ratio: float, size: int, bands: tuple[Band, ...]) -> bool:
     band = [b for b in bands if size >= b.size][-1]
     return not band.low <= ratio <= band.high
@@ -64,24 +75,45 @@ def bad_chunk(chunk: bytes, size: int) -> bool:
     return outside(size / len(chunk), len(chunk), CHUNK_BANDS) or size > MAX_OF_ENTROPY * entropy
 
 
-def verdict(raw: bytes, level: int = 3) -> tuple[float, int, int, bool]:
-    """(ratio of the whole text, chunks, chunks outside their band, passed)."""
+def small_chunks(raw: bytes, z) -> tuple[int, int]:
+    """(small chunks, bad ones) of a text; the last chunk is its last bytes."""
+    n = len(raw)
+    if n < SMALL:
+        return 0, 0
+    size = SMALL
+    starts = np.append(np.arange(0, n - size, SMALL_STEP), n - size)
+    data, bad = np.frombuffer(raw, np.uint8), 0
+    for block in np.array_split(starts, len(starts) // 2048 + 1):   # memory follows the block
+        held = data[block[:, None] + np.arange(size)]
+        count = np.bincount((held + 256 * np.arange(len(block))[:, None]).ravel(), minlength=256 * len(block)).reshape(-1, 256)
+        entropy = np.log2(size) - (count * np.log2(np.maximum(count, 1))).sum(1) / size
+        even = entropy > MAX_EVENNESS * np.log2(np.maximum((count > 0).sum(1), 2))
+        for at, e in zip(block.tolist(), even.tolist()):
+            bad += e or outside(len(z.compress(raw[at:at + size])) / size, size, SMALL_BANDS)
+    return len(starts), bad
+
+
+def verdict(raw: bytes, level: int = 3) -> tuple[float, int, int, bool, int, int]:
+    """(ratio of the whole text, large chunks, bad ones, passed, small chunks, bad
+    ones)."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
     if not raw:
-        return 0.0, 0, 0, True
+        return 0.0, 0, 0, True, 0, 0
     ratio = len(z.compress(raw)) / len(raw)
+    small, bad_small = small_chunks(raw, z)
+    fits = not outside(ratio, len(raw), WHOLE_BANDS) and bad_small <= MAX_BAD_SMALL * small
     if len(raw) <= CHUNK:
-        return ratio, 0, 0, not outside(ratio, len(raw), WHOLE_BANDS)
+        return ratio, 0, 0, fits, small, bad_small
     chunks = [raw[i:i + CHUNK] for i in range(0, len(raw) - CHUNK, CHUNK)] + [raw[-CHUNK:]]
     bad = [bad_chunk(c, len(z.compress(c))) for c in chunks]
     run = longest = 0
     for b in bad:
         run = run + 1 if b else 0
         longest = max(longest, run)
-    passed = not outside(ratio, len(raw), WHOLE_BANDS) and sum(bad) <= MAX_BAD_CHUNKS * len(chunks) and longest < BAD_RUN
-    return ratio, len(chunks), sum(bad), passed
+    passed = fits and sum(bad) <= MAX_BAD_CHUNKS * len(chunks) and longest < BAD_RUN
+    return ratio, len(chunks), sum(bad), passed, small, bad_small
 
 
 def _equal_earlier(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +165,8 @@ def rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     """Base counts and the verdict of the compression bands for every whole text.
 
     Returns (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, ratio, n_chunks, n_bad_chunks), one row per input row.
+    base_failed, kept, ratio, n_chunks, n_bad_chunks, n_small, n_bad_small), one
+    row per input row.
 
     Defined cases: null and empty texts have no words, so they fail the base
     rule of 20 words and are not kept (ratio 0); null or repeated ids are passed
@@ -141,7 +174,7 @@ def rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     task follows the longest text.
     """
     fields = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-              "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long")
+              "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, n_small long, n_bad_small long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Roller()
@@ -168,7 +201,7 @@ def rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
                     [b.column(0), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dups, repeats)),
                      pa.array(failed), pa.array([bool(j[3] and not f) for j, f in zip(judged, failed)]),
                      pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.int64()),
-                     pa.array([j[2] for j in judged], pa.int64())],
+                     *(pa.array([j[k] for j in judged], pa.int64()) for k in (2, 4, 5))],
                     [id_col, *(f.split()[0] for f in fields.split(", "))])
 
     source = df.select(id_col, text_col)

@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 from collections import Counter
 
@@ -77,6 +78,44 @@ def test_prose_mixed_with_encoded_or_repeated_text(spark):
     assert [compression.verdict(t.encode())[3] for t in good + bad] == [True] * len(good) + [False] * len(bad)
 
 
+def test_short_texts_are_judged_like_long_ones(spark):
+    rnd = random.Random(9)
+    prose = [r["text"] for r in collect(queries.documents(spark, SF)) if r["text"] and len(r["text"]) > 3000 and compression.verdict(r["text"].encode())[3]]
+    words = " ".join(prose).split()
+    def text(n):
+        return " ".join(rnd.choices(words, k=n // 4))[:n]
+    coded = {"base64": lambda n: base64.b64encode(rnd.randbytes(n)).decode()[:n], "hex": lambda n: rnd.randbytes(n).hex()[:n],
+             "digits": lambda n: "".join(rnd.choices("0123456789", k=n)), "spaced hex": lambda n: rnd.randbytes(n).hex(" ", 8)[:n]}
+    for size in (600, 1200, 2500, 3800, 4096, 4097, 9000, 60_000):
+        assert compression.verdict(text(size).encode())[3], size
+        for name, junk in coded.items():
+            for share in (1.0, 0.75, 0.5):
+                mixed = text(int(size * (1 - share))) + " " + junk(int(size * share))
+                assert not compression.verdict(mixed.encode())[3], (size, name, share)
+    # One digest in a text is no reason to drop it.
+    assert all(compression.verdict((text(1500) + " " + coded["hex"](64) + " " + text(1500)).encode())[3] for _ in range(20))
+
+
+def test_small_chunks_by_hand():
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    rnd = random.Random(2)
+    for n in (0, 255, 256, 300, 512, 513, 768, 769, 5000, 1_200_000):
+        raw = bytes(rnd.choices(b"eeeeaaatttoin shrdlu", k=n // 2)) + rnd.randbytes(n - n // 2).hex()[:n - n // 2].encode()
+        size = compression.SMALL
+        spots = [] if n < size else [*range(0, n - size, compression.SMALL_STEP), n - size]
+        assert compression.small_chunks(raw, z)[0] == len(spots)
+        if n <= 5000:
+            bad = 0
+            for at in spots:
+                c = raw[at:at + size]
+                counts = Counter(c).values()
+                entropy = -sum(k / size * math.log2(k / size) for k in counts)
+                bad += entropy > compression.MAX_EVENNESS * math.log2(len(counts)) or compression.outside(len(z.compress(c)) / size, size, compression.SMALL_BANDS)
+            assert compression.small_chunks(raw, z)[1] == bad
+
+
 def test_clean_labelled_documents_are_kept(spark):
     out = compression.rules(queries.documents(spark, SF)).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     good = collect(out.filter("quality = 1 and not base_failed"))
