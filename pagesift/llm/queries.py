@@ -46,10 +46,10 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_forest(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """The dictionary and the forest, from the findings of ``docs`` that their
-    context labels."""
+    """The dictionary, and the forest from written findings and those of ``docs``
+    that their context labels."""
     words = secrets.dictionary(docs)
-    return words, secrets.train(secrets.labelled_by_context(docs, words))
+    return words, secrets.train(secrets.labelled_by_context(docs, words), secrets.written_findings(docs.sparkSession, words))
 
 
 def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

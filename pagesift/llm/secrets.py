@@ -1,11 +1,18 @@
 """Secret scans: candidates judged by a random forest (DataFrame functions only).
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a
-digit. Most such runs are no secrets: numbers, names of files, parts of
-addresses, identifiers. A random forest on the candidate's length, character
+A candidate is a value assigned to a name of a secret (``password = "..."``,
+``API_KEY=...``, ``?access_token=...``) of 4 or more characters, or else a run of
+16 or more characters of ``[A-Za-z0-9+/_-]`` with a digit, with its ``=`` padding.
+Most candidates are no secrets: numbers, names of files, parts of addresses,
+identifiers, plain words. A random forest on the candidate's length, character
 transitions and classes, dictionary coverage, path marks and neighbouring
 words, trained from labelled findings, removes these.
 
+Labelled findings are of two kinds: candidates of the documents that their
+context makes plain, and ``EXAMPLES`` written ones of every usual form, made by a
+rule, so that the forest knows forms that a corpus lacks (and is defined for a
+corpus without any).
+
 The forest is fitted by Spark ML on a bounded sample of labelled findings and
 then written out as a column expression (the vote of each tree), so texts are
 scanned, judged and redacted in one projection, without a shuffle and without
@@ -16,23 +23,31 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.session import stage
 
 SAMPLE = 20_000           # labelled findings to fit on, at most
-DICTIONARY_TEXTS = 2_000  # texts whose words make the dictionary, at most
-DICTIONARY_WORDS = 1_000
+EXAMPLES = 4_000          # written findings
+# A word of the dictionary is in at least two documents and this share of them.
+DICTIONARY_SHARE = 1e-4
 TREES, TREE_DEPTH = 25, 6
 CONTEXT = 64              # characters on either side that are looked at
 MASK = "[SECRET]"
 
-RUN = "A-Za-z0-9+/_=-"
+RUN = "A-Za-z0-9+/_-"
+NAMES = "token|secret|passw|passwd|pwd|credential|api.?key|access.?key|private.?key|auth(?!or)|bearer"
+SECRET_WORDS = f"(?i)({NAMES})"
+# Ahead of a value: the name of a secret with its ending, a quote, a sign, a quote.
+NAMED = rf"(?i:{NAMES})[\w-]{{0,24}}[\"'`]?\s{{0,3}}[:=]\s{{0,3}}[\"'`]?"
+# A value in quotes ends with them, any other with a mark that parts values too.
+# The short look-behinds come first: the long one is tried behind a sign only.
+VALUE = (rf"(?<=[:=]\s{{0,3}}[\"'`]?)(?<={NAMED})(?:(?<=[\"'`])[^\s\"'`]{{4,}}+|(?<![\"'`])[^\s\"'`&,;<>()\[\]{{}}]{{4,}}+)")
 # A run starts where no run character stands before it and is never given back,
 # so the search is linear in the text.
-CANDIDATE = rf"(?<![{RUN}])(?=[A-Za-z+/_=-]*+[0-9])[{RUN}]{{16,}}+"
-SECRET_WORDS = r"(?i)(token|secret|passw|passwd|pwd|credential|api.?key|access.?key|private.?key|auth|bearer)"
+LONG = rf"(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{16,}}+(?:={{1,2}}+(?![={RUN}]))?+"
+CANDIDATE = f"(?:{VALUE})|(?:{LONG})"
 OTHER_WORDS = r"(?i)(sha\d|md5|checksum|digest|commit|revision|uuid|guid|build|version|isbn|phone|card|order|invoice)"
 ASSIGNED = r"[:=]\s*[\"'`]?$"
 
@@ -46,7 +61,6 @@ def described(cands: Column, pieces: Column, dictionary: list[str]) -> Column:
     """An array of (before, cand, near, f): the piece before, the candidate, the
     text around it and its features."""
     n = F.size(cands)
-    known = F.array(*[F.lit(w) for w in dictionary]) if dictionary else F.array().cast("array<string>")
 
     def count(c: Column, pattern: str) -> Column:
         return F.regexp_count(c, F.lit(pattern)).cast("double")
@@ -58,7 +72,7 @@ def described(cands: Column, pieces: Column, dictionary: list[str]) -> Column:
         before, after = F.substring(piece, -CONTEXT, CONTEXT), F.substring(after, 1, CONTEXT)
         length = F.length(cand).cast("double")
         letters = F.regexp_extract_all(F.lower(cand), F.lit("[a-z]{3,}"), F.lit(0))
-        covered = F.aggregate(letters, F.lit(0), lambda acc, w: acc + F.when(F.array_contains(known, w), F.length(w)).otherwise(0))
+        covered = F.aggregate(letters, F.lit(0), lambda acc, w: acc + F.when(w.isin(*dictionary), F.length(w)).otherwise(0) if dictionary else acc)
         f = [
             length,
             count(cand, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])") / length,  # transitions
@@ -76,6 +90,9 @@ def described(cands: Column, pieces: Column, dictionary: list[str]) -> Column:
             flag(before.rlike(OTHER_WORDS)),
             flag(before.rlike(ASSIGNED)),
             flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+            flag(before.rlike(NAMED + "$")),
+            flag(cand.rlike("^[A-Z]?[a-z]+$|^[A-Z]+$")),                       # a plain word
+            count(cand, "[^A-Za-z0-9+/_=-]"),
         ]
         return F.struct(piece.alias("before"), cand.alias("cand"), before.alias("left"), after.alias("right"), F.array(*f).alias("f"))
 
@@ -83,7 +100,7 @@ def described(cands: Column, pieces: Column, dictionary: list[str]) -> Column:
     return F.zip_with(pairs, F.slice(pieces, 2, n), lambda x, after: one(x["c"], x["b"], after))
 
 
-FEATURES = 16
+FEATURES = 19
 
 
 def scanned(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
@@ -97,15 +114,15 @@ def scanned(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
 
 def labelled_by_context(docs: DataFrame, words: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labelled findings (tie, f, label) by what a reviewer goes by where it is
-    plain: a mixed run assigned to a name of a secret is one; pure numbers, parts
-    of addresses and names of files, and runs named as something else are not.
-    All other candidates stay unlabelled."""
+    plain: a mixed value of 8 or more characters assigned to a name of a secret is
+    one; plain words, pure numbers, parts of addresses and names of files, and runs
+    named as something else are not. All other candidates stay unlabelled."""
     x = (scanned(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words)
          .select("id", F.posexplode("__d").alias("at", "d")))
     cand, left, right = F.col("d.cand"), F.col("d.left"), F.col("d.right")
-    mixed = cand.rlike("[A-Za-z]") & cand.rlike("[0-9]")
-    named = left.rlike(SECRET_WORDS + r"\w*[\"'`]?\s*[:=]\s*[\"'`]?$")
-    other = (~cand.rlike("[A-Za-z]") | left.rlike(r"(?i)(://|www\.)[^\s]{0,64}$") | right.rlike(r"^\.[A-Za-z]{2,5}\b")
+    mixed = cand.rlike("[A-Za-z]") & cand.rlike("[0-9]") & (F.length(cand) >= 8)
+    named = left.rlike(NAMED + "$")
+    other = (cand.rlike("^[0-9]+$|^[A-Z]?[a-z]+$") | left.rlike(r"(?i)(://|www\.)[^\s]{0,64}$") | right.rlike(r"^\.[A-Za-z]{2,5}\b")
              | left.rlike(OTHER_WORDS + r"\W{0,4}$"))
     label = F.when(named & mixed, 1.0).when(other, 0.0)
     return x.select(F.xxhash64("id", "at", "d.cand").alias("tie"), F.col("d.f").alias("f"), label.alias("label")).filter("label is not null")
@@ -125,30 +142,70 @@ def tree_votes(debug: str) -> list[str]:
     return [walk([x.strip() for x in p.strip().splitlines()], 0)[0] for p in parts]
 
 
-def dictionary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> list[str]:
-    """The commonest words of 3 to 15 letters of at most ``DICTIONARY_TEXTS`` texts,
-    the first in a seeded order of their ids."""
-    texts = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("o"), F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull())
-    cut = texts.select("o").orderBy("o").limit(DICTIONARY_TEXTS).agg(F.max("o")).first()[0]
-    if cut is None:
-        return []
-    words = texts.filter(F.col("o") <= cut).select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,15}+(?![a-z])"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS)
-    return [r["w"] for r in top.collect()]
-
-
-def train(findings: DataFrame, *, seed: int = 7) -> list[str]:
-    """The votes of a forest fitted on at most ``SAMPLE`` labelled findings (tie,
-    f, label), the first in the order of ``tie``. With one label only, a single
-    constant vote for it; with none, a vote that every candidate is a secret."""
+def written_findings(spark: SparkSession, words: list[str]) -> DataFrame:
+    """``EXAMPLES`` labelled findings (tie, f, label) of usual forms, with values from
+    hashes of their numbers."""
+    i = F.col("id")
+
+    def text(kind: str) -> Column:
+        return F.sha2(F.concat(F.lit(f"example {kind} "), i.cast("string")), 256)
+
+    def pick(kind: str, *of) -> Column:
+        return F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in of]), (F.pmod(F.xxhash64(F.lit(kind), i), F.lit(len(of))) + 1).cast("int"))
+
+    code = F.translate(F.base64(F.unhex(text("code"))), "=", "")   # 43 characters
+    number = F.substring(F.translate(text("digits"), "abcdef", "123456"), 1, 16)
+    letters = F.translate(code, "0123456789+/", "qWeRtYuIoPaS")
+    word, second = (pick(k, "river", "garden", "window", "Summer", "number", "default", "required", "example") for k in ("w", "v"))
+    name = pick("name", "token", "secret", "password", "passwd", "pwd", "API_KEY", "api_key", "access_token", "client_secret", "auth", "private-key", "DB_PASSWORD")
+    sign = pick("sign", "=", " = ", ": ", "=", ":")
+    quote = pick("quote", "\"", "'", "", "")
+    secret = pick("secret", F.substring(text("hex"), 1, 32), F.substring(text("hex"), 1, 40), code, F.substring(code, 1, 20), F.substring(letters, 1, 20),
+                  F.concat(word, F.substring(number, 1, 1), F.lit("-"), F.substring(code, 1, 5), F.lit("!")), F.concat(F.substring(code, 1, 6), F.lit("#"), F.substring(number, 1, 3), second))
+    plain = pick("plain", word, F.lit("true"), F.lit("null"), F.lit("none"), F.substring(number, 1, 4), number, F.concat(F.lower("w"), F.lit("-"), F.lower("v")),
+                 F.concat(F.lit("${"), F.lit("NAME"), F.lit("}")), F.concat(F.lower("w"), F.lit(".json")))
+    loose = pick("loose", F.substring(text("hex"), 1, 40), number, F.concat(F.lower("w"), F.lit("_"), F.lower("v"), F.lit("_2024_"), F.substring(number, 1, 4)),
+                 F.concat(F.lower("w"), F.lit("/"), F.lower("v"), F.lit("/2024-01-"), F.substring(number, 1, 2)))
+    ahead = pick("ahead", "commit ", "sha256: ", "order ", "version ", "md5 = ", "see https://host.example/", "build ", "phone ")
+    bare = pick("bare", "Bearer ", "use the token ", "my secret is ", "the api key ")
+    form = F.pmod(i, F.lit(8))
+    rows = spark.range(EXAMPLES).withColumns({"w": word, "v": second}).select(
+        "id",
+        F.when(form < 3, F.concat(name, sign, quote)).when(form == 3, bare).when(form < 6, F.concat(name, sign, quote)).otherwise(ahead).alias("ahead"),
+        F.when(form < 3, secret).when(form == 3, code).when(form < 6, plain).otherwise(loose).alias("value"),
+        F.when(form.isin(0, 1, 2, 4, 5), quote).otherwise(F.lit("")).alias("behind"), (form < 4).cast("double").alias("label"))
+    rows = rows.withColumn("text", F.concat(F.lit("some words before "), "ahead", "value", "behind", F.lit(" and some after")))
+    found = scanned(rows, "text", words).select("id", "value", "label", F.explode("__d").alias("d"))
+    return found.filter(F.col("d.cand") == F.col("value")).select(F.xxhash64("id").alias("tie"), F.col("d.f").alias("f"), "label")
+
+
+def dictionary(docs: DataFrame, *, text_col: str = "text") -> list[str]:
+    """Words of 3 to 15 letters in at least two documents and ``DICTIONARY_SHARE`` of
+    all, as far as a candidate of the documents holds them. All documents are
+    counted; the words are at most as many as 1 / ``DICTIONARY_SHARE`` times the
+    distinct words of a mean document."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    least = max(2.0, DICTIONARY_SHARE * texts.count())
+    each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,15}+(?![a-z])"), F.lit(0)))).alias("w"))
+    common = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    used = (texts.select(F.explode(finds(F.coalesce("text", F.lit("")))[0]).alias("c"))
+            .select(F.explode(F.regexp_extract_all(F.lower("c"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct())
+    return sorted(r["w"] for r in common.join(used, "w", "left_semi").select("w").collect())
+
+
+def train(findings: DataFrame, written: DataFrame | None = None, *, seed: int = 7) -> list[str]:
+    """The votes of a forest fitted on at most ``SAMPLE`` labelled findings (tie, f,
+    label), the first in the order of ``tie``, and on all ``written`` ones. With one
+    label only, a single constant vote for it; with none, a vote that no candidate
+    is a secret."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    sample = stage(findings.orderBy("tie", "f", "label").limit(SAMPLE), "findings")
+    sample = findings.select("tie", "f", "label").orderBy("tie", "f", "label").limit(SAMPLE)
+    sample = stage(sample if written is None else sample.unionByName(written), "findings")
     seen = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if len(seen) < 2:
-        return [str(int(seen[0])) if seen else "1"]
+        return [str(int(seen[0])) if seen else "0"]
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=seed, featuresCol="v", labelCol="label", minInstancesPerNode=2)
     rows = sample.orderBy("tie", "f", "label").select(array_to_vector("f").alias("v"), "label").coalesce(1)
     return tree_votes(forest.fit(rows).toDebugString)
