@@ -42,8 +42,9 @@ SECRET_WORDS = f"(?i)({NAMES})"
 # Ahead of a value: the name of a secret with its ending, a quote, a sign, a quote.
 NAMED = rf"(?i:{NAMES})[\w-]{{0,24}}[\"'`]?\s{{0,3}}[:=]\s{{0,3}}[\"'`]?"
 # A value in quotes ends with them, any other with a mark that parts values too.
-# The short look-behinds come first: the long one is tried behind a sign only.
-VALUE = (rf"(?<=[:=]\s{{0,3}}[\"'`]?)(?<={NAMED})(?:(?<=[\"'`])[^\s\"'`]{{4,}}+|(?<![\"'`])[^\s\"'`&,;<>()\[\]{{}}]{{4,}}+)")
+# The short look-behinds come first, so that the long one is tried behind a sign
+# only and a word after a blank costs two steps.
+VALUE = (rf"(?<=[:=\s\"'`])(?<![^:=\s]\s)(?<=[:=]\s{{0,3}}[\"'`]?)(?<={NAMED})(?:(?<=[\"'`])[^\s\"'`]{{4,}}+|(?<![\"'`])[^\s\"'`&,;<>()\[\]{{}}]{{4,}}+)")
 # A run starts where no run character stands before it and is never given back,
 # so the search is linear in the text.
 LONG = rf"(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{16,}}+(?:={{1,2}}+(?![={RUN}]))?+"
@@ -117,15 +118,16 @@ def labelled_by_context(docs: DataFrame, words: list[str], *, id_col: str = "doc
     plain: a mixed value of 8 or more characters assigned to a name of a secret is
     one; plain words, pure numbers, parts of addresses and names of files, and runs
     named as something else are not. All other candidates stay unlabelled."""
-    x = (scanned(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words)
-         .select("id", F.posexplode("__d").alias("at", "d")))
-    cand, left, right = F.col("d.cand"), F.col("d.left"), F.col("d.right")
-    mixed = cand.rlike("[A-Za-z]") & cand.rlike("[0-9]") & (F.length(cand) >= 8)
-    named = left.rlike(NAMED + "$")
-    other = (cand.rlike("^[0-9]+$|^[A-Z]?[a-z]+$") | left.rlike(r"(?i)(://|www\.)[^\s]{0,64}$") | right.rlike(r"^\.[A-Za-z]{2,5}\b")
-             | left.rlike(OTHER_WORDS + r"\W{0,4}$"))
-    label = F.when(named & mixed, 1.0).when(other, 0.0)
-    return x.select(F.xxhash64("id", "at", "d.cand").alias("tie"), F.col("d.f").alias("f"), label.alias("label")).filter("label is not null")
+    def judged(d: Column, at: Column) -> Column:
+        cand, left, right = d["cand"], d["left"], d["right"]
+        mixed = cand.rlike("[A-Za-z]") & cand.rlike("[0-9]") & (F.length(cand) >= 8)
+        named = left.rlike(NAMED + "$")
+        other = (cand.rlike("^[0-9]+$|^[A-Z]?[a-z]+$") | left.rlike(r"(?i)(://|www\.)[^\s]{0,64}$") | right.rlike(r"^\.[A-Za-z]{2,5}\b")
+                 | left.rlike(OTHER_WORDS + r"\W{0,4}$"))
+        return F.struct(F.xxhash64("id", at, cand).alias("tie"), d["f"].alias("f"), F.when(named & mixed, 1.0).when(other, 0.0).alias("label"))
+
+    rows = scanned(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words)
+    return rows.select(F.inline(F.filter(F.transform("__d", judged), lambda x: x["label"].isNotNull())))
 
 
 def tree_votes(debug: str) -> list[str]:
