@@ -39,10 +39,10 @@ def test_every_character_and_odd_neighbours(library):
     texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} '{chr(c)}s\n" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000)
              for lo in [*range(0, 0x3000, 64), *range(0xF900, 0x10000, 64), *range(0x1F300, 0x1FB00, 64)]]
     texts += ["<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "a" * 5000, "é" * 777, "  \n \t  ", "I'LL can't'd 's's"]
-    for text, (joined, raw) in zip(texts, enc.batch(texts)):
+    for text, joined in zip(texts, enc.batch(texts)):
         ids = library.encode(text, add_special_tokens=False).ids
         assert joined == ",".join(map(str, ids)), text[:20]
-        assert raw.decode(errors="replace") == library.decode(ids, skip_special_tokens=False)
+        assert bpe.readable(enc.decode(bpe.numbers(joined))) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_cuts_are_forced_and_caches_stay_bounded(library, monkeypatch):
@@ -55,7 +55,7 @@ def test_cuts_are_forced_and_caches_stay_bounded(library, monkeypatch):
     assert all(a[-1:] + b[:1] not in t for a, b in zip(own, own[1:]) for t in tokens)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
     texts = [" ".join(f"w{i * j}q" for j in range(30)) for i in range(40)]
-    for text, (joined, _) in zip(texts, (x for t in texts for x in enc.batch([t]))):
+    for text, joined in zip(texts, (x for t in texts for x in enc.batch([t]))):
         assert joined == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
         assert len(enc.words) + len(enc.older) <= 250
 
@@ -67,3 +67,24 @@ def test_edge_rows(spark):
     assert sorted(r["decoded"] for r in out) == texts
     assert all(len(r["ids"]) == r["n_tokens"] for r in out)
     assert collect(bpe.encode(spark.createDataFrame([], SCHEMA), path)) == []
+
+
+def test_decoding_any_ids_equals_the_library(spark, library):
+    """Ids in any order spell partial characters; unknown ids spell nothing."""
+    size = library.get_vocab_size()
+    arrays = [[(i * i * 31 + 7 * j) % size for j in range(i % 40)] for i in range(300)]
+    arrays += [[size + 5, 1, 2 ** 31 - 1, 2], [], [0] * 3000, list(range(size))]
+    rows = [(i, a, "x") for i, a in enumerate(arrays)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    out = {r["doc_id"]: r["decoded"] for r in collect(bpe.decode(df, queries.tokenizer_path()))}
+    assert out == {i: library.decode(a, skip_special_tokens=False) for i, a, _ in rows}
+
+
+def test_decode_edge_rows(spark):
+    path = queries.tokenizer_path()
+    ids = bpe.encode(edge(spark), path, with_ids=True, passed=("text",))
+    out = collect(bpe.decode(ids, path, passed=("text",)))
+    assert len(out) == edge(spark).count() and all(r["decoded"] == (r["text"] or "") for r in out)
+    odd = spark.createDataFrame([(None, None), (1, [None, 5, -3, None]), (1, [None])], "doc_id long, ids array<int>")
+    assert sorted(r["decoded"] for r in collect(bpe.decode(odd, path))) == ["", "", bpe.ForcedBoundaryBPE(path).bytes_of[5].decode()]
+    assert collect(bpe.decode(odd.limit(0), path)) == []
