@@ -5,8 +5,10 @@ end) is cut into blocks of equal size. Sainte-Laguë hands out the blocks of
 the whole mix one by one to the source with the highest quotient
 ``target / (2 * blocks held + 1)``. The first blocks in that order fill the first
 shard, the next ones the second, and so on, which gives every shard integer
-quotas near the mixture. A source then takes its quota: all its blocks once
-per full pass, and in the last pass a seeded even selection of them.
+quotas near the mixture. A source then takes its blocks in the seeded order: all
+of them once per full pass, and in the last pass a seeded even selection. Laid
+end to end they are dealt to the shards, each of which gets as many as its
+quota says; a document's words are those of its part of the blocks dealt.
 
 Only sums per source and per cell of a source are ever brought together; a
 document's share of the selected blocks follows from its place in the stream.
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.llm.shard import CELLS_PER_PARTITION, _cell, _unit
+from pagesift.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -54,7 +57,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], max_repeats: in
 
 
 def sainte_lague(targets: DataFrame, block: int, n_shards: int, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Integer quotas: (skey, shard, quota) in blocks.
+    """Integer quotas: (skey, shard, quota, upto) in blocks, ``upto`` those of all
+    shards so far.
 
     For the first ``round(total * j / n_shards)`` blocks of the order of highest
     quotients, j = 1..n_shards, the holders are counted. A source's count lies
@@ -78,7 +82,7 @@ def sainte_lague(targets: DataFrame, block: int, n_shards: int, max_repeats: int
     upto = seats.groupBy("skey", "shard").agg(
         F.least(F.min("lo") + won, F.max("most")).cast("long").alias("upto"))
     last = Window.partitionBy("skey").orderBy("shard")
-    return upto.select("skey", "shard", (F.col("upto") - F.coalesce(F.lag("upto").over(last), F.lit(0))).alias("quota"))
+    return upto.select("skey", "shard", (F.col("upto") - F.coalesce(F.lag("upto").over(last), F.lit(0))).alias("quota"), "upto")
 
 
 def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64, n_shards: int = 16,
@@ -86,11 +90,13 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
         keep: tuple[str, ...] = ()) -> DataFrame:
     """Words that the mix takes of every document.
 
-    Returns (id, size, source, source_size, target, taken, blocks) and the input
-    columns named in ``keep``: one row per input row, ``size`` in words, ``blocks``
-    the quota of the source over all shards. ``taken`` is at most
+    Returns (id, size, source, source_size, target, taken, blocks, shards) and the
+    input columns named in ``keep``: one row per input row, ``size`` in words, ``blocks``
+    the quota of the source over all shards, ``shards`` an array of (shard, words)
+    with the words that each shard takes, ``taken`` their sum. ``taken`` is at most
     ``MAX_REPEATS`` times ``size``, and the words taken of a source differ from its
-    target by about one block.
+    target by about one block. A shard gets exactly its quota's words of a source;
+    what the source's last words are short of or above a block falls to the last one.
 
     Defined cases: a null source is a source of its own, last in the order; a
     null or blank text has size 0 and is never taken; a null id orders like an
@@ -107,6 +113,7 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
         n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"),
         *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []),
     ).withColumn("cell", _cell(F.col("rnd"), cells))
+    rows = stage(rows, "mix-rows")  # the texts are read and split once
     sums = rows.groupBy("skey", "cell").agg(F.sum("size").alias("n"), F.min("source").alias("source"))
     by_source = Window.partitionBy("skey")
     starts = sums.select(
@@ -115,7 +122,9 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
         F.sum("n").over(by_source).alias("source_size"))
     per_source = starts.groupBy("skey").agg(F.min("source").alias("source"), F.max("source_size").alias("source_size"))
     targets = source_targets(per_source, weights)
-    quotas = sainte_lague(targets, block, n_shards).groupBy("skey").agg(F.sum("quota").alias("blocks"))
+    # The counts so far never fall, so their order is that of the shards.
+    quotas = sainte_lague(targets, block, n_shards).groupBy("skey").agg(
+        F.sum("quota").alias("blocks"), F.sort_array(F.collect_list("upto")).alias("dealt"))
     # What a source takes: `passes` whole passes, then `rest` of its `n` full
     # blocks, spread evenly from a seeded phase. The words left over at the end
     # of the stream, less than a block, belong to whole passes only.
@@ -125,7 +134,10 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
             .withColumn("n", F.expr(f"source_size div {block}"))
             .withColumn("rest", F.least(F.col("n"), F.round((F.col("words") - F.col("passes") * F.col("source_size")) / block).cast("long")))
             .withColumn("phase", F.when(F.col("n") > 0, F.pmod(_unit(F.concat_ws(":", F.lit(f"phase{seed}"), F.col("skey"))), F.col("n"))).otherwise(0))
-            .select("skey", "source_size", "target", "blocks", "n", "passes", "rest", "phase"))
+            .withColumn("all_words", F.col("passes") * F.col("source_size") + F.col("rest") * block)
+            .withColumn("ends", F.expr(f"transform(coalesce(dealt, array(0L)), (u, j) -> if(j = size(dealt) - 1, all_words, least(u * {block}, all_words)))"))
+            .withColumn("starts", F.expr("concat(array(0L), slice(ends, 1, size(ends) - 1))"))
+            .select("skey", "source_size", "target", "blocks", "n", "passes", "rest", "phase", "starts", "ends"))
     cells_of = starts.select("skey", "cell", "before").join(plan, "skey")
     within = Window.partitionBy("skey", "cell").orderBy("rnd", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (rows.withColumn("upto", F.sum("size").over(within))
@@ -139,12 +151,22 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), block: int = 64,
 
     def covered(x: str) -> str:
         b = f"({x} div {block})"
-        return (f"(CASE WHEN {b} >= n THEN rest * {block} ELSE {chosen(b)} * {block} + "
+        return (f"(CASE WHEN rest = 0 THEN 0L WHEN {b} >= n THEN rest * {block} ELSE {chosen(b)} * {block} + "
                 f"({chosen(b + ' + 1')} - {chosen(b)}) * ({x} - {b} * {block}) END)")
 
-    taken = F.expr(f"CASE WHEN rest = 0 THEN passes * size ELSE passes * size + {covered('hi')} - {covered('lo')} END")
-    return placed.withColumn("taken", taken.cast("long")).select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "taken", "blocks",
+    # Where a document lies in the blocks taken of its source, laid end to end:
+    # once in every whole pass, and once in the last one.
+    places = F.expr(f"""concat(
+        transform(if(passes > 0, sequence(0L, passes - 1), cast(array() as array<bigint>)),
+                  p -> named_struct('lo', p * source_size + lo, 'hi', p * source_size + hi)),
+        array(named_struct('lo', passes * source_size + {covered('lo')}, 'hi', passes * source_size + {covered('hi')})))""")
+    words = F.expr("""filter(
+        transform(ends, (e, j) -> named_struct('shard', j, 'words', aggregate(
+            places, 0L, (sum, p) -> sum + greatest(0L, least(p.hi, e) - greatest(p.lo, starts[j]))))),
+        x -> x.words > 0)""")
+    taken = F.expr("aggregate(shards, 0L, (sum, x) -> sum + x.words)")
+    return placed.withColumn("places", places).withColumn("shards", words).select(
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"), "blocks", "shards",
         *[F.col(f"kept.`{c}`").alias(c) for c in keep if c not in (id_col, source_col)])
 
 

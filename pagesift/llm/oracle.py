@@ -51,10 +51,14 @@ t AS (SELECT skey, source_size, least(cap, coalesce(lvl * weight, cap)) AS targe
 seats AS (
   SELECT skey, i, row_number() OVER (ORDER BY (i + 0.5::DOUBLE) / target, skey) AS rank
   FROM (SELECT skey, target, unnest(generate_series(0, CAST(ceil(target / 64) AS BIGINT) + 64)) AS i FROM t WHERE target > 0)),
-q AS (SELECT skey, count(*) AS n FROM seats WHERE rank <= (SELECT round(sum(target) / 64) FROM t) GROUP BY skey),
-plan AS (
-  SELECT t.*, least(coalesce(q.n, 0), 3 * CAST(ceil(source_size / 64) AS BIGINT)) AS blocks, source_size // 64 AS n
+q AS (
+  SELECT skey, shard, count(*) FILTER (rank <= round(total * (shard + 1) / (64 * 16))) AS n
+  FROM seats, (SELECT sum(target) AS total FROM t), range(16) r(shard) GROUP BY skey, shard),
+dealt AS (
+  SELECT t.*, shard, least(coalesce(q.n, 0), 3 * CAST(ceil(source_size / 64) AS BIGINT)) AS upto
   FROM t LEFT JOIN q USING (skey)),
+plan AS (
+  SELECT skey, source_size, target, max(upto) AS blocks, source_size // 64 AS n FROM dealt GROUP BY ALL),
 plan2 AS (
   SELECT *, least(blocks * 64, 3 * source_size) AS words,
          CASE WHEN source_size > 0 THEN least(blocks * 64, 3 * source_size) // source_size ELSE 0 END AS passes FROM plan),
@@ -72,11 +76,28 @@ cov2 AS (
 cov3 AS (
   SELECT *, CASE WHEN rest = 0 THEN 0 WHEN b >= n THEN rest * 64
                  ELSE (b * rest + phase) // n * 64 + (((b + 1) * rest + phase) // n - (b * rest + phase) // n) * (x - b * 64) END AS c
-  FROM cov2)
-SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, CAST(any_value(source_size) AS BIGINT) AS source_size, any_value(target) AS target,
-       CAST(any_value(passes * size) + sum(CASE side WHEN 'hi' THEN c ELSE -c END) AS BIGINT) AS taken,
-       any_value(source) AS source, CAST(any_value(blocks) AS BIGINT) AS blocks
-FROM cov3 GROUP BY doc_id"""
+  FROM cov2),
+mixed AS (
+  SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, CAST(any_value(source_size) AS BIGINT) AS source_size, any_value(target) AS target,
+         CAST(any_value(passes * size) + sum(CASE side WHEN 'hi' THEN c ELSE -c END) AS BIGINT) AS taken,
+         any_value(source) AS source, CAST(any_value(blocks) AS BIGINT) AS blocks,
+         any_value(skey) AS skey, any_value(passes) AS passes, any_value(hi) AS hi, sum(CASE side WHEN 'hi' THEN c END) AS c_hi,
+         any_value(passes * source_size + rest * 64) AS total
+  FROM cov3 GROUP BY doc_id),
+-- every run of words that a document gives, in the words taken of its source
+runs AS (
+  SELECT doc_id, skey, total, (p - 1) * source_size + hi - size AS a, (p - 1) * source_size + hi AS e
+  FROM (SELECT *, unnest(generate_series(1, CAST(passes AS BIGINT))) AS p FROM mixed)
+  UNION ALL
+  SELECT doc_id, skey, total, passes * source_size + c_hi - (taken - passes * size), passes * source_size + c_hi FROM mixed),
+ends AS (
+  SELECT skey, shard, upto * 64 AS e, coalesce(lag(upto) OVER (PARTITION BY skey ORDER BY shard), 0) * 64 AS a FROM dealt WHERE shard IS NOT NULL),
+parts AS (
+  SELECT doc_id, shard, CAST(sum(greatest(0, least(r.e, CASE shard WHEN 15 THEN total ELSE s.e END) - greatest(r.a, s.a))) AS BIGINT) AS words
+  FROM runs r JOIN ends s USING (skey) GROUP BY doc_id, shard)
+SELECT doc_id, size, source_size, target, taken, source, blocks,
+       coalesce((SELECT string_agg(shard || ':' || words, ' ' ORDER BY shard) FROM parts WHERE parts.doc_id = mixed.doc_id AND words > 0), '') AS shards
+FROM mixed"""
 
 OP9 = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings

@@ -64,7 +64,8 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = apportion.mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "blocks")
+    shards = F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["words"].cast("string"))), " ")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "blocks", shards.alias("shards"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

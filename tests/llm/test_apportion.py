@@ -25,8 +25,8 @@ def targets_by_hand(sizes):
     return target
 
 
-def verify(rows, out, block=64):
-    sizes, taken = defaultdict(int), defaultdict(int)
+def verify(rows, out, block=64, n_shards=16):
+    sizes, taken, dealt = defaultdict(int), defaultdict(int), defaultdict(lambda: [0] * n_shards)
     for r in rows:
         sizes[r[3]] += len(WORDS.findall(r[1] or ""))
     want = targets_by_hand(sizes)
@@ -37,8 +37,13 @@ def verify(rows, out, block=64):
         assert math.isclose(r["target"], want[r["source"]], rel_tol=1e-9, abs_tol=1e-9)
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
+        if not isinstance(r["shards"], str):
+            assert sum(x["words"] for x in r["shards"]) == r["taken"] and all(x["words"] > 0 for x in r["shards"])
+            for x in r["shards"]:
+                dealt[r["source"]][x["shard"]] += x["words"]
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1.5 * block + 1, s
+    return want, dealt
 
 
 def test_query(spark):
@@ -88,6 +93,24 @@ def test_quotas_equal_the_highest_quotients_one_by_one(spark):
         assert all(q >= 0 for s in quota for q in quota[s].values())
 
 
+def test_every_shard_gets_its_quotas(spark):
+    """Of each source, in blocks; and so each shard is near the mixture."""
+    rows = [(i, "w " * (1 + i * 37 % 190), "en", "a" if i < 40 else ("m" if i % 3 else f"z{i % 4}"), 1) for i in range(900)]
+    for block, shards in ((16, 5), (64, 16), (7, 1)):
+        out = collect(apportion.mix(spark.createDataFrame(rows, SCHEMA), block=block, n_shards=shards))
+        want, dealt = verify(rows, out, block, shards)
+        for s, by_shard in dealt.items():
+            blocks = {r["blocks"] for r in out if r["source"] == s}
+            held = [seats_one_by_one(want, math.floor(sum(want.values()) * (j + 1) / (block * shards) + Fraction(1, 2)))[s] for j in range(shards)]
+            assert blocks == {held[-1]}
+            quota = [b - a for a, b in zip([0, *held], held)]
+            assert by_shard[:-1] == [q * block for q in quota[:-1]]
+            assert abs(by_shard[-1] - quota[-1] * block) <= 1.5 * block + 1
+    # More shards part the same words more finely.
+    assert sorted((r["doc_id"], r["taken"]) for r in collect(apportion.mix(spark.createDataFrame(rows, SCHEMA), n_shards=3))) == sorted(
+        (r["doc_id"], r["taken"]) for r in collect(apportion.mix(spark.createDataFrame(rows, SCHEMA), n_shards=9)))
+
+
 def test_native_plan(spark):
     plan = queries.op7_sainte_lague_mix(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
