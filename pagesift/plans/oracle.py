@@ -588,6 +588,10 @@ SELECT 'run-' || CAST(site_id AS VARCHAR) AS id, CAST(site_id AS VARCHAR) AS sit
        '2026-12-01 09:00:00.000000' AS started_at, '2026-12-01 09:30:00.000000' AS finished_at,
        pages_scraped, tenders_found
 FROM summary"""
+    # kept views equal the views over all events
+    for name, of in (("kept_job_state", "job_state"), ("stream_job_state", "job_state"),
+                     ("kept_queue_status", "queue_status"), ("kept_run_log", "run_log")):
+        q[name] = q[of]
     q["stream_dedupe"] = ins + " SELECT * FROM ins"
     # model_extract with the deterministic stub model: every line is a record;
     # a chunk of a length divisible by 7 (the prompt ends with one more

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions.jsonreply import json_strict_valid, parse_list_reply, parse_object_reply, reply_span
-from ..operators import changes, dedupe, enrich, extract, frontier, jobs, links, report
+from ..operators import changes, dedupe, enrich, extract, frontier, jobs, links, report, views
 from . import batch
 from ..sources.tables import table
 
@@ -271,6 +271,50 @@ def queue_status(spark: SparkSession, d: str) -> DataFrame:
     return jobs.status_counts(jobs.current_state(_job_events(spark, d)))
 
 
+def _kept_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Job states kept up over four batches, split across time, of which one is
+    added twice; the first two are compacted."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sinks import views as stored
+    path = scratch_path(spark, f"kept-jobs-{uuid.uuid4().hex}")
+    ev, view = _job_events(spark, d), views.job_view()
+    for number, part in enumerate((2, 0, 3, 1)):
+        stored.add_batch(view, ev.where(F.pmod("seq", F.lit(4)) == part), path, number)
+        if number == 1:
+            stored.compact(view, spark, path)
+    stored.add_batch(view, ev.where(F.pmod("seq", F.lit(4)) == 3), path, 2)
+    return views.job_states(stored.read(view, spark, path))
+
+
+def kept_job_state(spark: SparkSession, d: str) -> DataFrame:
+    """job_state from stored partial rows instead of all events."""
+    s = _kept_jobs(spark, d)
+    return s.withColumns({c: _ts(c) for c in ("created_at", "started_at", "finished_at")})
+
+
+def kept_queue_status(spark: SparkSession, d: str) -> DataFrame:
+    """queue_status from the kept states: a row per job is read, not per event."""
+    return jobs.status_counts(_kept_jobs(spark, d))
+
+
+def stream_job_state(spark: SparkSession, d: str) -> DataFrame:
+    """job_state kept up by a stream over the events file."""
+    import os
+    import uuid
+
+    from ..session import scratch_path
+    from ..sinks import views as stored
+    from ..streaming.views import keep_view
+    base = scratch_path(spark, f"stream-jobs-{uuid.uuid4().hex}")
+    path, view = os.path.join(base, "view"), views.job_view()
+    src = (spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    keep_view(_as_job_events(src), view, path, os.path.join(base, "ckpt"), compact_every=2).awaitTermination()
+    s = views.job_states(stored.read(view, spark, path))
+    return s.withColumns({c: _ts(c) for c in ("created_at", "started_at", "finished_at")})
+
+
 LEASE_SECONDS = 6 * 3600   # of the test events, whose users come back after hours
 
 
@@ -580,14 +624,36 @@ def page_stats(spark: SparkSession, d: str) -> DataFrame:
                         "n_new", "scraped")
 
 
-def run_log(spark: SparkSession, d: str) -> DataFrame:
-    """Run log as append-only events (start + finish per site) and its
-    current-state view."""
+def _run_events(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Opening and closing events of one run per site."""
     summary = run_summary(spark, d).withColumn("site_id", F.col("site_id").cast("string"))
     sites = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
     start = jobs.start_run(sites, run_ts(), run_id=F.concat(F.lit("run-"), F.col("id")))
     finish = jobs.finish_run(summary, start.select("id", "site_id"),
                              F.to_timestamp(F.lit("2026-12-01 09:30:00")))
+    return start, finish
+
+
+def kept_run_log(spark: SparkSession, d: str) -> DataFrame:
+    """run_log as a kept view: the closing events come first, then the opening
+    ones, then a base."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sinks import views as stored
+    path, view = scratch_path(spark, f"kept-runs-{uuid.uuid4().hex}"), views.run_view()
+    for number, events in enumerate(reversed(_run_events(spark, d))):
+        stored.add_batch(view, events, path, number)
+    stored.compact(view, spark, path)
+    r = views.runs(stored.read(view, spark, path))
+    return r.select("id", "site_id", "status", _ts("started_at").alias("started_at"), _ts("finished_at").alias("finished_at"),
+                    F.col("pages_scraped").cast("long").alias("pages_scraped"), F.col("tenders_found").cast("long").alias("tenders_found"))
+
+
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """Run log as append-only events (start + finish per site) and its
+    current-state view."""
+    start, finish = _run_events(spark, d)
     ev = start.unionByName(finish)
     last = F.max(F.struct("ts", "seq", "status", "pages_scraped", "tenders_found"))
     st = ev.groupBy("id", "site_id").agg(
@@ -729,6 +795,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "queue_status": queue_status,
     "job_lifecycle": job_lifecycle,
     "stream_lifecycle": stream_lifecycle,
+    "kept_job_state": kept_job_state,
+    "kept_queue_status": kept_queue_status,
+    "kept_run_log": kept_run_log,
+    "stream_job_state": stream_job_state,
     "next_jobs": next_jobs,
     "enqueue_jobs": enqueue_jobs,
     "job_site_lookup": job_site_lookup,
