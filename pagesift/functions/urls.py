@@ -9,6 +9,7 @@ it as null and return immediately).
 
 from __future__ import annotations
 
+import mimetypes
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -104,43 +105,45 @@ def file_name(url) -> Column:
     return F.when(F.instr(name, ".") > 0, name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
-# File-extension → mime type (as the standard library's
-# mimetypes table gives them); anything else is application/octet-stream.
-MIME_TYPES = {
-    "pdf": "application/pdf",
-    "doc": "application/msword",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "xls": "application/vnd.ms-excel",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "ppt": "application/vnd.ms-powerpoint",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "odt": "application/vnd.oasis.opendocument.text",
-    "rtf": "application/rtf",
-    "zip": "application/zip",
-    "7z": "application/x-7z-compressed",
-    "rar": "application/vnd.rar",
-    "txt": "text/plain",
-    "csv": "text/csv",
-    "htm": "text/html",
-    "html": "text/html",
-    "json": "application/json",
-    "xml": "application/xml",
-    "png": "image/png",
-    "jpg": "image/jpeg",
-    "jpeg": "image/jpeg",
-    "gif": "image/gif",
+# Types of documents that the standard library's own table lacks
+# before Python 3.14.
+OFFICE_TYPES = {
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".odt": "application/vnd.oasis.opendocument.text",
+    ".7z": "application/x-7z-compressed",
+    ".rar": "application/vnd.rar",
 }
+# That table (about 150 extensions), without the files a machine may add to it.
+_STANDARD = mimetypes.MimeTypes(filenames=())
+MIME_TYPES = OFFICE_TYPES | _STANDARD.types_map[True]
 DEFAULT_MIME = "application/octet-stream"
 
 
+def _literal_map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in sorted(entries.items()) for x in kv])
+
+
 def file_ext(name) -> Column:
-    n = _c(name)
-    return F.when(F.instr(n, ".") > 0, F.lower(F.substring_index(n, ".", -1)))
+    """The last '.' of a name and what follows; '' if only dots come before it."""
+    return F.regexp_extract(_c(name), r"[^./][^/]*(\.[^./]*)\z", 1)
 
 
 def mime_type(name) -> Column:
-    m = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, file_ext(name)), F.lit(DEFAULT_MIME))
+    """Type by extension, whatever its case: .tgz and the like count as .tar.gz, the
+    ending of a compression (.gz, .bz2, .xz, .br, .Z; in that case only) is looked
+    through; application/octet-stream if the extension is unknown or missing, and for null."""
+    def without(n: Column, ext: Column) -> Column:
+        return F.left(n, F.length(n) - F.length(ext))
+
+    n = _c(name)
+    ext = file_ext(n)
+    n = F.concat(without(n, ext), F.coalesce(F.try_element_at(_literal_map(_STANDARD.suffix_map), F.lower(ext)), ext))
+    ext = file_ext(n)
+    n = F.when(ext.isin(*sorted(_STANDARD.encodings_map)), without(n, ext)).otherwise(n)
+    found = F.try_element_at(_literal_map(MIME_TYPES), F.lower(file_ext(n)))
+    return F.coalesce(found, F.lit(DEFAULT_MIME))
 
 
 def with_page_param(base, param, value) -> Column:

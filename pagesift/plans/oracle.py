@@ -305,7 +305,7 @@ mf AS (
 def _mime(e: str) -> str:
     from ..functions.urls import DEFAULT_MIME, MIME_TYPES
     ext = f"CASE WHEN strpos({e}, '.') > 0 THEN lower(string_split({e}, '.')[-1]) END"
-    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in MIME_TYPES.items())
+    whens = " ".join(f"WHEN {lit(k[1:])} THEN {lit(v)}" for k, v in MIME_TYPES.items())
     return f"coalesce(CASE {ext} {whens} END, {lit(DEFAULT_MIME)})"
 
 

@@ -51,9 +51,23 @@ def test_file_name_and_mime(spark):
     rows = df.select(U.file_name("u").alias("f")).select("f", U.mime_type("f").alias("m")).collect()
     names = [r.f for r in rows]
     assert names == ["a.pdf", "document.pdf", "report.pdf", "A.DOCX", "t.tar"]
-    for r in rows[:4]:
+    for r in rows:
         assert r.m == (mimetypes.guess_type(r.f)[0] or "application/octet-stream")
-    assert rows[4].m == "application/octet-stream"
+
+
+def test_mime_equals_the_standard_table(spark):
+    import mimetypes
+    table = mimetypes.MimeTypes(filenames=())
+    exts = [*table.types_map[True], *table.suffix_map, *table.encodings_map, ".tar.gz", ".pdf.Z", ".pdf.z", ".PDF.gz", ".pdf.GZ",
+            ".TGZ", ".svgz", ".none", ".", "..", "", ".txt.", ".gz.gz", ".csv.bz2.gz"]
+    names = [stem + x for x in exts for stem in ("a", "a.b", "", "..", "\u00e9 \U0001F600\n")]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    found = {r.n: r.m for r in df.select("n", U.mime_type("n").alias("m")).collect()}
+    assert found.pop(None) == U.DEFAULT_MIME
+    wrong = [(n, m) for n, m in found.items() if m != (table.guess_type(n)[0] or U.DEFAULT_MIME)]
+    assert not wrong
+    own = spark.createDataFrame([("A" + x.upper(), t) for x, t in U.OFFICE_TYPES.items()], "n string, t string")
+    assert own.where(U.mime_type("n") != F.col("t")).count() == 0
 
 
 def test_url_join_property_against_urljoin(spark):
