@@ -115,3 +115,13 @@ def test_long_references_come_back_whole(spark):
     from pagesift.operators import extract as E
     refs = spark.createDataFrame([("AB" + "/1" * n,) for n in (300, 300_000)], "t string")
     assert [r.x for r in refs.select(E.reference_numbers("t").alias("x")).collect()] == [["AB" + "/1" * 300], ["AB" + "/1" * 300_000]]
+
+
+def test_pages_reach_the_workers_in_small_batches(spark):
+    import pandas as pd
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    pages = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("<title>t</title><a href='x'>"), F.col("id").cast("string")).alias("html"))
+    for parse in (H.clean_html, H.anchors, H.title_and_text):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        rows = pages.select(parse("html").alias("parsed"), size("html").alias("n")).collect()
+        assert len(rows) == 1000 and max(r["n"] for r in rows) <= 100
