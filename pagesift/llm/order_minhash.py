@@ -10,12 +10,11 @@ set of k-mers.
 
 Equal texts form one class first; classes are what is compared. Texts with a
 common key are first paired with one member chosen by hash, another one for
-each band and for each two neighbouring bands. Texts of keys whose members are
-not all in one group by then (many texts around one passage) are sketched anew
-without the k-mers that most of them share (``residual_keys``) and paired with the
-members that these keys choose, in ``ROUNDS`` rounds. Every round is linear in the
-texts: a text meets one other for each of its keys, whatever the size of a
-bucket.
+each band and for each two neighbouring bands: a text meets one other for each of
+its keys, whatever the size of a bucket. What these pairs leave out is found
+exactly: texts that can have no link outside their group leave (``open_texts``),
+the others are paired across groups by their rarest k-mers (``rare_pairs``), so
+that no link is lost, whatever keys its texts have.
 A pair is a link if the longest common subsequence of the two k-mer sequences,
 aligned within the band that the limit allows, gives
 
@@ -43,10 +42,8 @@ BANDS = 12
 PICK = 2
 SIMILARITY = (4, 5)   # common / (both - common), as a fraction
 AGREE = 2             # of the band keys, before texts are compared
-SAMPLED = 256         # k-mers of a text in a residual sketch
-RESIDUAL_BANDS = 12   # of each part of it
-RESIDUAL_HUBS = 6     # orders by which their buckets choose a member
-ROUNDS = 1            # of residual sketches
+PART = 3              # of the k-mers tell which texts may have links elsewhere
+SIG_LONGS = 16        # of a text's bits
 
 
 def kmers(doc: np.ndarray, first: np.ndarray, h: np.ndarray, roll: Roller) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +101,7 @@ def sketch(x: np.ndarray, owner: np.ndarray, n: int, bands: int, seed: int) -> n
 
 
 def sketches(docs: DataFrame, bands: int, seed: int) -> DataFrame:
-    """(fp, keys) of the texts with a word; docs: (fp, text)."""
+    """(fp, keys) of the texts with a word; docs: (fp, text), a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller()
@@ -120,7 +117,7 @@ def sketches(docs: DataFrame, bands: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(has)), pa.ListArray.from_arrays(off, pa.array(as_long(keys.ravel())))], ["fp", "keys"])
 
-    return map_texts(docs, run, "fp binary, keys array<long>").groupBy("fp").agg(F.first("keys").alias("keys"))
+    return map_texts(docs, run, "fp binary, keys array<long>")
 
 
 def common(a: list, b: list, band: int) -> int:
@@ -190,56 +187,100 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_texts(joined, run, "a binary, b binary")
 
 
-def shared_kmers(texts: DataFrame, seed: int) -> DataFrame:
-    """(fp, at, token): of each text the ``SAMPLED`` labelled k-mers with the smallest
-    hashes, and their places. Similar texts have most of these in common."""
+def labelled_rows(texts: DataFrame, part: int = 1) -> DataFrame:
+    """The columns of ``texts`` but the last, which is the text, then ``n`` and ``token``:
+    a row for each labelled k-mer of a text that has ``n`` of them, or for those of
+    one ``part``-th of all hashes (the same ones in every text)."""
+    keys = texts.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = Roller()
         for whole in batches:
             for b in slices(whole, "text"):
-                w = words(b.column(1))
+                w = words(b.column("text"))
                 x, owner = kmers(w.doc, w.first, roll.word_hashes(w), roll)
+                if not len(x):
+                    continue
                 token = labelled_kmers(x, owner)
-                lead = np.searchsorted(owner, np.arange(b.num_rows))
-                order = np.lexsort((mix(token + np.uint64(seed)), owner))
-                least = np.sort(order[np.arange(len(order)) - lead[owner[order]] < SAMPLED])
+                n = np.bincount(owner, minlength=b.num_rows)[owner]
+                taken = np.flatnonzero(token % np.uint64(part) == 0)
+                of = pa.array(owner[taken])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(owner[least])), pa.array((least - lead[owner[least]]).astype(np.int32)),
-                     pa.array(as_long(token[least]))], ["fp", "at", "token"])
-
-    return map_texts(texts, run, "fp binary, at int, token long")
+                    [b.column(k.name).take(of) for k in keys] + [pa.array(n[taken]), pa.array(as_long(token[taken]))],
+                    [k.name for k in keys] + ["n", "token"])
 
+    return map_texts(texts, run, ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in keys) + ", n long, token long")
 
-def residual_keys(texts: DataFrame, bands: int, seed: int) -> DataFrame:
-    """(fp, band, key): ordered sketches of what a text shares with few others.
 
-    The sampled k-mers of the texts are counted over all of them. Those of one
-    text alone can be no evidence and are left out; the others are parted by how
-    many texts hold them (2 to 4, to 16, to 64, ...), and each part is sketched for
-    itself. A passage of thousands of texts is in a part of its own and makes
-    no keys for the rest of them. Of two texts, some part is at least as alike
-    as the parts are together."""
-    tokens = stage(shared_kmers(texts, seed), "tokens")
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    part = F.ceil(F.log(4.0, F.col("df")) - F.lit(1e-9)).cast("int")
-    listed = (tokens.join(held, "token").groupBy("fp", part.alias("part"))
-              .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("kmers")))
+def signatures(texts: DataFrame) -> DataFrame:
+    """(fp, sig): one bit for the hash of each labelled k-mer, in ``SIG_LONGS`` longs;
+    texts: (fp, text). A bit that only one of two texts has is a k-mer that only it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(2)
-            n = np.diff(lists.offsets.to_numpy())
-            token = lists.flatten().field("token").to_numpy().view(np.uint64)
-            keys = sketch(token, np.repeat(np.arange(b.num_rows), n), b.num_rows, bands, seed)
-            band = b.column(1).to_numpy()[:, None] * bands + np.arange(bands)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands))), pa.array(band.ravel().astype(np.int32)),
-                 pa.array(as_long(keys.ravel()))], ["fp", "band", "key"])
-
-    return map_texts(listed, run, "fp binary, band int, key long")
+        roll = Roller()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                w = words(b.column(1))
+                x, owner = kmers(w.doc, w.first, roll.word_hashes(w), roll)
+                bit = labelled_kmers(x, owner) >> np.uint64(20)
+                sig = np.zeros((b.num_rows, SIG_LONGS), np.uint64)
+                np.bitwise_or.at(sig, (owner, ((bit >> np.uint64(6)) % np.uint64(SIG_LONGS)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64)))
+                off = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SIG_LONGS)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.ListArray.from_arrays(off, pa.array(as_long(sig.ravel())))], ["fp", "sig"])
+
+    return map_texts(texts, run, "fp binary, sig array<long>")
+
+
+def open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, text): the texts that may have a link to a text of another group.
+
+    A link leaves at most a fifth of a text's k-mers unmatched. A text leaves once
+    more than that are held by its own group alone, counted over one ``PART``-th of
+    all k-mers. (Texts and groups go by 64 bits of their fingerprints here.)"""
+    num, den = SIMILARITY
+    named = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "text")
+    named = stage(named, "named")
+    rows = labelled_rows(named.select(F.xxhash64("fp").alias("of"), F.xxhash64("root").alias("r"), "text"), PART)
+    holders = Window.partitionBy("token")
+    own = rows.select("of", "n", F.min("r").over(holders).alias("lo"), F.max("r").over(holders).alias("hi")).filter("lo = hi")
+    settled = own.groupBy("of").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("own")).filter(
+        (F.col("n") - F.col("own")) * den < F.col("n") * num).select("of")
+    return stage(named.join(settled, F.xxhash64("fp") == F.col("of"), "left_anti"), "open")
+
+
+def rare_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts (fp, root, text) in different groups that may be links: no
+    link between the texts is missing, whatever keys they have.
+
+    The labelled k-mers are put in one order, rare ones first. If ``need`` k-mers
+    must be common, the first common one has at least ``need`` k-mers from it to
+    the end of either text (``left``), so a passage of many texts only makes pairs
+    where it is nearly the whole of a text. Of two groups at a k-mer one is not the
+    largest there: its texts meet the others, and members of one group never meet.
+    Bits that only one text has (``signatures``) bound what can be common."""
+    num, den = SIMILARITY
+    tokens = stage(labelled_rows(texts), "tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("df > 1")
+    common_first = Window.partitionBy("fp").orderBy(F.desc("df"), F.desc("token"))
+    rare = (tokens.join(shared, "token").withColumn("left", F.row_number().over(common_first))
+            .filter((F.col("left") * den >= F.col("n") * num) & (F.col("lo") != F.col("hi"))).select("token", "fp", "root", "n", "left"))
+    rare = stage(rare, "rare")
+    groups = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = groups.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    held = stage(rare.join(mixed.select("token", "main"), "token").join(signatures(texts.select("fp", "text")), "fp"), "held")
+    x, y = held.filter("root <> main").drop("main").alias("x"), held.alias("y")
+
+    def only(one: str, other: str) -> Column:
+        return sum((F.bit_count(F.col(f"{one}.sig")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}.sig")[i]))) for i in range(SIG_LONGS)), F.lit(0))
+
+    need = (F.col("x.n") + F.col("y.n")) * num
+    bounds = [F.col("x.left"), F.col("y.left"), F.col("x.n") - only("x", "y"), F.col("y.n") - only("y", "x")]
+    may = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp")))
+    for most in bounds:
+        may = may & (need <= most * (num + den))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & may)
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def bucketed(keyed: DataFrame, salts: int) -> DataFrame:
@@ -266,14 +307,6 @@ def apart(pairs: DataFrame, roots: DataFrame, sk: DataFrame) -> DataFrame:
     return pairs.filter(agree >= AGREE).select("a", "b")
 
 
-def unsettled(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp): members of buckets whose members lie in different groups."""
-    grouped = (near.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-               .withColumn("root", F.coalesce("root", "fp")).select("band", "key", "fp", "root"))
-    split = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "key")
-    return stage(grouped.join(split, ["band", "key"], "left_semi").select("fp").distinct(), "unsettled")
-
-
 def met(near: DataFrame) -> DataFrame:
     """The pairs of a text and the chosen one of each of its buckets."""
     return near.filter("fp <> some").select(F.least("fp", "some").alias("a"), F.greatest("fp", "some").alias("b")).distinct()
@@ -284,7 +317,7 @@ def fingerprint(text: Column) -> Column:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-                    seed: int = 1, rounds: int = ROUNDS) -> DataFrame:
+                    seed: int = 1) -> DataFrame:
     """Classes of near-duplicate documents.
 
     Returns (id, class_id, copy_id, fp, is_kept), one row per input row:
@@ -300,28 +333,19 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
     full = docs.filter("fp is not null")
-    sk = stage(sketches(full.select("fp", "text"), bands, seed), "sketches")
+    texts = stage(full.select("fp", "text").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    sk = stage(sketches(texts, bands, seed), "sketches")
     following = F.concat(F.slice("keys", 2, bands - 1), F.slice("keys", 1, 1))
     keyed = sk.select("fp", F.posexplode(F.concat("keys", F.zip_with("keys", following, lambda x, y: F.xxhash64(x, y)))).alias("band", "key"))
     near = bucketed(keyed, 2 * bands)
-    wanted = near.select("fp").distinct()
-    texts = stage(full.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
     # First each text with the smallest of all its buckets, then with the chosen
     # ones that still lie in another group.
     first = near.groupBy("fp").agg(F.min("least").alias("b")).select(F.col("fp").alias("a"), "b").filter("a <> b")
     roots = stage(components(stage(verify(first, texts), "links")), "roots")
     roots = extend(roots, stage(verify(apart(met(near), roots, sk), texts), "links"))
-    # Of two members one is the chosen one; larger buckets whose members lie in
-    # different groups hold pairs that were not compared.
-    left = unsettled(near.filter("n > 2"), roots)
-    for n in range(rounds):
-        if left.isEmpty():
-            break
-        keyed = residual_keys(texts.join(left, "fp", "left_semi"), RESIDUAL_BANDS, seed + 7919 * (n + 1))
-        near = bucketed(keyed, RESIDUAL_HUBS)
-        roots = extend(roots, stage(verify(apart(met(near), roots, sk), texts), "links"))
-        if n + 1 < rounds:
-            left = unsettled(near.filter("n > 2"), roots)
+    # Then, exactly, what these pairs have left out.
+    apart_still = open_texts(texts, roots)
+    roots = extend(roots, stage(verify(rare_pairs(apart_still), apart_still), "links"))
 
     # Smallest ids of classes and groups.
     classes = full.groupBy("fp").agg(F.min("id").alias("copy_id"))

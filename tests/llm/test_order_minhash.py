@@ -190,3 +190,23 @@ def test_components(spark):
         assert len(known) == len(grown)
         if part is df:
             assert {r["node"]: r["root"] for r in grown} == want
+
+
+def test_links_that_no_chosen_member_sees(spark):
+    """Pairs inside one passage whose texts meet neither in a chosen member nor,
+    with a single band, in a key: all links are found."""
+    rnd = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rnd.choices(vocabulary, k=90)
+    rows, i = [], 0
+    for _ in range(60):
+        own = rnd.choices(vocabulary, k=30)
+        near = own[:-7] + rnd.choices(vocabulary, k=7)
+        rows += [(i := i + 1, " ".join(passage + own)), (i := i + 1, " ".join(passage + near))]
+    for n in range(60):   # far from all others, and one edit in the middle
+        own = rnd.choices(vocabulary, k=70)
+        rows += [(i := i + 1, " ".join(own)), (i := i + 1, " ".join(own[:35] + ["x"] + own[36:]))]
+    want = groups_by_hand(rows)
+    df = spark.createDataFrame([(a, t, "", "", 0) for a, t in rows], SCHEMA)
+    out = {r["doc_id"]: r["class_id"] for r in collect(om.near_duplicates(df, bands=1))}
+    assert out == {a: want[t][1] for a, t in rows} and len(set(out.values())) == 120
