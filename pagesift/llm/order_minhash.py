@@ -8,7 +8,8 @@ the probability (share of common labelled k-mers) ** PICK if the common ones
 stand in the same order, so the sketch is sensitive to edits, not just to the
 set of k-mers.
 
-Equal texts form one class first; classes are what is compared. Texts with a
+Equal texts form one class first; classes are what is compared. Texts that share
+too few k-mers with all others have no link and leave (``linkable``). Texts with a
 common key are first paired with one member chosen by hash, another one for
 each band and for each two neighbouring bands: a text meets one other for each of
 its keys, whatever the size of a bucket. What these pairs leave out is found
@@ -232,21 +233,34 @@ def signatures(texts: DataFrame) -> DataFrame:
     return map_texts(texts, run, "fp binary, sig array<long>")
 
 
-def open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, root, text): the texts that may have a link to a text of another group.
+def settled(own: DataFrame) -> DataFrame:
+    """(of): texts without a link elsewhere; own: (of, n) for each k-mer that no text
+    elsewhere holds. A link leaves at most a fifth of a text's k-mers unmatched."""
+    num, den = SIMILARITY
+    return own.groupBy("of").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("own")).filter(
+        (F.col("n") - F.col("own")) * den < F.col("n") * num).select("of")
 
-    A link leaves at most a fifth of a text's k-mers unmatched. A text leaves once
-    more than that are held by its own group alone, counted over one ``PART``-th of
+
+def linkable(full: DataFrame) -> DataFrame:
+    """(fp, text), each text once, of those that may have a link at all: a text leaves
+    once too many of its k-mers are in no other text, counted over one ``PART``-th of
     all k-mers. (Texts and groups go by 64 bits of their fingerprints here.)"""
-    num, den = SIMILARITY
+    keyed = full.select(F.xxhash64("fp").alias("of"), "fp", "text")
+    tokens = labelled_rows(keyed.select("of", "text"), PART).groupBy("token").agg(
+        F.min("of").alias("of"), F.max("of").alias("last"), F.first("n").alias("n")).filter("of = last")
+    kept = keyed.join(stage(settled(tokens), "alone"), "of", "left_anti")
+    return stage(kept.groupBy("of", "fp").agg(F.first("text").alias("text")).select("fp", "text"), "texts")
+
+
+def open_texts(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, text): the texts that may have a link to a text of another group; a
+    text leaves once too many of its k-mers are held by its own group alone."""
     named = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "text")
-    named = stage(named, "named")
     rows = labelled_rows(named.select(F.xxhash64("fp").alias("of"), F.xxhash64("root").alias("r"), "text"), PART)
     holders = Window.partitionBy("token")
     own = rows.select("of", "n", F.min("r").over(holders).alias("lo"), F.max("r").over(holders).alias("hi")).filter("lo = hi")
-    settled = own.groupBy("of").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("own")).filter(
-        (F.col("n") - F.col("own")) * den < F.col("n") * num).select("of")
-    return stage(named.join(settled, F.xxhash64("fp") == F.col("of"), "left_anti"), "open")
+    inside = stage(settled(own), "inside")
+    return stage(named.join(inside, F.xxhash64("fp") == F.col("of"), "left_anti").select("fp", "root", "text"), "open")
 
 
 def rare_pairs(texts: DataFrame) -> DataFrame:
@@ -333,7 +347,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
     full = docs.filter("fp is not null")
-    texts = stage(full.select("fp", "text").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    texts = linkable(full)
     sk = stage(sketches(texts, bands, seed), "sketches")
     following = F.concat(F.slice("keys", 2, bands - 1), F.slice("keys", 1, 1))
     keyed = sk.select("fp", F.posexplode(F.concat("keys", F.zip_with("keys", following, lambda x, y: F.xxhash64(x, y)))).alias("band", "key"))
