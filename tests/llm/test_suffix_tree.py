@@ -154,3 +154,88 @@ def test_counts_of_contexts_equal_brute_force(small_tree):
     level = tree.levels[0]
     assert level.total.sum() == sum(want.values())
     assert sorted(level.counts.astype(int).tolist()) == sorted(n for n in want.values() if n >= 2)
+
+
+def scores_by_hand(train, texts):
+    """Scores by a whole tree kept in dicts: every context seen twice is tested,
+    with all its next symbols, whatever the size of the corpus."""
+    n = Counter(x for t in train for x in tokens(t))
+    total, types = sum(n.values()), len(n)
+    def cls(word):
+        return int(suffix_tree.hashes(suffix_tree.words(pa.array([word]), lower=True), suffix_tree.Roller())[1][0])
+    def symbol(word):
+        return word if word == "\n" or n[word] >= 2 else cls(word)
+    rare = [x for x in n if x != "\n" and n[x] < 2]
+    norm = Counter(cls(x) for x in rare)
+    norm = {c: 2 * k + 1 for c, k in norm.items()}   # each occurs once
+    size = Counter(symbol(x) for t in train for x in tokens(t))
+    symbols = 513 + sum(n[x] >= 2 for x in n if x != "\n")
+    follow = {}
+    for t in train:
+        s = [symbol(x) for x in tokens(t)]
+        for i, x in enumerate(s):
+            for d in range(1, min(3, i) + 1):
+                follow.setdefault(tuple(s[i - d:i]), Counter())[x] += 1
+    follow = {c: f for c, f in follow.items() if sum(f.values()) >= 2}
+    states = set()
+    def p(context, x):
+        if not context:
+            return (size[x] + 1) / (total + symbols)
+        shorter = p(context[1:], x)
+        if context not in states:
+            return shorter
+        f = follow[context]
+        return (f[x] + len(f) * shorter) / (sum(f.values()) + len(f))
+    for d in (1, 2, 3):
+        found = set()
+        for c, f in follow.items():
+            if len(c) == d:
+                t = sum(f.values())
+                if sum(k * math.log(k / t / p(c[1:], x)) for x, k in f.items()) > 0.5 * len(f) * math.log(t):
+                    found.add(c)
+        states |= found
+    states |= {c[k:] for c in states for k in range(1, len(c))}
+    def share(word):
+        return 1.0 if word == "\n" or n[word] >= 2 else (n[word] + 1) / norm.get(cls(word), 1)
+    out = []
+    for t in texts:
+        w, got = tokens(t), 0.0
+        s = [symbol(x) for x in w]
+        for i, x in enumerate(s):
+            got += math.log10(p(tuple(s[max(0, i - 3):i]), x)) + math.log10(share(w[i]))
+        out.append(got)
+    return out, states, follow
+
+
+@pytest.fixture(scope="module")
+def twice(spark):
+    """Texts of frequent and rare words, some of them there twice, by id."""
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rnd.zipf(1.4, rnd.integers(0, 60)), 3000)) for _ in range(150)]
+    texts += texts[:15] + ["", "lone", "the end of the line of the end of the line"] + [f"the the of the {k % 3} of the of {k}" for k in range(40)]
+    return texts
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 60])
+def test_scores_equal_a_whole_tree_by_hand(spark, monkeypatch, twice, bucket):
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(suffix_tree, "SMALL_BUCKET", max(1, bucket // 10))
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 40 * bucket)
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(twice)], SCHEMA).repartition(3)
+    held = suffix_tree.held_out(F.col("doc_id"))
+    want, states, follow = scores_by_hand([t for i, t in enumerate(twice) if not is_held(i)], twice)
+    assert any(len(c) == 3 and sum(follow[c].values()) == 2 for c in states)   # seen twice only
+    got = {r["doc_id"]: r["score"] for r in collect(suffix_tree.score(df, *suffix_tree.train(df, train_on=~held), held=held))}
+    assert len(got) == len(twice)
+    for i, w in enumerate(want):
+        assert math.isclose(got[i], w, rel_tol=1e-9), (i, got[i], w)
+
+
+def test_other_texts_are_scored_by_the_trained_tree(spark, monkeypatch, twice):
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 200)
+    monkeypatch.setattr(suffix_tree, "SMALL_BUCKET", 20)
+    train, other = twice[::2], twice[1::2]
+    df, more = (spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(x)], SCHEMA) for x in (train, other))
+    got = {r["doc_id"]: r["score"] for r in collect(suffix_tree.score(more, *suffix_tree.train(df)))}
+    for i, w in enumerate(scores_by_hand(train, other)[0]):
+        assert math.isclose(got[i], w, rel_tol=1e-9)
