@@ -216,11 +216,13 @@ def twice(spark):
     return texts
 
 
-@pytest.mark.parametrize("bucket", [1 << 20, 60])
+@pytest.mark.parametrize("bucket", [1 << 20, 60, 8])
 def test_scores_equal_a_whole_tree_by_hand(spark, monkeypatch, twice, bucket):
     monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", bucket)
     monkeypatch.setattr(suffix_tree, "SMALL_BUCKET", max(1, bucket // 10))
     monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 40 * bucket)
+    hots, tested = [], suffix_tree.hot_tested
+    monkeypatch.setattr(suffix_tree, "hot_tested", lambda *a: hots.append(tested(*a)) or hots[-1])
     df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(twice)], SCHEMA).repartition(3)
     held = suffix_tree.held_out(F.col("doc_id"))
     want, states, follow = scores_by_hand([t for i, t in enumerate(twice) if not is_held(i)], twice)
@@ -229,6 +231,9 @@ def test_scores_equal_a_whole_tree_by_hand(spark, monkeypatch, twice, bucket):
     assert len(got) == len(twice)
     for i, w in enumerate(want):
         assert math.isclose(got[i], w, rel_tol=1e-9), (i, got[i], w)
+    if bucket < 60:   # hot contexts of every length, and some that are no states by themselves
+        assert len(hots) == 3 and all(h.spread.max() > 1 for h, _ in hots) and not all(h.grown.all() for h, _ in hots)
+    assert bool(hots) == (bucket < 1 << 20)
 
 
 def test_other_texts_are_scored_by_the_trained_tree(spark, monkeypatch, twice):
@@ -239,3 +244,21 @@ def test_other_texts_are_scored_by_the_trained_tree(spark, monkeypatch, twice):
     got = {r["doc_id"]: r["score"] for r in collect(suffix_tree.score(more, *suffix_tree.train(df)))}
     for i, w in enumerate(scores_by_hand(train, other)[0]):
         assert math.isclose(got[i], w, rel_tol=1e-9)
+
+
+def test_levels_hold_every_state_of_the_whole_tree(spark, monkeypatch, twice):
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 8)
+    monkeypatch.setattr(suffix_tree, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(suffix_tree, "CONTEXT_SCALE", 1e9)   # least: as seldom as they may be
+    _, states, follow = scores_by_hand(twice, [])
+    tree, _ = suffix_tree.train(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(twice)], SCHEMA))
+    names = {}
+    for word in {x for t in twice for x in tokens(t)}:
+        h, cls = (int(k[0]) for k in suffix_tree.hashes(suffix_tree.words(pa.array([word]), lower=True), suffix_tree.Roller())) if word != "\n" else (0, 0)
+        at = suffix_tree.find(tree.head, np.array([h]))[0]
+        names[0 if word == "\n" else tree.head_symbol[at] if at >= 0 else 1 + cls] = word if at >= 0 or word == "\n" else cls
+    found = {tuple(names[x] for x in c) for level in tree.levels for c in level.spelled[level.state].tolist()}
+    assert found == states
+    for level in tree.levels:
+        for k, n in zip(level.keys.tolist(), level.counts.tolist()):
+            assert n == follow[tuple(names[x] for x in level.spelled[k // tree.symbols].tolist())][names[k % tree.symbols]]
